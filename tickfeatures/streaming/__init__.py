@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reproduced application is batch only: it reads a stored tick history and
+writes feature tables. It has no stream source, watermark, state or late data,
+so this package holds no operators. The resample is a batch tumbling window
+(``operators.resample``).
+"""
