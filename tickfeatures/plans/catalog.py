@@ -662,3 +662,109 @@ FROM c GROUP BY zone, instance""")
 def q_auc_baseline(spark, sf):
     """Exact ROC AUC of the current change as a score for the next increase, per series."""
     return momentum_auc(_ft(spark, sf))
+
+
+# --------------------------------------------------------------------------- models (row checks only)
+# Grids of the registered model queries: a few values of each reference grid
+# (the library defaults are the full grids in ``schemas``).
+QUERY_TREES = (50, 90)
+QUERY_MLP_HIDDEN = ((5, 5, 5), (5, 5))
+QUERY_MLP_ITERS = (100,)
+QUERY_GBT_ITERS = (10, 20, 30, 40, 50)
+
+
+@query("assemble")
+def q_assemble(spark, sf):
+    """The five chosen features assembled into a vector, with the key."""
+    from ..ml.prepare import assembler
+    return assembler(list(_sel())).transform(_ft(spark, sf)).select(*K, "features")
+
+
+@query("prepare")
+def q_prepare(spark, sf):
+    """(features, binarised label) rows for a classifier, all numeric features."""
+    from ..ml.prepare import prepare
+    ft = _ft(spark, sf)
+    return prepare(ft, "y_direction", numeric_features(ft))
+
+
+def _sel():
+    from ..schemas import SELECTED_FEATURES
+    return SELECTED_FEATURES
+
+
+@query("rf_classifier_grid")
+def q_rf_classifier_grid(spark, sf):
+    """Random-forest classifier tree grid on the hourly table; leaderboard."""
+    from ..ml.models import rf_classifier_grid
+    board, _, _ = rf_classifier_grid(_ft(spark, sf), "y_direction", _sel(), QUERY_TREES)
+    return board
+
+
+@query("rf_importance")
+def q_rf_importance(spark, sf):
+    """Feature importances of the selected forest, descending."""
+    from ..ml.models import rf_classifier_grid
+    _, imp, _ = rf_classifier_grid(_ft(spark, sf), "y_direction", _sel(), QUERY_TREES)
+    return imp
+
+
+@query("mlp_grid")
+def q_mlp_grid(spark, sf):
+    """M3: multilayer-perceptron grid on the binarised direction; leaderboard."""
+    from ..ml.models import mlp_grid
+    board, _ = mlp_grid(_ft(spark, sf), "y_direction", None, QUERY_MLP_HIDDEN, QUERY_MLP_ITERS)
+    return board
+
+
+@query("logistic_fit")
+def q_logistic_fit(spark, sf):
+    """M4: elastic-net logistic regression; objective per iteration."""
+    from ..ml.models import logistic_fit
+    history, _, _ = logistic_fit(_ft(spark, sf))
+    return history
+
+
+@query("logistic_roc")
+def q_logistic_roc(spark, sf):
+    """M5: ROC curve of the logistic model's training summary."""
+    from ..ml.models import logistic_fit
+    _, roc, _ = logistic_fit(_ft(spark, sf))
+    return roc
+
+
+@query("gbt_classifier")
+def q_gbt_classifier(spark, sf):
+    """Boosted-tree classifier, test accuracy and error."""
+    from ..ml.models import gbt_classifier
+    return gbt_classifier(_ft(spark, sf))
+
+
+@query("rf_regressor_grid")
+def q_rf_regressor_grid(spark, sf):
+    """M7: random-forest regressor tree grid, ascending nRMSE."""
+    from ..ml.models import rf_regressor_grid
+    return rf_regressor_grid(_ft(spark, sf), "y_future_price", _sel(), QUERY_TREES)
+
+
+@query("gbt_regressor_grid")
+def q_gbt_regressor_grid(spark, sf):
+    """M8: boosted-tree regressor iteration grid from one fit, ascending nRMSE."""
+    from ..ml.models import gbt_regressor_grid
+    return gbt_regressor_grid(_ft(spark, sf), "y_future_price", _sel(), QUERY_GBT_ITERS)
+
+
+@query("classification_campaign")
+def q_classification_campaign(spark, sf):
+    """RF and MLP per interval (15, 60) for the first series; one leaderboard."""
+    from ..ml.campaign import classification_campaign
+    tables = {iv: _ft(spark, sf, iv) for iv in (15, 60)}
+    return classification_campaign(tables, 1, "y_direction", QUERY_TREES, QUERY_MLP_HIDDEN, QUERY_MLP_ITERS)
+
+
+@query("regression_campaign")
+def q_regression_campaign(spark, sf):
+    """RF and GBT regressors per interval (15, 30, 60) for the first four series."""
+    from ..ml.campaign import regression_campaign
+    tables = {iv: _ft(spark, sf, iv) for iv in INTERVALS}
+    return regression_campaign(tables, 4, "y_future_price", QUERY_TREES, QUERY_GBT_ITERS)
