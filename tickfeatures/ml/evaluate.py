@@ -57,9 +57,12 @@ def auc(df: DataFrame, score: str | Column, label: str | Column, by: Sequence[st
     g = df.where(_c(score).isNotNull() & _c(label).isNotNull()).groupBy(*by, _c(score).alias("_s")).agg(
         F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg")
     )
-    cuts = g.agg(F.percentile_approx("_s", [i / buckets for i in range(1, buckets)], 10_000)).scalar()
-    # number of cuts below the score = its position in the sorted cuts + score, minus one
-    g = g.withColumn("_b", F.array_position(F.sort_array(F.array_union(cuts, F.array(F.col("_s")))), F.col("_s")) - 1)
+    if buckets > 1:
+        cuts = g.agg(F.percentile_approx("_s", [i / buckets for i in range(1, buckets)], 10_000)).scalar()
+        # number of cuts below the score = its position in the sorted cuts + score, minus one
+        g = g.withColumn("_b", F.array_position(F.sort_array(F.array_union(cuts, F.array(F.col("_s")))), F.col("_s")) - 1)
+    else:
+        g = g.withColumn("_b", F.lit(0).cast("long"))
     totals = g.groupBy(*by, "_b").agg(F.sum("_neg").alias("_bneg"))
     earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_b", F.coalesce(F.sum("_bneg").over(earlier), F.lit(0)).alias("_before_b"))
