@@ -56,12 +56,15 @@ def join_previous_day(df: DataFrame, keys: Sequence[str] = ("zone", "instance"))
 def previous_day_by_range(df: DataFrame, keys: Sequence[str] = ("zone", "instance")) -> DataFrame:
     """J1, window form: the same statistics over ``RANGE 1 PRECEDING AND 1 PRECEDING`` days.
 
-    Kept for comparison; it windows over whole series (one task per series),
-    so the join form is the one the builder uses.
+    Rows whose previous calendar day has no rows are dropped, as with the inner
+    join. The window partitions by series like the lag/lead windows, so it reuses
+    their shuffle: no second exchange of the rows and no join. The frame is the
+    same for all rows of a day, so each day's statistics are aggregated once.
     """
-    w = (Window.partitionBy(*keys).orderBy(F.unix_date("date")).rangeBetween(-1, -1))
-    out = df.withColumns({n: c.over(w) for n, c in _day_aggregates().items()})
-    return out.where(F.col("prev_day_avg_price").isNotNull())
+    w = Window.partitionBy(*keys).orderBy(F.unix_date("date")).rangeBetween(-1, -1)
+    aggs = {**_day_aggregates(), "_prev_n": F.count(F.lit(1))}
+    out = df.withColumns({n: c.over(w) for n, c in aggs.items()})  # one Window node
+    return out.where(F.col("_prev_n") > 0).drop("_prev_n")
 
 
 def fill_with_mean(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.calendar import calendar_flags
 from ..functions.labels import direction_class, direction_flags, volatility_flag
 from ..functions.pricing import caps_frame, irrational_flag, with_price_cap
 from ..functions.time import date_of, hour_of, iso_day_of_week, slot_in_hour, timestamp_of
-from ..operators.daily import add_mean_differences, fill_with_mean, join_previous_day
+from ..operators.daily import add_mean_differences, fill_with_mean, join_previous_day, previous_day_by_range
 from ..operators.resample import resample_many
 from ..operators.sequence import shift_columns
 from ..schemas import EPSILON, FEATURE_COLUMNS, SERIES_KEYS
@@ -70,9 +70,20 @@ def with_leads(df: DataFrame, mode: str = "series") -> DataFrame:
     return df.dropna(subset=["y_increase", "y_decrease", "y_same", "y_future_price"])
 
 
-def with_previous_day(df: DataFrame) -> DataFrame:
-    """Previous-day statistics (inner join), mean differences, std fill, volatility."""
-    df = join_previous_day(df, SERIES_WINDOW_KEYS)
+def with_previous_day(df: DataFrame, how: str = "window") -> DataFrame:
+    """Previous-day statistics, mean differences, std fill, volatility.
+
+    ``how="window"`` (default) takes the statistics from a range window over the
+    day number that shares the lag/lead shuffle; ``how="join"`` aggregates a
+    daily table and inner-joins it back (the reference's formulation). Both drop
+    rows whose previous day is empty; values agree to ~1e-14 (summation order).
+    """
+    if how == "window":
+        df = previous_day_by_range(df, SERIES_WINDOW_KEYS)
+    elif how == "join":
+        df = join_previous_day(df, SERIES_WINDOW_KEYS)
+    else:
+        raise ValueError(f"unknown previous-day form {how!r}")
     df = add_mean_differences(df)
     df = fill_with_mean(df, "prev_day_std_change", by=("interval_min",))
     df = df.withColumn("is_volatile", volatility_flag("price_change", "prev_day_std_change"))
