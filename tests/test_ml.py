@@ -88,3 +88,15 @@ def test_gbt_each_iteration_equals_separate_fit(spark, ft):
     board = {json.loads(r["params"])["maxIter"]: r["validation_score"] for r in gbt_regressor_grid(one, iters=(2, 5)).collect()}
     small = {json.loads(r["params"])["maxIter"]: r["validation_score"] for r in gbt_regressor_grid(one, iters=(2,)).collect()}
     assert abs(board[2] - small[2]) < 1e-9
+
+
+def test_numeric_features_are_27(ft):
+    from tickfeatures.schemas import numeric_features
+    feats = numeric_features(ft)
+    assert len(feats) == 27 and "bucket_epoch" in feats and "y_direction" not in feats
+
+
+def test_predicted_label_text(ft):
+    _, _, preds = rf_classifier_grid(ft, trees=(5,))
+    vals = {r["predicted_label"] for r in preds.select("predicted_label").distinct().collect()}
+    assert vals <= {"0.0", "1.0", "2.0"}

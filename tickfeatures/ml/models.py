@@ -42,7 +42,7 @@ from ..schemas import (
 )
 from ..session import materialize
 from .evaluate import auc
-from .prepare import assembler, binarizer, feature_indexer, label_indexer
+from .prepare import assembler, binarizer, feature_indexer, label_converter, label_indexer
 
 SEED = 42
 PARALLELISM = 4
@@ -133,6 +133,7 @@ def rf_classifier_grid(df: DataFrame, label: str = "y_direction", features: Sequ
 
     board, final, preds = _search("random_forest_classifier", label, make, [{"numTrees": t} for t in trees], data,
                                   _accuracy_of("indexed_label"), True, "accuracy", parallelism)
+    preds = label_converter(final.stages[1].labels).transform(preds)  # T5: index -> label text
     return board, feature_importances(final.stages[-1].featureImportances, features, df), preds
 
 
@@ -219,10 +220,12 @@ def gbt_classifier(df: DataFrame, label: str = "y_direction", features: Sequence
     return df.sparkSession.createDataFrame([(float(acc), float(1.0 - acc))], "accuracy double, test_error double")
 
 
-def up_vs_rest_auc(predictions: DataFrame, label: str, model: PipelineModel, up_value: str = "2.0") -> DataFrame:
-    """D3: one-vs-rest AUC of the "up" class from the predicted probability (exact, distributed)."""
-    indexer = next(s for s in model.stages if hasattr(s, "labels") and s.getOutputCol() == "indexed_label")
-    labels = list(indexer.labels)
+def up_vs_rest_auc(predictions: DataFrame, label: str, labels: Sequence[str], up_value: str = "2.0") -> DataFrame:
+    """One-vs-rest AUC of the "up" class from the predicted probability (exact, distributed).
+
+    ``labels`` is the fitted label indexer's order (probability slot i is labels[i]).
+    """
+    labels = list(labels)
     if up_value not in labels:
         raise ValueError(f"class {up_value!r} not among the indexed labels {labels}")
     idx = labels.index(up_value)

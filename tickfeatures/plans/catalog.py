@@ -195,6 +195,20 @@ def q_price_lags(spark, sf):
     return _lg(spark, sf).select(*K, "spot_price", "lag_1", "lag_2", "lag_3")
 
 
+@query("price_lags_sql", f"{_w('lg')}\nSELECT zone, instance, bucket_epoch, "
+                         f"{O.select_list(['spot_price', 'lag_1', 'lag_2', 'lag_3'], ['spot_price', 'lag_1', 'lag_2', 'lag_3'])} FROM lg")
+def q_price_lags_sql(spark, sf):
+    """IO8 / IO9: the lag query as SQL text over a temporary view (same plan as ``price_lags``)."""
+    from ..sources.tables import register_views
+    view = f"hourly_buckets_{uuid.uuid4().hex[:8]}"
+    register_views(spark, {view: _bk(spark, sf)})
+    w = "OVER (PARTITION BY interval_min, zone, instance ORDER BY bucket_epoch)"
+    return spark.sql(
+        f"SELECT zone, instance, bucket_epoch, spot_price, lag(spot_price, 1) {w} AS lag_1, "
+        f"lag(spot_price, 2) {w} AS lag_2, lag(spot_price, 3) {w} AS lag_3 FROM {view}"
+    )
+
+
 _PC = ["price_change", "price_change_lag1", "price_change_lag2"]
 
 
@@ -701,6 +715,18 @@ def q_rf_classifier_grid(spark, sf):
     return board
 
 
+@query("rf_up_auc")
+def q_rf_up_auc(spark, sf):
+    """Exact one-vs-rest AUC of the "up" class from the selected forest's probabilities."""
+    from ..ml.models import rf_classifier_grid, up_vs_rest_auc
+    _, _, preds = rf_classifier_grid(_ft(spark, sf), "y_direction", _sel(), QUERY_TREES)
+    # the indexer's label order as seen in the predictions (one row per class)
+    seen = {int(r["indexed_label"]): r["label"] for r in preds.select(
+        "indexed_label", F.col("y_direction").cast("string").alias("label")).distinct().collect()}
+    labels = [seen.get(i) for i in range(max(seen) + 1)]
+    return up_vs_rest_auc(preds, "y_direction", labels)
+
+
 @query("rf_importance")
 def q_rf_importance(spark, sf):
     """Feature importances of the selected forest, descending."""

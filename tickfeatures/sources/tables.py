@@ -14,13 +14,15 @@ FEATURES_WITH_INTERVAL = T.StructType([T.StructField("interval_min", T.IntegerTy
 def write_feature_tables(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """IO3: write feature tables of one or more intervals, one folder per interval.
 
-    Rows are clustered by series and bucket inside each file (sort within
-    partitions, no global sort), which keeps Parquet min/max statistics tight
-    for series and time-range filters.
+    Range partitioning on (interval, series, bucket) gives balanced files even
+    when one series is much longer than the others (a long series spans several
+    files), and each file holds a contiguous (series, time) range, so Parquet
+    min/max statistics prune series and time-range filters well.
     """
     if "interval_min" not in df.columns:
         raise ValueError("expects an interval_min column (see build_features_all)")
-    out = df.repartition("interval_min", "zone", "instance").sortWithinPartitions("zone", "instance", "bucket_epoch")
+    keys = ["interval_min", "zone", "instance", "bucket_epoch"]
+    out = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     writer = out.write.mode("overwrite").partitionBy("interval_min")
     if fmt == "csv":
         writer.option("header", True).csv(path)
@@ -53,3 +55,15 @@ def series_extract(df: DataFrame, zone: str, instance: str) -> DataFrame:
 def export_single_csv(df: DataFrame, path: str) -> None:
     """IO4 / IO5 sink: one CSV file with a header. For small report extracts only."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> list[str]:
+    """IO8: expose frames to SQL as temporary views; returns the view names."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return list(tables)
+
+
+def write_leaderboard(board: DataFrame, path: str) -> None:
+    """M16 sink: append a leaderboard (a few rows per search) to a Parquet folder."""
+    board.coalesce(1).write.mode("append").parquet(path)
