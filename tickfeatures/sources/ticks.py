@@ -57,8 +57,13 @@ def ticks_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+# Columns of the ``events`` test table that the adapter reads (an explicit schema
+# skips footer inference and reads only these columns).
+EVENTS_READ_SCHEMA = "ts timestamp_ntz, user_id bigint, event_type string, value double"
+
+
 def load_event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return ticks_from_events(spark.read.schema(EVENTS_READ_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
 
 
 def sql_ticks_from_events(table: str = "events") -> str:
