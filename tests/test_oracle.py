@@ -9,7 +9,10 @@ import pytest
 from __spark_entry__ import oracle_sql, queries
 from conftest import SF_SMALL
 
-SLOW = {"corr_matrix", "corr_label", "feature_csv_roundtrip"}
+SPARK_FAMILY = {"int": "int32", "bigint": "int64", "double": "float64", "string": "string", "date": "date",
+                "timestamp_ntz": "timestamp", "boolean": "bool"}
+DUCK_FAMILY = {"INTEGER": "int32", "BIGINT": "int64", "DOUBLE": "float64", "VARCHAR": "string", "DATE": "date",
+               "TIMESTAMP": "timestamp", "BOOLEAN": "bool"}
 
 
 def _norm(v):
@@ -41,6 +44,9 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(dcols)
+    dtypes = {d[0]: str(d[1]) for d in res.description}
+    for f in df.schema.fields:  # same type family on both sides
+        assert SPARK_FAMILY.get(f.dataType.simpleString(), "?s") == DUCK_FAMILY.get(dtypes[f.name], "?d"), f.name
     idx = [dcols.index(c) for c in cols]
     want = sorted(tuple(_norm(r[i]) for i in idx) for r in res.fetchall())
     assert got == want

@@ -556,7 +556,7 @@ rc AS (SELECT zone, instance, date, avg(spot_price) AS day_avg FROM ft GROUP BY
 st AS (SELECT zone, instance, date - 1 AS date, min(prev_day_avg_price) AS smin, max(prev_day_avg_price) AS smax
        FROM ft GROUP BY zone, instance, date)
 SELECT rc.zone, rc.instance, count(*) AS days_checked,
-  sum(CAST(abs(day_avg - smin) > 1e-9 OR abs(day_avg - smax) > 1e-9 AS BIGINT)) AS days_mismatched
+  CAST(sum(CAST(abs(day_avg - smin) > 1e-9 OR abs(day_avg - smax) > 1e-9 AS BIGINT)) AS BIGINT) AS days_mismatched
 FROM rc JOIN st ON rc.zone = st.zone AND rc.instance = st.instance AND rc.date = st.date
 GROUP BY rc.zone, rc.instance""")
 def q_qc_prev_day(spark, sf):
@@ -571,9 +571,9 @@ j AS (SELECT b.zone, b.instance, b.spot_price, b.price_change, b.y_future_price,
       LEFT JOIN ft p ON p.zone = b.zone AND p.instance = b.instance AND p.bucket_epoch + 3600 = b.bucket_epoch
       LEFT JOIN ft n ON n.zone = b.zone AND n.instance = b.instance AND n.bucket_epoch - 3600 = b.bucket_epoch)
 SELECT zone, instance, count(*) AS n_rows, count(prev_price) AS n_with_prev,
-  coalesce(sum(CAST(abs(price_change - (spot_price - prev_price)) > 1e-9 AS BIGINT)), 0) AS n_change_mismatch,
+  CAST(coalesce(sum(CAST(abs(price_change - (spot_price - prev_price)) > 1e-9 AS BIGINT)), 0) AS BIGINT) AS n_change_mismatch,
   count(next_price) AS n_with_next,
-  coalesce(sum(CAST(abs(y_future_price - next_price) > 1e-9 AS BIGINT)), 0) AS n_future_mismatch
+  CAST(coalesce(sum(CAST(abs(y_future_price - next_price) > 1e-9 AS BIGINT)), 0) AS BIGINT) AS n_future_mismatch
 FROM j GROUP BY zone, instance""")
 def q_qc_lag_lead(spark, sf):
     """Change and future price agree with the rows one hour before / after."""
@@ -581,9 +581,9 @@ def q_qc_lag_lead(spark, sf):
 
 
 @query("qc_calendar", f"""{_w('ft')}
-SELECT count(*) AS n_rows, sum(CAST(hour(bucket_ts) <> hour AS BIGINT)) AS n_hour_mismatch,
-  sum(CAST(isodow(bucket_ts) <> iso_dow AS BIGINT)) AS n_dow_mismatch,
-  sum(CAST(CAST(bucket_ts AS DATE) <> date AS BIGINT)) AS n_date_mismatch FROM ft""")
+SELECT count(*) AS n_rows, CAST(sum(CAST(hour(bucket_ts) <> hour AS BIGINT)) AS BIGINT) AS n_hour_mismatch,
+  CAST(sum(CAST(isodow(bucket_ts) <> iso_dow AS BIGINT)) AS BIGINT) AS n_dow_mismatch,
+  CAST(sum(CAST(CAST(bucket_ts AS DATE) <> date AS BIGINT)) AS BIGINT) AS n_date_mismatch FROM ft""")
 def q_qc_calendar(spark, sf):
     """K7: hour, weekday and date agree with the bucket timestamp."""
     return quality.calendar_consistency(_ft(spark, sf))
@@ -670,7 +670,7 @@ g AS (SELECT zone, instance, price_change AS s, sum(CAST(y_increase > 0.5 AS BIG
         sum(CAST(y_increase <= 0.5 AS BIGINT)) AS neg FROM ft GROUP BY zone, instance, price_change),
 c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY zone, instance ORDER BY s
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
-SELECT zone, instance, sum(pos) AS n_pos, sum(neg) AS n_neg,
+SELECT zone, instance, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
   {O.r('sum(pos * (below + neg * 0.5)) / NULLIF(sum(pos) * sum(neg), 0)', 'auc')}
 FROM c GROUP BY zone, instance""")
 def q_auc_baseline(spark, sf):

@@ -32,7 +32,7 @@ def feature_select(prefix: Sequence[str] = ()) -> str:
 
 
 def _caps_values() -> str:
-    return ", ".join(f"('{a}', '{b}', {c})" for a, b, c in PRICE_CAPS)
+    return ", ".join(f"('{a}', '{b}', CAST({c} AS DOUBLE))" for a, b, c in PRICE_CAPS)
 
 
 def ctes(intervals: Sequence[int], eps: float = EPSILON, upto: str = "ft") -> str:
