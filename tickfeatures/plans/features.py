@@ -96,12 +96,21 @@ def build_features_all(
     eps: float = EPSILON,
     caps: DataFrame | None = None,
     mode: str = "series",
+    prev_day: str | None = None,
 ) -> DataFrame:
-    """Feature tables of several intervals from one scan: ``interval_min`` + the 36 columns."""
+    """Feature tables of several intervals from one scan: ``interval_min`` + the 36 columns.
+
+    ``mode="series"`` windows over whole series (bounded by the bucket grid) and
+    takes the previous day from a range window on the same shuffle.
+    ``mode="chunked"`` runs no window over a whole series: lags/leads per block
+    of positions with a halo, previous-day statistics by a join on (series, date).
+    ``prev_day`` ("window" / "join") overrides the previous-day form.
+    """
+    how = prev_day or ("join" if mode == "chunked" else "window")
     df = bucket_table(ticks, intervals, caps)
     df = with_lags(df, eps, mode)
     df = with_leads(df, mode)
-    df = with_previous_day(df)
+    df = with_previous_day(df, how)
     return df.select("interval_min", *FEATURE_COLUMNS)
 
 
@@ -111,6 +120,7 @@ def build_features(
     eps: float = EPSILON,
     caps: DataFrame | None = None,
     mode: str = "series",
+    prev_day: str | None = None,
 ) -> DataFrame:
     """The 36-column feature table of one interval (lazy: no action is run)."""
-    return build_features_all(ticks, [interval], eps, caps, mode).drop("interval_min")
+    return build_features_all(ticks, [interval], eps, caps, mode, prev_day).drop("interval_min")
