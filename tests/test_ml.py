@@ -100,3 +100,10 @@ def test_predicted_label_text(ft):
     _, _, preds = rf_classifier_grid(ft, trees=(5,))
     vals = {r["predicted_label"] for r in preds.select("predicted_label").distinct().collect()}
     assert vals <= {"0.0", "1.0", "2.0"}
+
+
+def test_model_fits_are_reproducible(ft):
+    from tickfeatures.ml.models import logistic_fit
+    a = [tuple(r) for r in logistic_fit(ft)[0].orderBy("iteration").collect()]
+    b = [tuple(r) for r in logistic_fit(ft.repartition(7))[0].orderBy("iteration").collect()]
+    assert a == b  # same data in another partitioning: bit-identical objective history

@@ -60,11 +60,22 @@ LEADERBOARD = T.StructType([
 ])
 
 
+def stable_order(df: DataFrame, key: Sequence[str] = SPLIT_KEY) -> DataFrame:
+    """Reproducible partitioning and row order (hash by key, sorted within partitions).
+
+    Shuffle output arrives in no fixed order, and model fitting sums gradients
+    and bags rows in partition order, so without this two runs on the same data
+    can differ in the last bits (and ROC curves in their number of points).
+    """
+    return df.repartition(*key).sortWithinPartitions(*key)
+
+
 class SplitData:
-    """Hash-split model input, checkpointed once (lineage cut, survives lost executors)."""
+    """Hash-split model input in a reproducible order, checkpointed once (lineage cut,
+    survives lost executors)."""
 
     def __init__(self, df: DataFrame, key: Sequence[str] = SPLIT_KEY, checkpoint: bool = True):
-        split = with_split(df, key)
+        split = with_split(stable_order(df, key), key)
         self.all = materialize(split) if checkpoint else split
         self.train = self.all.where(F.col("part") == "train")
         self.validation = self.all.where(F.col("part") == "validation")
@@ -182,7 +193,7 @@ def logistic_fit(df: DataFrame, label: str = "y_direction", features: Sequence[s
     from ..schemas import numeric_features
 
     feats = list(features) if features is not None else numeric_features(df)
-    split = with_two_way_split(df, SPLIT_KEY)
+    split = materialize(with_two_way_split(stable_order(df), SPLIT_KEY))
     train = split.where(F.col("part") == "train")
     test = split.where(F.col("part") == "test")
     pipe = Pipeline(stages=[assembler(feats), binarizer(label, "label"), LogisticRegression(**LOGISTIC_PARAMS)])
@@ -208,7 +219,7 @@ def gbt_classifier(df: DataFrame, label: str = "y_direction", features: Sequence
     from ..schemas import numeric_features
 
     feats = list(features) if features is not None else numeric_features(df)
-    split = with_two_way_split(df, SPLIT_KEY)
+    split = materialize(with_two_way_split(stable_order(df), SPLIT_KEY))
     pipe = Pipeline(stages=[
         assembler(feats), binarizer(label, "label"), label_indexer("label", "indexed_label"),
         feature_indexer("features", "indexed_features"),
