@@ -5,7 +5,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from conftest import SF_MID
 from tickfeatures.ml.evaluate import accuracy, auc, rmse
 from tickfeatures.ml.models import gbt_regressor_grid, rf_classifier_grid, rf_regressor_grid
 from tickfeatures.ml.prepare import label_index_table

@@ -9,7 +9,6 @@ the same way, so the two can be compared by value hash.
 from __future__ import annotations
 
 import datetime as _dt
-import os
 import uuid
 from collections.abc import Callable
 
@@ -17,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.check import stable_round
-from ..functions.labels import current_direction
 from ..functions.pricing import caps_frame, region_of, uncovered_series, with_price_cap
 from ..functions.time import bucket_start, date_of, epoch_seconds, hour_of, slot_in_hour
 from ..ml.evaluate import momentum_auc, persistence_accuracy, persistence_rmse
