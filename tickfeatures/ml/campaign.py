@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stats import top_n_series
+from ..session import materialize
 from ..schemas import (
     GBT_REGRESSOR_ITERS,
     MLP_HIDDEN_LAYERS,
     MLP_MAX_ITERS,
     RF_TREE_GRID,
     SELECTED_FEATURES,
+    SERIES_KEYS,
     numeric_features,
 )
 from .models import gbt_regressor_grid, mlp_grid, rf_classifier_grid, rf_regressor_grid
@@ -30,9 +32,18 @@ CAMPAIGN_PARALLELISM = 6
 
 
 def _series_tables(tables: Mapping[int, DataFrame], n_series: int):
+    """(interval, zone, instance, rows of that series) for the first ``n_series`` series.
+
+    The chosen series are cut out of each table in one pass (semi join with the
+    broadcast n-row series list) and checkpointed, so the searches read only
+    that small subset, never the full table (or its lineage) once per series.
+    Pass materialised tables (written or checkpointed): the table is read twice,
+    once to pick the series and once to cut them out.
+    """
     for interval, table in tables.items():
-        for row in top_n_series(table, n_series).collect():
-            subset = table.where((F.col("zone") == F.lit(row["zone"])) & (F.col("instance") == F.lit(row["instance"])))
+        picked = materialize(table.join(F.broadcast(top_n_series(table, n_series)), list(SERIES_KEYS), "left_semi"))
+        for row in picked.select(*SERIES_KEYS).distinct().orderBy(*SERIES_KEYS).collect():
+            subset = picked.where((F.col("zone") == F.lit(row["zone"])) & (F.col("instance") == F.lit(row["instance"])))
             yield interval, row["zone"], row["instance"], subset
 
 

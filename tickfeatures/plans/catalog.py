@@ -778,11 +778,18 @@ def q_gbt_regressor_grid(spark, sf):
     return gbt_regressor_grid(_ft(spark, sf), "y_future_price", _sel(), QUERY_GBT_ITERS)
 
 
+def _materialized_tables(spark, sf, intervals) -> dict:
+    """Feature tables of all intervals from one scan of the ticks, checkpointed once."""
+    from ..session import materialize
+    allf = materialize(build_features_all(_ticks(spark, sf), intervals))
+    return {iv: allf.where(F.col("interval_min") == iv).drop("interval_min") for iv in intervals}
+
+
 @query("classification_campaign")
 def q_classification_campaign(spark, sf):
     """RF and MLP per interval (15, 60) for the first series; one leaderboard."""
     from ..ml.campaign import classification_campaign
-    tables = {iv: _ft(spark, sf, iv) for iv in (15, 60)}
+    tables = _materialized_tables(spark, sf, (15, 60))
     return classification_campaign(tables, 1, "y_direction", QUERY_TREES, QUERY_MLP_HIDDEN, QUERY_MLP_ITERS)
 
 
@@ -790,5 +797,5 @@ def q_classification_campaign(spark, sf):
 def q_regression_campaign(spark, sf):
     """RF and GBT regressors per interval (15, 30, 60) for the first four series."""
     from ..ml.campaign import regression_campaign
-    tables = {iv: _ft(spark, sf, iv) for iv in INTERVALS}
+    tables = _materialized_tables(spark, sf, INTERVALS)
     return regression_campaign(tables, 4, "y_future_price", QUERY_TREES, QUERY_GBT_ITERS)
