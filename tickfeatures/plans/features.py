@@ -11,7 +11,7 @@ from ..functions.calendar import calendar_flags
 from ..functions.labels import direction_class, direction_flags, volatility_flag
 from ..functions.pricing import caps_frame, irrational_flag, with_price_cap
 from ..functions.time import date_of, hour_of, iso_day_of_week, slot_in_hour, timestamp_of
-from ..operators.daily import add_mean_differences, fill_with_mean, join_previous_day, previous_day_by_range
+from ..operators.daily import join_previous_day, previous_day_by_range
 from ..operators.resample import resample_many
 from ..operators.sequence import shift_columns
 from ..schemas import EPSILON, FEATURE_COLUMNS, SERIES_KEYS
@@ -29,16 +29,20 @@ LEADS = {
 def bucket_table(ticks: DataFrame, intervals: Sequence[int], caps: DataFrame | None = None) -> DataFrame:
     """Resampled rows with calendar and price-cap columns (before any window)."""
     caps = caps if caps is not None else caps_frame(ticks.sparkSession)
-    base = resample_many(ticks, intervals, SERIES_KEYS)
+    base = with_price_cap(resample_many(ticks, intervals, SERIES_KEYS), caps)
     e = F.col("bucket_epoch")
-    df = base.withColumns({
+    hour, dow = hour_of(e), iso_day_of_week(e)
+    cols = {
         "date": date_of(e),
         "bucket_ts": timestamp_of(e),
-        "hour": hour_of(e),
+        "hour": hour,
         "slot": slot_in_hour(e, F.col("interval_min")),
-        "iso_dow": iso_day_of_week(e),
-    }).withColumns(calendar_flags())
-    return with_price_cap(df, caps).withColumn("is_irrational", irrational_flag()).drop("cap")
+        "iso_dow": dow,
+        **calendar_flags(hour, dow),
+        "is_irrational": irrational_flag(),
+    }
+    # one projection (each DataFrame step costs a round of analysis on the driver)
+    return base.select(*[c for c in base.columns if c != "cap"], *[v.alias(k) for k, v in cols.items()])
 
 
 def add_lags(df: DataFrame, mode: str = "series") -> DataFrame:
@@ -49,12 +53,13 @@ def add_lags(df: DataFrame, mode: str = "series") -> DataFrame:
 def changes_and_flags(df: DataFrame, eps: float = EPSILON) -> DataFrame:
     """Drop rows without three lags, then price changes and direction flags."""
     df = df.dropna(subset=["spot_price", "lag_1", "lag_2", "lag_3"])
-    df = df.withColumns({
-        "price_change": F.col("spot_price") - F.col("lag_1"),
+    change = F.col("spot_price") - F.col("lag_1")
+    return df.withColumns({
+        "price_change": change,
         "price_change_lag1": F.col("lag_1") - F.col("lag_2"),
         "price_change_lag2": F.col("lag_2") - F.col("lag_3"),
+        **direction_flags(change, eps),
     })
-    return df.withColumns(direction_flags("price_change", eps))
 
 
 def with_lags(df: DataFrame, eps: float = EPSILON, mode: str = "series") -> DataFrame:
@@ -65,8 +70,9 @@ def with_lags(df: DataFrame, eps: float = EPSILON, mode: str = "series") -> Data
 def with_leads(df: DataFrame, mode: str = "series") -> DataFrame:
     """Next-step labels, then drop of each series' last row."""
     df = shift_columns(df, SERIES_WINDOW_KEYS, "bucket_epoch", LEADS, mode=mode)
-    df = df.withColumns({c: F.col(c).cast("double") for c in ("y_increase", "y_decrease", "y_same")})
-    df = df.withColumn("y_direction", direction_class("y_increase", "y_same", "y_decrease").cast("double"))
+    flags = {c: F.col(c).cast("double") for c in ("y_increase", "y_decrease", "y_same")}
+    direction = direction_class(flags["y_increase"], flags["y_same"], flags["y_decrease"]).cast("double")
+    df = df.withColumns({**flags, "y_direction": direction})
     return df.dropna(subset=["y_increase", "y_decrease", "y_same", "y_future_price"])
 
 
@@ -84,10 +90,23 @@ def with_previous_day(df: DataFrame, how: str = "window") -> DataFrame:
         df = join_previous_day(df, SERIES_WINDOW_KEYS)
     else:
         raise ValueError(f"unknown previous-day form {how!r}")
-    df = add_mean_differences(df)
-    df = fill_with_mean(df, "prev_day_std_change", by=("interval_min",))
-    df = df.withColumn("is_volatile", volatility_flag("price_change", "prev_day_std_change"))
-    return df.fillna(0.0, subset=["price_change", "y_future_price"])
+    # null/NaN std -> mean std of the interval (one row per interval, broadcast)
+    raw_std = F.when(~F.isnan("prev_day_std_change"), F.col("prev_day_std_change"))
+    means = df.groupBy("interval_min").agg(F.avg(raw_std).alias("_fill"))
+    df = df.join(F.broadcast(means), ["interval_min"], "left")
+    std = F.coalesce(raw_std, F.col("_fill"))
+
+    def zero_fill(c: str):  # P15: fillna(0.0) semantics (null or NaN -> 0.0)
+        return F.nanvl(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0))
+
+    return df.withColumns({
+        "diff_mean_price": F.col("spot_price") - F.col("prev_day_avg_price"),
+        "abs_diff_mean_change": F.abs(F.col("price_change") - F.col("prev_day_avg_change")),
+        "prev_day_std_change": std,
+        "is_volatile": volatility_flag("price_change", std),
+        "price_change": zero_fill("price_change"),
+        "y_future_price": zero_fill("y_future_price"),
+    }).drop("_fill")
 
 
 def build_features_all(
