@@ -84,11 +84,3 @@ def fill_with_mean(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFr
         .withColumn(column, F.coalesce(clean, F.col("_fill")))
         .drop("_fill")
     )
-
-
-def add_mean_differences(df: DataFrame) -> DataFrame:
-    """Distance of price and change from the previous day's means."""
-    return df.withColumns({
-        "diff_mean_price": F.col("spot_price") - F.col("prev_day_avg_price"),
-        "abs_diff_mean_change": F.abs(F.col("price_change") - F.col("prev_day_avg_change")),
-    })
