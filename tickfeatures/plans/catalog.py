@@ -134,6 +134,16 @@ def q_time_parts(spark, sf):
     )
 
 
+@query("ticks_json_roundtrip", f"{_w('res')}\nSELECT zone, instance, bucket_epoch, {O.r('spot_price')} FROM res")
+def q_ticks_json_roundtrip(spark, sf):
+    """IO1: all ticks written as JSON lines in the source format, read back with the JSON
+    reader (explicit schema, text parsing), then resampled hourly."""
+    from ..sources.ticks import read_ticks_json, write_ticks_json
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ticks_json_{uuid.uuid4().hex}"
+    write_ticks_json(_ticks(spark, sf), path)
+    return resample(read_ticks_json(spark, path), 60)
+
+
 def _register_resample(iv: int) -> None:
     @query(f"resample_{iv}", f"{_w('res', iv)}\nSELECT zone, instance, bucket_epoch, {O.r('spot_price')} FROM res")
     def q(spark, sf):

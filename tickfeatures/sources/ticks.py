@@ -26,6 +26,16 @@ def read_ticks_json(spark: SparkSession, path: str) -> DataFrame:
     return normalize_raw_ticks(spark.read.schema(TICK_JSON).json(path))
 
 
+def write_ticks_json(ticks: DataFrame, path: str) -> None:
+    """Write normalised ticks as JSON lines in the source format (ISO text time, text price)."""
+    ticks.select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("TimeStamp"),
+        F.col("spot_price").cast("string").alias("SpotPrice"),
+        F.col("zone").alias("AvailabilityZone"),
+        F.col("instance").alias("InstanceType"),
+    ).write.mode("overwrite").json(path)
+
+
 def normalize_raw_ticks(raw: DataFrame) -> DataFrame:
     """(TimeStamp, SpotPrice, AvailabilityZone, InstanceType) text -> typed ticks.
 
