@@ -33,13 +33,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's setting, else (tests only) a fresh local one."""
+    """The shared checkpoint folder: the session's setting; only a local-mode session
+    (tests, local runs) without one gets a fresh local folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a shared folder (a machine-local folder does not survive lost executors)"
+        )
     path = tempfile.mkdtemp(prefix="tickfeatures-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
