@@ -24,3 +24,15 @@ def test_build_statistics_quality_jobs(spark):
     lag = report["lag_lead"].agg({"n_change_mismatch": "max", "n_future_mismatch": "max"}).first()
     assert tuple(lag) == (0, 0)
     assert report["prev_day"].agg({"days_mismatched": "max"}).first()[0] == 0
+
+
+def test_cli_build_and_quality(spark, capsys):
+    base = tempfile.mkdtemp(prefix="tf-cli-", dir="/tmp")
+    write_ticks_json(load_event_ticks(spark, SF_SMALL), f"{base}/ticks")
+    jobs.main(["build", "--ticks", f"{base}/ticks", "--out", f"{base}/features", "--mode", "chunked"])
+    folders = {f for f in os.listdir(f"{base}/features") if f.startswith("interval_min=")}
+    assert folders == {"interval_min=15", "interval_min=30", "interval_min=60"}
+    jobs.main(["quality", "--features", f"{base}/features", "--out", f"{base}/reports"])
+    out = capsys.readouterr().out
+    assert "lag_lead {'n_change_mismatch': 0, 'n_future_mismatch': 0}" in out
+    assert os.path.isdir(f"{base}/reports/calendar")
