@@ -29,7 +29,7 @@ from ..operators.daily import (
 )
 from ..operators.resample import resample
 from ..operators.split import hash_sample, with_split, with_two_way_split
-from ..schemas import EPSILON, FEATURE_COLUMNS, INTERVALS, LABELS, SERIES_KEYS, numeric_features
+from ..schemas import EPSILON, FEATURE_COLUMNS, INTERVALS, LABELS, SELECTED_FEATURES, SERIES_KEYS, numeric_features
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_feature_table, series_extract, write_feature_tables
 from ..sources.ticks import load_event_ticks
@@ -699,7 +699,7 @@ QUERY_GBT_ITERS = (10, 20, 30, 40, 50)
 def q_assemble(spark, sf):
     """The five chosen features assembled into a vector, with the key."""
     from ..ml.prepare import assembler
-    return assembler(list(_sel())).transform(_ft(spark, sf)).select(*K, "features")
+    return assembler(list(SELECTED_FEATURES)).transform(_ft(spark, sf)).select(*K, "features")
 
 
 @query("prepare")
@@ -710,16 +710,11 @@ def q_prepare(spark, sf):
     return prepare(ft, "y_direction", numeric_features(ft))
 
 
-def _sel():
-    from ..schemas import SELECTED_FEATURES
-    return SELECTED_FEATURES
-
-
 @query("rf_classifier_grid")
 def q_rf_classifier_grid(spark, sf):
     """Random-forest classifier tree grid on the hourly table; leaderboard."""
     from ..ml.models import rf_classifier_grid
-    board, _, _ = rf_classifier_grid(_ft(spark, sf), "y_direction", _sel(), QUERY_TREES)
+    board, _, _ = rf_classifier_grid(_ft(spark, sf), "y_direction", SELECTED_FEATURES, QUERY_TREES)
     return board
 
 
@@ -727,7 +722,7 @@ def q_rf_classifier_grid(spark, sf):
 def q_rf_up_auc(spark, sf):
     """Exact one-vs-rest AUC of the "up" class from the selected forest's probabilities."""
     from ..ml.models import rf_classifier_grid, up_vs_rest_auc
-    _, _, preds = rf_classifier_grid(_ft(spark, sf), "y_direction", _sel(), QUERY_TREES)
+    _, _, preds = rf_classifier_grid(_ft(spark, sf), "y_direction", SELECTED_FEATURES, QUERY_TREES)
     # the indexer's label order as seen in the predictions (one row per class)
     seen = {int(r["indexed_label"]): r["label"] for r in preds.select(
         "indexed_label", F.col("y_direction").cast("string").alias("label")).distinct().collect()}
@@ -739,7 +734,7 @@ def q_rf_up_auc(spark, sf):
 def q_rf_importance(spark, sf):
     """Feature importances of the selected forest, descending."""
     from ..ml.models import rf_classifier_grid
-    _, imp, _ = rf_classifier_grid(_ft(spark, sf), "y_direction", _sel(), QUERY_TREES)
+    _, imp, _ = rf_classifier_grid(_ft(spark, sf), "y_direction", SELECTED_FEATURES, QUERY_TREES)
     return imp
 
 
@@ -778,14 +773,14 @@ def q_gbt_classifier(spark, sf):
 def q_rf_regressor_grid(spark, sf):
     """M7: random-forest regressor tree grid, ascending nRMSE."""
     from ..ml.models import rf_regressor_grid
-    return rf_regressor_grid(_ft(spark, sf), "y_future_price", _sel(), QUERY_TREES)
+    return rf_regressor_grid(_ft(spark, sf), "y_future_price", SELECTED_FEATURES, QUERY_TREES)
 
 
 @query("gbt_regressor_grid")
 def q_gbt_regressor_grid(spark, sf):
     """M8: boosted-tree regressor iteration grid from one fit, ascending nRMSE."""
     from ..ml.models import gbt_regressor_grid
-    return gbt_regressor_grid(_ft(spark, sf), "y_future_price", _sel(), QUERY_GBT_ITERS)
+    return gbt_regressor_grid(_ft(spark, sf), "y_future_price", SELECTED_FEATURES, QUERY_GBT_ITERS)
 
 
 def _materialized_tables(spark, sf, intervals) -> dict:
