@@ -1,5 +1,6 @@
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helpers import BASE, ticks
@@ -74,3 +75,20 @@ def test_timezone_independent(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert (r["date"], r["hour"], r["bucket_ts"]) == (dt.date(2024, 1, 1), 23, dt.datetime(2024, 1, 1, 23, 0))
+
+
+def test_legacy_key_groups_and_orders_like_bucket_start(spark):
+    from tickfeatures.functions.time import legacy_bucket_key
+    from tickfeatures.sources.ticks import load_event_ticks
+    from conftest import SF_SMALL
+    t = load_event_ticks(spark, SF_SMALL)
+    for iv in (15, 30, 60):
+        r = resample(t, iv).withColumn("k", legacy_bucket_key("bucket_epoch", iv))
+        assert r.select("zone", "instance", "k").distinct().count() == r.count()
+        # same order: within a series the key rises strictly with the bucket start
+        w = Window.partitionBy("zone", "instance").orderBy("bucket_epoch")
+        assert r.where(F.col("k") <= F.lag("k").over(w)).count() == 0
+    # 05:17:33 at 15 minutes: slot 2 -> hour start + 2 minutes
+    one = ticks(spark, [("us-west-2a", "m1.medium", BASE + dt.timedelta(hours=5, minutes=17, seconds=33), 1.0)])
+    k = resample(one, 15).select(legacy_bucket_key("bucket_epoch", 15)).first()[0]
+    assert k == int((BASE + dt.timedelta(hours=5, minutes=2)).replace(tzinfo=dt.timezone.utc).timestamp())

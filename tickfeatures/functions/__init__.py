@@ -10,6 +10,7 @@ from .time import (
     epoch_seconds,
     hour_of,
     iso_day_of_week,
+    legacy_bucket_key,
     slot_in_hour,
     timestamp_of,
     unix_day,
@@ -17,7 +18,7 @@ from .time import (
 
 __all__ = [
     "bucket_start", "calendar_flags", "caps_frame", "current_direction", "date_of", "direction_class",
-    "direction_flags", "epoch_seconds", "hour_of", "irrational_flag", "iso_day_of_week", "region_of",
+    "direction_flags", "epoch_seconds", "hour_of", "irrational_flag", "iso_day_of_week", "legacy_bucket_key", "region_of",
     "slot_in_hour", "stable_round", "timestamp_of", "uncovered_series", "unix_day", "volatility_flag",
     "with_price_cap",
 ]

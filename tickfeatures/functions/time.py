@@ -41,6 +41,16 @@ def slot_in_hour(bucket_epoch: str | Column, interval_min: int | str | Column) -
     return (F.floor(F.pmod(_c(bucket_epoch), F.lit(SECONDS_PER_HOUR)) / n) + 1).cast("int")
 
 
+def legacy_bucket_key(bucket_epoch: str | Column, interval_min: int | str | Column) -> Column:
+    """The reference's numeric bucket key: hour start + slot minutes (slot = 1..60/interval).
+
+    It groups and orders exactly like ``bucket_epoch``; only the number differs. For
+    users who need the old key's values (e.g. to join with tables built by the reference).
+    """
+    e = _c(bucket_epoch)
+    return (e - F.pmod(e, F.lit(SECONDS_PER_HOUR)) + slot_in_hour(e, interval_min) * 60).cast("long")
+
+
 def unix_day(epoch: str | Column) -> Column:
     """Days since 1970-01-01 (floor)."""
     return F.floor(_c(epoch) / F.lit(SECONDS_PER_DAY)).cast("int")
