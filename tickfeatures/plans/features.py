@@ -121,8 +121,10 @@ def build_features_all(
 
     ``mode="series"`` windows over whole series (bounded by the bucket grid) and
     takes the previous day from a range window on the same shuffle.
-    ``mode="chunked"`` runs no window over a whole series: lags/leads per block
-    of positions with a halo, previous-day statistics by a join on (series, date).
+    ``mode="chunked"`` runs no window over all rows of a series: lags/leads per
+    block of positions with a halo (only the running count of earlier days spans
+    a series, over one row per day), previous-day statistics by a join on
+    (series, date).
     ``prev_day`` ("window" / "join") overrides the previous-day form.
     """
     how = prev_day or ("join" if mode == "chunked" else "window")
