@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, dac, knn_quality, order_minhash
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -23,8 +24,43 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER), digests=True)
 
 
+def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = dac.new_folder(spark, "token-ids")
+    dac.write_ids(docs, public_tokenizers.path(TOKENIZER), folder, end_id=2)
+    return dac.read_documents(spark, folder)
+
+
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def crc_remainder(divisor: int):
+    """crc32 of the doc_id as text, modulo the divisor."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> knn_quality.Model:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return knn_quality.train(table(spark, sf_dir, "documents"), labels, crc_remainder(3) != 1)
+
+
+def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = knn_quality.score_documents(docs, quality_model(spark, sf_dir))
+    return scored.select(
+        "doc_id",
+        F.coalesce(crc_remainder(3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op7_direct_codes": op7_direct_codes,
+    "op9_order_minhash": op9_order_minhash,
+    "op10_knn_quality": op10_knn_quality,
 }
 
 ORACLE: dict[str, str] = {}

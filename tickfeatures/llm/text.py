@@ -18,7 +18,7 @@ SHINGLE_WORDS = 5
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 
@@ -126,7 +126,7 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, and each text's first word."""
     start, end, first = split_words(data, offsets)
-    return span_hashes(_BYTE_CODE[_LOWER[data]], start, end), first
+    return span_hashes(BYTE_CODE[_LOWER[data]], start, end), first
 
 
 def shingle_sets(words: np.ndarray, first: np.ndarray, size: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
