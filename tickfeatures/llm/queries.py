@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, knn_quality, order_minhash
+from . import bpe, dac, knn_quality, order_minhash, partenum
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -24,6 +24,10 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER), digests=True)
 
 
+def op4_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = dac.new_folder(spark, "token-ids")
@@ -58,6 +62,7 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op4_partenum": op4_partenum,
     "op7_direct_codes": op7_direct_codes,
     "op9_order_minhash": op9_order_minhash,
     "op10_knn_quality": op10_knn_quality,
