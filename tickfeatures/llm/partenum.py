@@ -24,8 +24,8 @@ Filter. A set whose shared signatures in an instance number less than its ``need
 link there (exact, since signatures shared with a linked set are shared signatures).
 
 Verification. Sets that still share a signature form candidate families (connected
-components). Each family is cut into blocks of about ``BLOCK`` sets by hash; each pair of
-blocks that a signature connects is compared at once by a product of incidence matrices,
+components). Each family is cut by hash into blocks of about ``BLOCK`` sets or
+``BLOCK_ELEMENTS`` shingles, whichever is less; each pair of blocks that a signature connects is compared at once by a product of incidence matrices,
 which gives exact intersections. Only links' spanning edges and link counts come out, so
 no pair list is made; a large group of near copies is spread over many block pairs.
 
@@ -56,7 +56,8 @@ from .text import bytes_of, mix, mix_int, pieces, set_key, shingle_sets, to_sign
 PERCENT = 80
 GROWTH = 1.6
 FAMILIES = 6
-BLOCK = 128
+BLOCK = 1024
+BLOCK_ELEMENTS = 400_000
 #: extra partitions, as a share of k: a linked pair then shares several signatures, not just one
 SLACK = 0.08
 
@@ -299,12 +300,12 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(docs: DataFrame, owners: DataFrame, shared: DataFrame) -> DataFrame:
     """``x, y, links`` rows (see ``_verify``) for all candidates, checkpointed."""
     family = components(shared.select(F.col("set_id").alias("a"), F.col("lo").alias("b")))
-    size = family.groupBy("component").agg(F.count("*").alias("n"))
+    family = family.withColumnRenamed("node", "set_id").join(owners.select("set_id", "n_shingles"), "set_id")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_ELEMENTS))
+    size = family.groupBy("component").agg(parts.alias("parts"))
     blocks = materialize(
         family.join(size, "component").select(
-            F.col("node").alias("set_id"),
-            F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))).alias("block"),
-            (F.col("n") > BLOCK).alias("wide"),
+            "set_id", F.xxhash64("component", F.pmod(F.xxhash64("set_id"), "parts")).alias("block"), (F.col("parts") > 1).alias("wide")
         )
     )
     # one document per set gives its shingles
@@ -335,7 +336,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): ``doc_id, n_shingles, component_id`` (the least
     doc_id reachable by links) and ``n_links`` (linked rows, copies included)."""
     sets = materialize(document_sets(docs))
-    owners = sets.where("n_shingles > 0").groupBy("set_id").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "tie")).alias("owner"), F.min("doc_id").alias("least"))
+    owners = sets.where("n_shingles > 0").groupBy("set_id").agg(F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", "tie")).alias("owner"), F.min("doc_id").alias("least"))
     found = verified(docs, owners, candidates(docs))
     classes = components(found.where("y is not null").select(F.col("x").alias("a"), F.col("y").alias("b")))
     links = found.groupBy("x").agg(F.sum("links").alias("links"))
