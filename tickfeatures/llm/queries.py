@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, decontaminate, knn_quality, order_minhash, partenum
+from . import bpe, dac, decontaminate, knn_quality, license_scan, order_minhash, partenum
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -34,6 +34,10 @@ def op5_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.col("at").cast("bigint").alias("first_word"), F.round("similarity", 6).alias("similarity"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = dac.new_folder(spark, "token-ids")
@@ -70,6 +74,7 @@ QUERIES = {
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_partenum": op4_partenum,
     "op5_simhash_windows": op5_simhash_windows,
+    "op6_license_scan": op6_license_scan,
     "op7_direct_codes": op7_direct_codes,
     "op9_order_minhash": op9_order_minhash,
     "op10_knn_quality": op10_knn_quality,
