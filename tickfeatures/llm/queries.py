@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, decontaminate, knn_quality, license_scan, order_minhash, partenum
+from . import bpe, chat_rotation, dac, decontaminate, knn_quality, license_scan, order_minhash, partenum, url_reputation
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -19,6 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# fixed values
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page outcomes: a page's path ends in the doc_id of its text, whose quality label is the outcome."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    shown = F.regexp_extract(url_reputation.path_of(F.col("url")), r"^/[a-z]+/([0-9]{1,18})", 1)
+    of = pages.select("page_id", F.when(shown != "", shown).cast("bigint").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("outcome"))
+    return url_reputation.judge(pages, of.join(labels, "doc_id").select("page_id", "outcome"), URL_RULES)
+
+
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER), digests=True)
@@ -71,6 +94,8 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_reputation": op1_url_reputation,
+    "op2_chat_rotation": op2_chat_rotation,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_partenum": op4_partenum,
     "op5_simhash_windows": op5_simhash_windows,
@@ -80,4 +105,4 @@ QUERIES = {
     "op10_knn_quality": op10_knn_quality,
 }
 
-ORACLE: dict[str, str] = {}
+from .oracle import ORACLE  # noqa: E402, F401
