@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_rotation, dac, decontaminate, knn_quality, license_scan, order_minhash, partenum, url_reputation
+from . import bpe, chat_rotation, dac, decontaminate, interpolated_lm, knn_quality, license_scan, order_minhash, partenum, url_reputation
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -68,6 +68,10 @@ def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(spark, folder)
 
 
+def op8_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), from_files=True)
+
+
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -101,6 +105,7 @@ QUERIES = {
     "op5_simhash_windows": op5_simhash_windows,
     "op6_license_scan": op6_license_scan,
     "op7_direct_codes": op7_direct_codes,
+    "op8_interpolated_lm": op8_interpolated_lm,
     "op9_order_minhash": op9_order_minhash,
     "op10_knn_quality": op10_knn_quality,
 }
