@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .pretokens import Vocabulary, encoder, ranges, vocabulary
 
@@ -146,17 +148,24 @@ class Decoder:
             at = end
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", digests: bool = False) -> DataFrame:
-    """Columns of ``docs`` but the text, and ``ids`` (array<int>), ``n_tokens`` and
-    ``decoded`` (the decoded text); ``digests`` gives ``ids_sha256`` and
-    ``decoded_sha256`` instead of the ids and the text. One pass, no shuffle."""
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
+#: columns that ``encode_documents`` can append
+OUTPUTS = {
+    "ids": "array<int>",
+    "decoded": "string",
+    "ids_sha256": "string",
+    "decoded_sha256": "string",
+}
 
-    clash = {"ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"}
-    keep = [f for f in docs.schema.fields if f.name != text and f.name not in clash]
-    made = [T.StructField("n_tokens", T.LongType())]
-    made += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digests else [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+
+def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """Columns of ``docs`` but the text, then ``n_tokens`` and the ``outputs``: the ids, the
+    decoded text, and lowercase hex SHA-256 of the ids (little-endian unsigned 32-bit) and of
+    the decoded UTF-8. Columns of these names in ``docs`` are replaced. One pass, no shuffle."""
+    if unknown := set(outputs) - set(OUTPUTS):
+        raise ValueError(f"unknown outputs: {sorted(unknown)}")
+    keep = [f for f in docs.schema.fields if f.name != text and f.name not in {"n_tokens", *outputs}]
+    made = [T.StructField("n_tokens", T.LongType()), *(T.StructField(o, T.ArrayType(T.IntegerType()) if o == "ids" else T.StringType()) for o in outputs)]
+    names = [*(f.name for f in keep), *(f.name for f in made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(tokenizer_path)
@@ -164,19 +173,23 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", d
         for batch in batches:
             at = 0
             for n, ids, lengths in coder.encode(batch.column(0).to_pylist()):
-                decoded = decoder.decode(ids, lengths)
                 columns = [batch.column(i + 1).slice(at, n) for i in range(len(keep))]
-                columns.append(pa.array(lengths, pa.int64()))
-                if digests:
-                    ends = np.cumsum(lengths).tolist()
-                    raw = ids.astype("<u4").tobytes()
-                    columns.append(pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.string()))
-                    columns.append(pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()))
-                else:
-                    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())))
-                    columns.append(pa.array([d.decode("utf-8", "replace") for d in decoded], pa.string()))
+                columns += [pa.array(lengths, pa.int64()), *(_output(o, ids, lengths, decoder) for o in outputs)]
                 at += n
-                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in keep), *(f.name for f in made)])
-
-    return docs.select(F.col(text).cast("string").alias("_text"), *[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, T.StructType([*keep, *made]))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select(F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, T.StructType([*keep, *made]))
+
+
+def _output(name: str, ids: np.ndarray, lengths: np.ndarray, decoder: Decoder) -> pa.Array:
+    if name == "ids":
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+    if name == "ids_sha256":
+        ends = np.cumsum(lengths).tolist()
+        raw = ids.astype("<u4").tobytes()
+        return pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.string())
+    decoded = decoder.decode(ids, lengths)
+    if name == "decoded":
+        return pa.array([d.decode("utf-8", "replace") for d in decoded], pa.string())
+    return pa.array([hashlib.sha256(d.decode("utf-8", "replace").encode()).hexdigest() for d in decoded], pa.string())

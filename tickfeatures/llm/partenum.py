@@ -332,9 +332,29 @@ def verified(docs: DataFrame, owners: DataFrame, shared: DataFrame) -> DataFrame
     return materialize(within.union(between).mapInArrow(_verify, "x bigint, y bigint, links bigint"))
 
 
+def one_per_class(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class: the one with the least doc_id (null last; then
+    the least hash of the text), same columns. Texts without words are classes of their own."""
+    last = F.lit(2**63 - 1).cast("bigint")
+    rows = _classes(docs).withColumn("key", F.struct(F.coalesce("doc_id", last).alias("id"), "tie"))
+    first = rows.where("n_shingles > 0").groupBy("component").agg(F.min("key").alias("first"))
+    gone = rows.join(first, "component").where(F.col("key") != F.col("first")).select(F.col("key.id").alias("__id"), F.col("key.tie").alias("__tie")).distinct()
+    empty = F.size(F.array_remove(F.split(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\t\n\x0b\x0c\r", "     "), " "), "")) == 0
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), last)).withColumn("__tie", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
+    kept = keyed.join(gone, ["__id", "__tie"], "left_anti")
+    # equal rows of one doc_id are one class too; the window uses the join's partitioning
+    order = Window.partitionBy("__id", "__tie").orderBy("__id")
+    kept = kept.withColumn("__empty", empty).withColumn("__row", F.row_number().over(order)).where("__row = 1 or __empty")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): ``doc_id, n_shingles, component_id`` (the least
     doc_id reachable by links) and ``n_links`` (linked rows, copies included)."""
+    return _classes(docs).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     sets = materialize(document_sets(docs))
     owners = sets.where("n_shingles > 0").groupBy("set_id").agg(F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", "tie")).alias("owner"), F.min("doc_id").alias("least"))
     found = verified(docs, owners, candidates(docs))
@@ -347,9 +367,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         .select("set_id", "least", F.coalesce("component", "set_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     by_class = by_set.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = by_set.join(by_class, "component").select("set_id", "component_id", "n_links")
+    by_set = by_set.join(by_class, "component").select("set_id", "component", "component_id", "n_links")
     return sets.join(by_set, "set_id", "left").select(
         "doc_id",
+        "tie",
+        "component",
         "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("n_shingles") == 0, F.lit(0)).otherwise(F.col("n_links")).cast("bigint").alias("n_links"),

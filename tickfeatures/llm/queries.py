@@ -44,7 +44,7 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER), digests=True)
+    return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER), outputs=("ids_sha256", "decoded_sha256"))
 
 
 def op4_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,14 +81,14 @@ def crc_remainder(divisor: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
 
 
-def quality_model(spark: SparkSession, sf_dir: str) -> knn_quality.Model:
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return knn_quality.train(table(spark, sf_dir, "documents"), labels, crc_remainder(3) != 1)
+def quality_model(docs: DataFrame, sf_dir: str) -> knn_quality.Model:
+    labels = table(docs.sparkSession, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return knn_quality.train(docs, labels, crc_remainder(3) != 1)
 
 
 def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = knn_quality.score_documents(docs, quality_model(spark, sf_dir))
+    scored = knn_quality.score_documents(docs, quality_model(docs, sf_dir))
     return scored.select(
         "doc_id",
         F.coalesce(crc_remainder(3) == 1, F.lit(False)).alias("held_out"),
