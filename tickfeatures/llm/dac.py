@@ -50,7 +50,7 @@ def pack(ids: np.ndarray) -> bytes:
         bits = np.packbits(more, bitorder="little")
         blocks = -(-len(more) // BLOCK_BITS)
         bits = np.concatenate([bits, np.zeros(blocks * BLOCK_BITS // 8 - len(bits), np.uint8)])
-        counts = np.bitwise_count(bits).reshape(blocks, -1).sum(1, dtype=np.uint32)
+        counts = np.bitwise_count(bits).reshape(blocks, BLOCK_BITS // 8).sum(1, dtype=np.uint32)
         ranks = np.cumsum(counts, dtype=np.uint32) - counts
         levels.append(struct.pack("<Q", len(rest)) + (rest & np.uint64(255)).astype(np.uint8).tobytes() + bits.tobytes() + ranks.astype("<u4").tobytes())
         rest = rest[more] >> np.uint64(8)

@@ -66,13 +66,13 @@ def _strength(groups: DataFrame) -> DataFrame:
     p(1-p) (1/n + (1 - 1/n) / (strength + 1)), solved for the strength with both sides
     summed with weights n."""
     p = F.col("parent")
-    rate = F.col("good") / F.col("n")
+    rate = F.try_divide("good", "n")
     sums = groups.where("n > 0").agg(
         F.sum(F.col("n") * (rate - p) * (rate - p)).alias("observed"),
         F.sum(p * (1 - p)).alias("sampling"),
         F.sum((F.col("n") - 1) * p * (1 - p)).alias("spread"),
     )
-    ratio = F.col("spread") / (F.col("observed") - F.col("sampling")) - 1
+    ratio = F.try_divide(F.col("spread"), F.col("observed") - F.col("sampling")) - 1
     inside = F.when(F.col("observed") <= F.col("sampling"), F.lit(MAX_STRENGTH)).otherwise(F.least(F.lit(MAX_STRENGTH), F.greatest(F.lit(MIN_STRENGTH), ratio)))
     return sums.select(F.coalesce(inside, F.lit(MIN_STRENGTH)).alias("strength"))
 
@@ -100,7 +100,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
     domains = level.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    table = suffixes.agg(F.coalesce(F.sum("good") / F.sum("n"), F.lit(0.5)).alias("parent"))
+    table = suffixes.agg(F.coalesce(F.try_divide(F.sum("good"), F.sum("n")), F.lit(0.5)).alias("parent"))
     suffix_mean = _shrunk(suffixes.crossJoin(F.broadcast(table))).select("suffix", F.col("mean").alias("parent"))
     domain_mean = _shrunk(domains.join(suffix_mean, "suffix")).select("domain", F.col("mean").alias("parent"))
     posterior = _shrunk(level.join(domain_mean, "domain"))
