@@ -59,7 +59,7 @@ def test_views_and_leaderboard_sink(spark):
 
 def test_long_series_spans_several_files(spark):
     from helpers import BASE, hourly, ticks
-    rows = hourly("us-west-2a", "m1.medium", BASE, [0.1 + (i % 7) * 0.01 for i in range(24 * 20)])
+    rows = hourly("us-west-2a", "m1.medium", BASE, [0.1 + (i % 7) * 0.01 for i in range(24 * 150)])
     rows += hourly("eu-west-1a", "c3.large", BASE, [0.2, 0.21, 0.22, 0.23, 0.24, 0.25] * 8)
     allf = build_features_all(ticks(spark, rows), [60])
     path = tempfile.mkdtemp(prefix="tf-io-", dir="/tmp") + "/ft"

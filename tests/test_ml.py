@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 from conftest import SF_MID
 from tickfeatures.ml.evaluate import accuracy, auc, rmse
-from tickfeatures.ml.models import gbt_regressor_grid, rf_classifier_grid, rf_regressor_grid
+from tickfeatures.ml.models import (
+    SEED,
+    SPLIT_KEY,
+    SearchData,
+    _forest_classifier,
+    _steps,
+    gbt_regressor_grid,
+    rf_classifier_grid,
+    rf_regressor_grid,
+)
 from tickfeatures.ml.prepare import label_index_table
 from tickfeatures.operators.split import hash_bucket, with_split
 from tickfeatures.plans.features import build_features
+from tickfeatures.schemas import RF_TREE_GRID, SELECTED_FEATURES
 from tickfeatures.sources.ticks import load_event_ticks
 
 
@@ -69,13 +79,26 @@ def test_rf_classifier_leaderboard(ft):
     board, imp, _ = rf_classifier_grid(ft, trees=(10, 20))
     rows = board.collect()
     assert len(rows) == 2 and sum(r["selected"] for r in rows) == 1
-    best = max(rows, key=lambda r: (r["validation_score"], -rows.index(r)))
-    assert best["selected"] and best["rank"] == 1 and best["test_score"] is not None
     assert all(0.0 <= r["validation_score"] <= 1.0 for r in rows)
     total = sum(r["importance"] for r in imp.collect())
     assert abs(total - 1.0) < 1e-9
 
 
+def test_nested_forest_votes_like_its_trees(ft):
+    """A candidate's score is that of the union of its parts: the votes of all trees, summed."""
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+
+    with SearchData(ft, SELECTED_FEATURES, "y_direction", index_label=True, index_features=True) as d:
+        a, b = (_forest_classifier(n, SEED + i).fit(d.train) for i, n in enumerate((3, 4)))
+        one = d.validation.limit(50)
+        va, vb = (np.array([r["v"] for r in m.transform(one).orderBy(*SPLIT_KEY).select(vector_to_array("rawPrediction").alias("v")).collect()]) for m in (a, b))
+        single = [t.transform(one).orderBy(*SPLIT_KEY).select(vector_to_array("probability").alias("v")).collect() for t in (*a.trees, *b.trees)]
+        votes = sum(np.array([r["v"] for r in t]) for t in single)
+        assert np.allclose(va + vb, votes)
+    assert _steps((50, 70, 90)) == [50, 20, 20] and sum(_steps(RF_TREE_GRID)) == 390
+
+
 def test_regressor_winner_is_lowest_error(ft):
     one = ft.where((F.col("zone") == "us-west-2a") & (F.col("instance") == "m1.medium"))
     board = rf_regressor_grid(one, trees=(5, 10)).collect()
@@ -107,3 +130,29 @@ def test_model_fits_are_reproducible(ft):
     a = [tuple(r) for r in logistic_fit(ft)[0].orderBy("iteration").collect()]
     b = [tuple(r) for r in logistic_fit(ft.repartition(7))[0].orderBy("iteration").collect()]
     assert a == b  # same data in another partitioning: bit-identical objective history
+
+
+def test_logistic_and_boosted_classifiers(ft):
+    from tickfeatures.ml.models import gbt_classifier, logistic_fit
+
+    history, roc, info = logistic_fit(ft)
+    assert history.count() > 1 and roc.agg({"tpr": "max"}).first()[0] == 1.0
+    row = info.first()
+    assert 0.0 <= row["train_area_under_roc"] <= 1.0 and 0.0 < row["test_accuracy"] <= 1.0 and row["skipped_rows"] == 0
+    row = gbt_classifier(ft, max_iter=2).first()
+    assert 0.5 < row["accuracy"] <= 1.0 and abs(row["accuracy"] + row["test_error"] - 1.0) < 1e-12
+
+
+def test_prepare_and_assemble(ft):
+    from pyspark.ml.functions import vector_to_array
+    from tickfeatures.ml.prepare import prepare
+
+    rows = prepare(ft, "y_direction", ["spot_price", "is_irrational"], keep=["y_direction"])
+    bad = rows.where((F.col("label") != (F.col("y_direction") > 0.5).cast("double")) | (F.size(vector_to_array("features")) != 2))
+    assert rows.count() == ft.count() and bad.count() == 0
+
+
+def test_searches_leave_nothing_behind(spark, ft):
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    rf_regressor_grid(ft, trees=(2,))
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before

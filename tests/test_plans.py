@@ -46,3 +46,23 @@ def test_only_bounded_tables_are_broadcast(spark):
     hints = re.findall(r"Hint=\(strategy=broadcast\)", opt)
     # the 9-row cap table (twice: main and fill branches) and the per-interval means
     assert 1 <= len(hints) <= 3
+
+
+def test_no_copies_of_ticks_below_the_first_aggregate(spark):
+    """Several intervals roll up one fine aggregate: ticks are never copied per interval."""
+    from tickfeatures.operators.resample import resample_many
+    plan = _plan(resample_many(load_event_ticks(spark, SF_SMALL), [15, 30, 60]))
+    below = plan[plan.index("Generate explode"):]
+    assert plan.count("Generate explode") == 1 and plan.count("FileScan") == 1
+    assert "partial_sum" in below and "HashAggregate" in below
+
+
+def test_row_loss_reads_the_events_once(spark):
+    from tickfeatures.operators.quality import row_loss
+    assert _plan(row_loss(load_event_ticks(spark, SF_SMALL), 60)).count("FileScan") == 1
+
+
+def test_domain_counts_do_not_expand_the_rows(spark):
+    from tickfeatures.operators.stats import domain_counts
+    plan = _plan(domain_counts(load_event_ticks(spark, SF_SMALL)))
+    assert "Expand" not in plan and plan.count("FileScan") == 1

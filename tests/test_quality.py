@@ -38,10 +38,26 @@ def test_checks_find_injected_errors(spark):
 
 
 def test_row_loss_stages_shrink(spark):
-    from tickfeatures.plans.features import add_lags, bucket_table, changes_and_flags, with_leads
-    t = ticks(spark, _two_days("us-west-2a", "m1.medium", 1))
+    """One pass over marked rows counts what dropping stage by stage leaves."""
+    from tickfeatures.operators.daily import join_previous_day
+    from tickfeatures.plans.features import SERIES_WINDOW_KEYS, add_lags, bucket_table, changes_and_flags, with_leads
+    rows = _two_days("us-west-2a", "m1.medium", 1) + _two_days("eu-west-1a", "c3.large", 3)[:11]
+    rows += [("eu-west-1a", "c3.large", None, 0.1)] * 3 + [("us-west-2a", "m1.medium", BASE + dt.timedelta(hours=4), None)]
+    rows += [("us-west-2b", "m1.medium", BASE + dt.timedelta(hours=i), None if i == 2 else 0.2) for i in range(6)]
+    t = ticks(spark, rows)
     bk = bucket_table(t, [60])
     ch = changes_and_flags(add_lags(bk))
     ld = with_leads(ch)
-    rows = quality.row_loss([("resampled", bk), ("lags", ch), ("leads", ld)]).orderBy("stage_order").collect()
-    assert [r["rows"] for r in rows] == [24, 21, 20]
+    pd = join_previous_day(ld, SERIES_WINDOW_KEYS)
+    got = [(r["stage_order"], r["stage"], r["rows"]) for r in quality.row_loss(t, 60).orderBy("stage_order").collect()]
+    assert got == [(i, s, df.count()) for i, (s, df) in enumerate(zip(quality.ROW_STAGES, (t, bk, ch, ld, pd)))]
+    assert [r["rows"] for r in quality.row_loss(t.limit(0), 60).collect()] == [0] * 5
+
+
+def test_missing_series_and_lists(spark):
+    from tickfeatures.operators.stats import domain_counts, domain_lists
+    rows = _two_days("us-west-2a", "m1.medium", 1) + _two_days("us-west-2a", "c3.large", 2) + _two_days("eu-west-1a", "m1.medium", 3)
+    ft = _ft(spark, rows)
+    assert [tuple(r) for r in quality.missing_series(ft).collect()] == [("eu-west-1a", "c3.large")]
+    assert tuple(domain_counts(ft).first()) == (2, 2, 3)
+    assert domain_lists(ft).count() == 7

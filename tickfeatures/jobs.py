@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .operators import quality, stats
 from .plans.features import build_features_all
-from .schemas import EPSILON, INTERVALS
+from .schemas import EPSILON, FEATURES, INTERVALS
 from .sources.tables import export_single_csv, read_feature_table, series_extract, write_feature_tables, write_leaderboard
 from .sources.ticks import read_ticks_json
 
@@ -34,19 +34,24 @@ def build(spark: SparkSession, ticks_path: str, out: str, intervals: Sequence[in
     write_feature_tables(build_features_all(read_ticks_json(spark, ticks_path), intervals, eps, mode=mode), out, fmt)
 
 
-def statistics(spark: SparkSession, features: str, out: str, interval: int = 60) -> None:
-    """One-series extract and mean daily density per series, as single CSV files."""
-    ft = read_feature_table(spark, features, interval)
-    export_single_csv(series_extract(ft, EXPORT_ZONE, EXPORT_INSTANCE), f"{out}/series")
-    export_single_csv(stats.density_mean(ft), f"{out}/density")
+def statistics(spark: SparkSession, features: str, out: str, intervals: Sequence[int] = INTERVALS, fmt: str = "parquet") -> None:
+    """One-series extract and mean daily density per series, as single CSV files per interval."""
+    for interval in intervals:
+        ft = read_feature_table(spark, features, interval, fmt)
+        export_single_csv(series_extract(ft, EXPORT_ZONE, EXPORT_INSTANCE), f"{out}/{interval}/series")
+        export_single_csv(stats.density_mean(ft), f"{out}/{interval}/density")
 
 
-def quality_report(spark: SparkSession, features: str, interval: int = 60) -> dict[str, DataFrame]:
-    """Data-quality checks over all rows, as small frames."""
-    ft = read_feature_table(spark, features, interval)
+def quality_report(spark: SparkSession, features: str, interval: int = 60, fmt: str = "parquet") -> dict[str, DataFrame]:
+    """Data-quality checks over all rows of one interval, as small frames."""
+    problems = quality.stored_schema_problems(spark, features, FEATURES, fmt)
+    ft = read_feature_table(spark, features, interval, fmt)
     return {
+        "schema": spark.createDataFrame([(p,) for p in problems], "problem string"),
         "domain_counts": stats.domain_counts(ft),
+        "domain_lists": stats.domain_lists(ft),
         "completeness": quality.completeness(ft),
+        "missing_series": quality.missing_series(ft),
         "prev_day": quality.prev_day_reconciliation(ft),
         "lag_lead": quality.lag_lead_consistency(ft, interval),
         "calendar": quality.calendar_consistency(ft),
@@ -54,23 +59,23 @@ def quality_report(spark: SparkSession, features: str, interval: int = 60) -> di
 
 
 def classify(spark: SparkSession, features: str, out: str, intervals: Sequence[int] = (15, 60),
-             n_series: int = 1) -> DataFrame:
+             n_series: int | None = None, fmt: str = "parquet", split: str = "hash", **grids) -> DataFrame:
     """Random-forest and MLP searches per interval and series; appends to a leaderboard folder."""
     from .ml.campaign import classification_campaign
 
-    tables = {iv: read_feature_table(spark, features, iv) for iv in intervals}
-    board = classification_campaign(tables, n_series)
+    tables = {iv: read_feature_table(spark, features, iv, fmt) for iv in intervals}
+    board = classification_campaign(tables, n_series, split=split, **grids)
     write_leaderboard(board, out)
     return board
 
 
 def regress(spark: SparkSession, features: str, out: str, intervals: Sequence[int] = INTERVALS,
-            n_series: int = 4) -> DataFrame:
+            n_series: int | None = None, fmt: str = "parquet", split: str = "hash", **grids) -> DataFrame:
     """Random-forest and boosted-tree regressor searches per interval and series."""
     from .ml.campaign import regression_campaign
 
-    tables = {iv: read_feature_table(spark, features, iv) for iv in intervals}
-    board = regression_campaign(tables, n_series)
+    tables = {iv: read_feature_table(spark, features, iv, fmt) for iv in intervals}
+    board = regression_campaign(tables, n_series, split=split, **grids)
     write_leaderboard(board, out)
     return board
 
@@ -80,30 +85,40 @@ def main(argv: Sequence[str] | None = None) -> None:
     sub = p.add_subparsers(dest="job", required=True)
     b = sub.add_parser("build")
     b.add_argument("--ticks", required=True)
-    b.add_argument("--out", required=True)
-    b.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     b.add_argument("--mode", default="series", choices=["series", "chunked"])
-    for name in ("statistics", "quality", "classify", "regress"):
-        s = sub.add_parser(name)
-        s.add_argument("--features", required=True)
+    b.add_argument("--eps", type=float, default=EPSILON)
+    for name in ("build", "statistics", "quality", "classify", "regress"):
+        s = b if name == "build" else sub.add_parser(name)
+        if name != "build":
+            s.add_argument("--features", required=True)
         s.add_argument("--out", required=name != "quality")
+        s.add_argument("--format", default="parquet", choices=["parquet", "csv"])
+        s.add_argument("--intervals", type=int, nargs="+", default=[15, 60] if name == "classify" else list(INTERVALS))
+        if name in ("classify", "regress"):
+            s.add_argument("--n-series", type=int, default=None, help="only the first n series (default: all)")
+            s.add_argument("--split", default="hash", choices=["hash", "time"])
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"tickfeatures-{a.job}").getOrCreate()
     if a.job == "build":
-        build(spark, a.ticks, a.out, fmt=a.format, mode=a.mode)
+        build(spark, a.ticks, a.out, a.intervals, a.eps, fmt=a.format, mode=a.mode)
     elif a.job == "statistics":
-        statistics(spark, a.features, a.out)
+        statistics(spark, a.features, a.out, a.intervals, a.format)
     elif a.job == "quality":
-        for name, df in quality_report(spark, a.features).items():
-            bad = [c for c in df.columns if "mismatch" in c or c == "n_missing"]
-            worst = df.agg(*[F.max(c).alias(c) for c in bad]).first() if bad else None
-            print(name, worst.asDict() if worst else df.first().asDict())
-            if a.out:
-                df.coalesce(1).write.mode("overwrite").parquet(f"{a.out}/{name}")
+        for interval in a.intervals:
+            for name, df in quality_report(spark, a.features, interval, a.format).items():
+                print(interval, name, _worst(df))
+                if a.out:
+                    df.coalesce(1).write.mode("overwrite").parquet(f"{a.out}/{interval}/{name}")
     elif a.job == "classify":
-        classify(spark, a.features, a.out)
+        classify(spark, a.features, a.out, a.intervals, a.n_series, a.format, a.split)
     elif a.job == "regress":
-        regress(spark, a.features, a.out)
+        regress(spark, a.features, a.out, a.intervals, a.n_series, a.format, a.split)
+
+
+def _worst(df: DataFrame) -> dict:
+    """The greatest mismatch counts of a check, or the number of its rows."""
+    bad = [c for c in df.columns if "mismatch" in c or c == "n_missing"]
+    return df.agg(*[F.max(c).alias(c) for c in bad]).first().asDict() if bad else {"rows": df.count()}
 
 
 if __name__ == "__main__":

@@ -1,19 +1,20 @@
 """Per-(interval, series) model campaigns with one leaderboard.
 
-The series are the first ``n`` in (zone, instance) order (the reference takes
-the first one or four). The loop runs over this bounded list only; each model
-search inside it is distributed.
+All series by default; ``n_series`` takes the first n in (zone, instance) order instead.
+The loop runs over the list of series only; each model search inside it is distributed.
+A search that fails becomes an error row of the leaderboard; the others go on.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.stats import top_n_series
+from ..operators.stats import distinct_series, top_n_series
 from ..session import materialize
 from ..schemas import (
     GBT_REGRESSOR_ITERS,
@@ -24,70 +25,70 @@ from ..schemas import (
     SERIES_KEYS,
     numeric_features,
 )
-from .models import gbt_regressor_grid, mlp_grid, rf_classifier_grid, rf_regressor_grid
+from .models import failed_board, gbt_regressor_grid, mlp_grid, rf_classifier_search, rf_regressor_grid
 
 
 # Concurrent (interval, series) searches; each one is a chain of small distributed jobs.
 CAMPAIGN_PARALLELISM = 6
 
 
-def _series_tables(tables: Mapping[int, DataFrame], n_series: int):
-    """(interval, zone, instance, rows of that series) for the first ``n_series`` series.
+def _series_tables(tables: Mapping[int, DataFrame], n_series: int | None):
+    """(interval, zone, instance, rows of that series) for all or the first ``n_series`` series.
 
-    The chosen series are cut out of each table in one pass (semi join with the
-    broadcast n-row series list) and checkpointed, so the searches read only
-    that small subset, never the full table (or its lineage) once per series.
-    Pass materialised tables (written or checkpointed): the table is read twice,
-    once to pick the series and once to cut them out.
+    The table is checkpointed once (after a semi join with the n-row series list, if there is
+    one), so the searches read it, never its lineage, once per series.
     """
     for interval, table in tables.items():
-        picked = materialize(table.join(F.broadcast(top_n_series(table, n_series)), list(SERIES_KEYS), "left_semi"))
-        for row in picked.select(*SERIES_KEYS).distinct().orderBy(*SERIES_KEYS).collect():
+        if n_series is not None:
+            table = table.join(F.broadcast(top_n_series(table, n_series)), list(SERIES_KEYS), "left_semi")
+        picked = materialize(table)
+        for row in distinct_series(picked).orderBy(*SERIES_KEYS).collect():
             subset = picked.where((F.col("zone") == F.lit(row["zone"])) & (F.col("instance") == F.lit(row["instance"])))
             yield interval, row["zone"], row["instance"], subset
 
 
-def _run(tables: Mapping[int, DataFrame], n_series: int, job: Callable, parallelism: int) -> DataFrame:
-    tasks = list(_series_tables(tables, n_series))
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as pool:
-        results = list(pool.map(lambda t: [_tag(b, t[0], t[1], t[2]) for b in job(t[3])], tasks))
-    return _union([b for r in results for b in r])
-
+def _run(tables: Mapping[int, DataFrame], n_series: int | None, searches: Mapping[str, Callable], label: str, parallelism: int,
+         run_id: str | None) -> DataFrame:
+    run_id = run_id or uuid.uuid4().hex
+    tasks = [(t, name, search) for t in _series_tables(tables, n_series) for name, search in searches.items()]
 
-def _tag(board: DataFrame, interval: int, zone: str, instance: str) -> DataFrame:
-    return board.select(F.lit(interval).alias("interval_min"), F.lit(zone).alias("zone"),
-                        F.lit(instance).alias("instance"), "*")
+    def one(task) -> DataFrame:
+        (interval, zone, instance, subset), name, search = task
+        try:
+            board = search(subset, run_id)
+        except Exception as e:  # one series must not end the campaign
+            board = failed_board(subset.sparkSession, name, label, f"{type(e).__name__}: {e}".splitlines()[0], run_id)
+        return board.select(F.lit(interval).alias("interval_min"), F.lit(zone).alias("zone"), F.lit(instance).alias("instance"), "*")
 
-
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    if not tasks:
+        raise ValueError("no series in the tables")
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as pool:
+        parts = list(pool.map(one, tasks))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def classification_campaign(tables: Mapping[int, DataFrame], n_series: int = 1, label: str = "y_direction",
+def classification_campaign(tables: Mapping[int, DataFrame], n_series: int | None = None, label: str = "y_direction",
                             trees: Sequence[int] = RF_TREE_GRID,
                             hidden: Sequence[Sequence[int]] = MLP_HIDDEN_LAYERS,
                             max_iters: Sequence[int] = MLP_MAX_ITERS,
-                            parallelism: int = CAMPAIGN_PARALLELISM) -> DataFrame:
+                            parallelism: int = CAMPAIGN_PARALLELISM, split: str = "hash", run_id: str | None = None) -> DataFrame:
     """Random forest (5 chosen features) and MLP (all numeric features) per interval and series."""
+    searches = {
+        "random_forest_classifier": lambda s, r: rf_classifier_search(s, label, SELECTED_FEATURES, trees, split=split, run_id=r).board,
+        "multilayer_perceptron": lambda s, r: mlp_grid(s, label, numeric_features(s), hidden, max_iters, split=split, run_id=r)[0],
+    }
+    return _run(tables, n_series, searches, label, parallelism, run_id)
 
-    def job(subset: DataFrame) -> list[DataFrame]:
-        rf_board, _, _ = rf_classifier_grid(subset, label, SELECTED_FEATURES, trees)
-        mlp_board, _ = mlp_grid(subset, label, numeric_features(subset), hidden, max_iters)
-        return [rf_board, mlp_board]
 
-    return _run(tables, n_series, job, parallelism)
-
-
-def regression_campaign(tables: Mapping[int, DataFrame], n_series: int = 4, label: str = "y_future_price",
+def regression_campaign(tables: Mapping[int, DataFrame], n_series: int | None = None, label: str = "y_future_price",
                         trees: Sequence[int] = RF_TREE_GRID, iters: Sequence[int] = GBT_REGRESSOR_ITERS,
-                        parallelism: int = CAMPAIGN_PARALLELISM) -> DataFrame:
+                        parallelism: int = CAMPAIGN_PARALLELISM, split: str = "hash", run_id: str | None = None) -> DataFrame:
     """Random-forest and boosted-tree regressors per interval and series (filtered, unlike D9)."""
-
-    def job(subset: DataFrame) -> list[DataFrame]:
-        return [rf_regressor_grid(subset, label, SELECTED_FEATURES, trees),
-                gbt_regressor_grid(subset, label, SELECTED_FEATURES, iters)]
-
-    return _run(tables, n_series, job, parallelism)
+    searches = {
+        "random_forest_regressor": lambda s, r: rf_regressor_grid(s, label, SELECTED_FEATURES, trees, split=split, run_id=r),
+        "gbt_regressor": lambda s, r: gbt_regressor_grid(s, label, SELECTED_FEATURES, iters, split=split, run_id=r),
+    }
+    return _run(tables, n_series, searches, label, parallelism, run_id)

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.labels import current_direction
 from ..schemas import EPSILON, SERIES_KEYS
 
-AUC_BUCKETS = 64
-
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -43,26 +41,28 @@ def rmse(df: DataFrame, prediction: str | Column, label: str | Column, by: Seque
 
 
 def auc(df: DataFrame, score: str | Column, label: str | Column, by: Sequence[str] = (),
-        buckets: int = AUC_BUCKETS) -> DataFrame:
+        buckets: int | None = None) -> DataFrame:
     """Exact area under the ROC curve (ties count one half), per ``by`` group.
 
     AUC = sum over distinct scores s of pos(s) * (neg(< s) + neg(s) / 2) / (P * N).
-    The running count neg(< s) is a prefix sum over sorted distinct scores; it is
-    split into ``buckets`` score ranges (cut at approximate quantiles: the cuts
-    only balance the work, the sum stays exact), so no window ever spans all
-    scores: one window per (group, range) plus one over the per-range totals.
+    The running count neg(< s) is a prefix sum over sorted distinct scores; it is split
+    into ``buckets`` ranges of each group's scores (default: the session's shuffle
+    partitions, so ranges grow with the cluster). The cuts are approximate quantiles of
+    the group: they only balance the work, the sum stays exact. One window runs per
+    (group, range), one over the per-range totals.
     """
     by = list(by)
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     y = (_c(label) > 0.5).cast("long")
     g = df.where(_c(score).isNotNull() & _c(label).isNotNull()).groupBy(*by, _c(score).alias("_s")).agg(
         F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg")
     )
     if buckets > 1:
-        cuts = g.agg(F.percentile_approx("_s", [i / buckets for i in range(1, buckets)], 10_000)).scalar()
-        # number of cuts below the score = its position in the sorted cuts + score, minus one
-        g = g.withColumn("_b", F.array_position(F.sort_array(F.array_union(cuts, F.array(F.col("_s")))), F.col("_s")) - 1)
+        cuts = g.groupBy(*by).agg(F.percentile_approx("_s", [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"))
+        g = g.join(cuts, by) if by else g.crossJoin(cuts)  # without groups: one row
+        g = g.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts")
     else:
-        g = g.withColumn("_b", F.lit(0).cast("long"))
+        g = g.withColumn("_b", F.lit(0))
     totals = g.groupBy(*by, "_b").agg(F.sum("_neg").alias("_bneg"))
     earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_b", F.coalesce(F.sum("_bneg").over(earlier), F.lit(0)).alias("_before_b"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.time import bucket_start, epoch_seconds
 from ..schemas import SERIES_KEYS
+from .stats import distinct_series
 
 TOLERANCE = 1e-9
 
@@ -23,17 +25,31 @@ def schema_problems(df: DataFrame, expected: T.StructType) -> list[str]:
     return problems
 
 
+def stored_schema_problems(spark: SparkSession, path: str, expected: T.StructType, fmt: str = "parquet") -> list[str]:
+    """K1 on a stored feature table: Parquet by name and type, CSV by the header's names."""
+    if fmt == "csv":
+        have = set(spark.read.option("header", True).csv(path).columns)
+        return [f"missing {f.name}" for f in expected.fields if f.name not in have]
+    return schema_problems(spark.read.parquet(path), expected)
+
+
 def completeness(df: DataFrame) -> DataFrame:
-    """K3: per zone, how many of all seen instance types it has (no cross product).
+    """K3: per zone, how many of all seen instance types it has. ``n_missing`` > 0 marks a
+    zone lacking some series. The rows are read once, for the distinct series."""
+    series = distinct_series(df)
+    instances = series.select("instance").where("instance is not null").distinct().agg(F.count(F.lit(1)).alias("n_all"))
+    zones = series.groupBy("zone").agg(F.count("instance").alias("n_instances"))
+    return zones.crossJoin(F.broadcast(instances)).select(  # one row
+        "zone", "n_instances", (F.col("n_all") - F.col("n_instances")).alias("n_missing"))
 
-    ``n_missing`` > 0 marks a zone lacking some series.
-    """
-    all_instances = df.select(F.count_distinct("instance")).scalar()
-    return (
-        df.groupBy("zone")
-        .agg(F.count_distinct("instance").alias("n_instances"))
-        .withColumn("n_missing", (all_instances - F.col("n_instances")).cast("long"))
-    )
+
+def missing_series(df: DataFrame) -> DataFrame:
+    """K3: the (zone, instance) pairs that no row has although the zone and the instance
+    type occur. The grid is built from the distinct zones and instance types (their
+    numbers are domain sizes, not row counts)."""
+    series = distinct_series(df).where("zone is not null and instance is not null")
+    grid = series.select("zone").distinct().crossJoin(series.select("instance").distinct())
+    return grid.join(series, list(SERIES_KEYS), "left_anti")
 
 
 def prev_day_reconciliation(df: DataFrame) -> DataFrame:
@@ -92,12 +108,30 @@ def calendar_consistency(df: DataFrame) -> DataFrame:
     )
 
 
-def row_loss(stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Row count after each named stage, one aggregate per stage, as rows."""
-    out = None
-    for i, (name, df) in enumerate(stages):
-        part = df.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(i).alias("stage_order"), F.lit(name).alias("stage"), "rows"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+ROW_STAGES = ("ticks", "resampled", "after_lag_drop", "after_lead_drop", "after_prev_day_join")
+
+
+def row_loss(ticks: DataFrame, interval_min: int) -> DataFrame:
+    """Rows after each stage of the build, in one pass over the ticks.
+
+    The stages only mark rows instead of dropping them: a bucket has its lags if it and the
+    three before it have prices, its lead if a later marked bucket follows, its previous
+    day if that day has a marked bucket. All windows share one shuffle of the buckets;
+    the flags and the tick counts are summed once.
+    """
+    e = epoch_seconds("ts")
+    buckets = ticks.groupBy(*SERIES_KEYS, bucket_start(e, interval_min).alias("bucket_epoch")).agg(
+        F.avg("spot_price").alias("price"), F.count(F.lit(1)).alias("n_ticks"))
+    whole = F.col("bucket_epoch").isNotNull()
+    # ticks without a time share a null bucket: windows of their own (whole is a partition key)
+    order = Window.partitionBy(*SERIES_KEYS, "whole").orderBy("bucket_epoch")
+    rows = buckets.withColumn("whole", whole)
+    lagged = F.count("price").over(order.rowsBetween(-3, 0)) == 4
+    rows = rows.withColumn("lagged", F.col("whole") & lagged)
+    later = F.count_if("lagged").over(order.rowsBetween(1, Window.unboundedFollowing)) > 0
+    rows = rows.withColumn("led", F.col("lagged") & later).withColumn("day", F.floor(F.col("bucket_epoch") / 86400))
+    by_day = Window.partitionBy(*SERIES_KEYS, "whole").orderBy("day").rangeBetween(-1, -1)
+    rows = rows.withColumn("joined", F.col("led") & (F.count_if("led").over(by_day) > 0))
+    sums = rows.agg(F.coalesce(F.sum("n_ticks"), F.lit(0)).alias("s0"), *[F.count_if(c).alias(f"s{i}") for i, c in enumerate(("whole", "lagged", "led", "joined"), 1)])
+    stages = [F.struct(F.lit(i).alias("stage_order"), F.lit(n).alias("stage"), F.col(f"s{i}").alias("rows")) for i, n in enumerate(ROW_STAGES)]
+    return sums.select(F.inline(F.array(*stages)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,19 +28,31 @@ def resample(ticks: DataFrame, interval_min: int, keys: Sequence[str] = ("zone",
 
 
 def resample_many(ticks: DataFrame, intervals: Sequence[int], keys: Sequence[str] = ("zone", "instance")) -> DataFrame:
-    """All intervals from one scan of the ticks: ``interval_min`` becomes a key column."""
+    """All intervals from one scan of the ticks: ``interval_min`` becomes a key column.
+
+    Ticks are aggregated once, to (sum, count) per bucket of the intervals' greatest common
+    divisor; only these few rows are copied per interval and rolled up. A mean is the sum of
+    the sums by the sum of the counts, so the result is the same mean.
+    """
     for i in intervals:
         if i <= 0 or 60 % i:
             raise ValueError(f"interval must divide 60 minutes, got {i}")
-    e = epoch_seconds("ts")
-    exploded = ticks.where(F.col("ts").isNotNull()).select(
-        F.explode(F.array(*[F.lit(int(i)) for i in intervals])).alias("interval_min"),
-        *keys,
-        e.alias("_epoch"),
-        "spot_price",
+    if len(set(intervals)) == 1:
+        return resample(ticks, intervals[0], keys).select(F.lit(int(intervals[0])).alias("interval_min"), *keys, "bucket_epoch", "spot_price")
+    fine = (
+        ticks.where(F.col("ts").isNotNull())
+        .groupBy(*keys, bucket_start(epoch_seconds("ts"), math.gcd(*intervals)).alias("_fine"))
+        .agg(F.sum("spot_price").alias("_sum"), F.count("spot_price").alias("_n"))
     )
-    n = F.col("interval_min") * 60
+    copies = fine.select(F.explode(F.array(*[F.lit(int(i)) for i in sorted(set(intervals))])).alias("interval_min"), *keys, "_fine", "_sum", "_n")
+    start = F.col("_fine") - F.pmod(F.col("_fine"), F.col("interval_min") * 60)
+    # each fine bucket has its place in the coarse one, and the places are added in order: the
+    # order in which rows arrive does not change the last bits of a mean
+    fine_minutes = math.gcd(*intervals)
+    place = ((F.col("_fine") - start) / (60 * fine_minutes)).cast("int")
+    places = [F.max(F.when(place == k, F.col("_sum"))) for k in range(max(intervals) // fine_minutes)]
+    total = reduce(lambda x, y: x + y, [F.coalesce(p, F.lit(0.0)) for p in places])
     return (
-        exploded.groupBy("interval_min", *keys, (F.col("_epoch") - F.pmod(F.col("_epoch"), n)).cast("long").alias("bucket_epoch"))
-        .agg(F.avg("spot_price").alias("spot_price"))
+        copies.groupBy("interval_min", *keys, start.cast("long").alias("bucket_epoch"))
+        .agg(F.try_divide(total, F.sum("_n")).alias("spot_price"))
     )

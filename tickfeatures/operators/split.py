@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 DEFAULT_KEY = ("zone", "instance", "bucket_epoch")
 
 
+def key_hash(key_cols: Sequence[str] = DEFAULT_KEY) -> Column:
+    """First 32 bits of the md5 of the '|'-joined key, as a number."""
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+
+
 def hash_bucket(key_cols: Sequence[str] = DEFAULT_KEY) -> Column:
     """0..99 from md5 of the '|'-joined key."""
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
-    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(100)).cast("int")
+    return F.pmod(key_hash(key_cols), F.lit(100)).cast("int")
 
 
 def with_split(df: DataFrame, key_cols: Sequence[str] = DEFAULT_KEY, test_pct: int = 20,
@@ -48,5 +53,8 @@ def with_time_split(df: DataFrame, order: str = "bucket_epoch", test_from: int |
 
 
 def hash_sample(df: DataFrame, fraction: float, key_cols: Sequence[str] = DEFAULT_KEY) -> DataFrame:
-    """Reproducible sample without replacement; fraction 1 keeps every row."""
-    return df.where(hash_bucket(key_cols) < F.lit(int(round(fraction * 100))))
+    """Reproducible sample without replacement: rows whose 32-bit key hash is below
+    ``fraction`` of its range; fraction 0 keeps none, 1 keeps every row."""
+    if not 0.0 <= fraction <= 1.0:
+        raise ValueError(f"fraction must be between 0 and 1, got {fraction}")
+    return df.where(key_hash(key_cols) < F.lit(int(round(fraction * 2**32))).cast("bigint"))

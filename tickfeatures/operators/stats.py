@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SERIES_KEYS
@@ -37,14 +39,31 @@ def distinct_series(df: DataFrame) -> DataFrame:
 
 
 def domain_counts(df: DataFrame) -> DataFrame:
-    """Numbers of zones, instance types and series, in one aggregate."""
-    return df.agg(
-        F.count_distinct("zone").alias("n_zones"),
-        F.count_distinct("instance").alias("n_instances"),
-        F.count_distinct("zone", "instance").alias("n_series"),
+    """Numbers of zones, instance types and series.
+
+    All from the distinct series (one small aggregate with map-side combine, no expansion of
+    the rows for each distinct count): a zone or instance is counted at its first series.
+    """
+    def firsts(column: str, other: str):
+        return F.row_number().over(Window.partitionBy(column).orderBy(other)) == 1
+
+    series = distinct_series(df).select(firsts("zone", "instance").alias("z"), firsts("instance", "zone").alias("i"), "zone", "instance")
+    return series.agg(
+        F.count_if(F.col("z") & F.col("zone").isNotNull()).alias("n_zones"),
+        F.count_if(F.col("i") & F.col("instance").isNotNull()).alias("n_instances"),
+        F.count_if(F.col("zone").isNotNull() & F.col("instance").isNotNull()).alias("n_series"),
     )
 
 
+def domain_lists(df: DataFrame) -> DataFrame:
+    """K2: the distinct zones, instance types and series as rows (domain, value)."""
+    series = distinct_series(df)
+    parts = [F.struct(F.lit("zone").alias("domain"), F.col("zone").alias("value")),
+             F.struct(F.lit("instance").alias("domain"), F.col("instance").alias("value")),
+             F.struct(F.lit("series").alias("domain"), F.concat_ws("/", "zone", "instance").alias("value"))]
+    return series.select(F.inline(F.array(*parts))).distinct()
+
+
 def frequency(df: DataFrame, column: str) -> DataFrame:
     """Row count per value of a flag."""
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
@@ -65,31 +84,76 @@ def mean_change_per_series(df: DataFrame) -> DataFrame:
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every ordered column pair, long form (feat1, feat2, corr).
-
-    One pass over the data: Spark ML's ``Correlation`` aggregates the k x k
-    moment matrix with a tree aggregate (map-side partial sums). Only the k x k
-    result reaches the driver, where it becomes a k^2-row frame. Rows with a
-    null in any listed column are skipped; a constant column correlates as null.
+    """Pearson correlation of every ordered column pair, long form (feat1, feat2, corr), each
+    over the rows where both columns are known.
+
+    Spark ML's ``Correlation`` aggregates a moment matrix over rows without nulls (a tree
+    aggregate with map-side partial sums). Rows are grouped by which columns are null
+    (one pass finds the patterns, few in practice); a pair's moments are the merged
+    moments of the patterns that have both columns. Only k x k matrices reach the driver,
+    where they become a k^2-row frame. A constant column correlates as null.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
     cols = list(columns)
-    vec = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    ).select("_v")
-    m = Correlation.corr(vec, "_v", "pearson").head()[0].toArray()
-    k = len(cols)
-    # a constant column is NaN against every other column; its diagonal is undefined too
-    constant = [k > 1 and all(math.isnan(float(m[i, j])) for j in range(k) if j != i) for i in range(k)]
-    rows = []
+    known = [F.col(c).isNotNull() & ~F.isnan(c) for c in cols]
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).withColumn("_p", F.concat(*[F.when(k, "1").otherwise("0") for k in known]))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sums = [f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("v", F.var_samp))]
+        patterns = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), *sums).collect()  # one row per pattern of nulls
+        parts = [_moments(rows, cols, r) for r in patterns if "1" in r["_p"]]
+    finally:
+        rows.unpersist()
+    out = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            v = float(m[i, j])
-            rows.append((a, b, None if math.isnan(v) or constant[i] or constant[j] else v))
-    schema = "feat1 string, feat2 string, corr double"
-    return df.sparkSession.createDataFrame(rows, schema)
+            both = [(m, m.index[i], m.index[j]) for m in parts if i in m.index and j in m.index]
+            out.append((a, b, _merged_correlation(both)))
+    return df.sparkSession.createDataFrame(out, "feat1 string, feat2 string, corr double")
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Count, means and centred product sums of the known columns of one null pattern."""
+
+    n: int
+    index: dict[int, int]
+    mean: list[float]
+    product: list[list[float]]
+
+
+def _moments(rows: DataFrame, cols: Sequence[str], found: Row) -> Moments:
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    keep = [i for i, x in enumerate(found["_p"]) if x == "1"]
+    n, k = found["n"], len(keep)
+    product = [[0.0] * k for _ in keep]
+    if n > 1:
+        mine = rows.where(F.col("_p") == found["_p"]).select(*[cols[i] for i in keep])
+        vec = VectorAssembler(inputCols=[cols[i] for i in keep], outputCol="_v").transform(mine).select("_v")
+        corr = Correlation.corr(vec, "_v", "pearson").head()[0].toArray()
+        scale = [math.sqrt(max(0.0, found[f"v{i}"]) * (n - 1)) for i in keep]
+        for i in range(k):
+            for j in range(k):
+                r = 1.0 if i == j else float(corr[i, j])
+                product[i][j] = scale[i] * scale[j] * (0.0 if math.isnan(r) else r)
+    return Moments(n, {i: at for at, i in enumerate(keep)}, [float(found[f"m{i}"]) for i in keep], product)
+
+
+def _merged_correlation(parts: list[tuple[Moments, int, int]]) -> float | None:
+    """Correlation over the union of the parts (pairwise update of centred sums)."""
+    n = sum(m.n for m, _, _ in parts)
+    if n < 2:
+        return None
+    x = sum(m.n * m.mean[i] for m, i, _ in parts) / n
+    y = sum(m.n * m.mean[j] for m, _, j in parts) / n
+    xx = sum(m.product[i][i] + m.n * (m.mean[i] - x) ** 2 for m, i, _ in parts)
+    yy = sum(m.product[j][j] + m.n * (m.mean[j] - y) ** 2 for m, _, j in parts)
+    xy = sum(m.product[i][j] + m.n * (m.mean[i] - x) * (m.mean[j] - y) for m, i, j in parts)
+    flat = 1e-18 * n
+    if xx <= flat * max(1.0, x * x) or yy <= flat * max(1.0, y * y):
+        return None
+    return xy / math.sqrt(xx * yy)
 
 
 def correlation_with_labels(df: DataFrame, features: Sequence[str], labels: Sequence[str]) -> DataFrame:

@@ -12,13 +12,13 @@ import datetime as _dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.check import stable_round
 from ..functions.pricing import caps_frame, region_of, uncovered_series, with_price_cap
 from ..functions.time import bucket_start, date_of, epoch_seconds, hour_of, slot_in_hour
-from ..ml.evaluate import momentum_auc, persistence_accuracy, persistence_rmse
+from ..ml.evaluate import momentum_auc, persistence_accuracy, persistence_rmse, rmse
 from ..operators import quality, stats
 from ..operators.daily import (
     daily_stats,
@@ -29,7 +29,17 @@ from ..operators.daily import (
 )
 from ..operators.resample import resample
 from ..operators.split import hash_sample, with_split, with_two_way_split
-from ..schemas import EPSILON, FEATURE_COLUMNS, INTERVALS, LABELS, SELECTED_FEATURES, SERIES_KEYS, numeric_features
+from ..schemas import (
+    CAPS,
+    EPSILON,
+    FEATURE_COLUMNS,
+    INTERVALS,
+    LABELS,
+    PRICE_CAPS,
+    SELECTED_FEATURES,
+    SERIES_KEYS,
+    numeric_features,
+)
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_feature_table, series_extract, write_feature_tables
 from ..sources.ticks import load_event_ticks
@@ -105,6 +115,13 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def _with_place(df: DataFrame) -> DataFrame:
+    """A sorted report with its rows numbered in their order. For reports of one row per
+    series or feature pair only: numbering needs the rows in one partition."""
+    order = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
+    return df.coalesce(1).select("*", order.cast("bigint").alias("place"))
+
+
 def _w(upto: str, iv: int = 60) -> str:
     return O.ctes([iv], EPSILON, upto)
 
@@ -155,10 +172,14 @@ for _iv in INTERVALS:
     _register_resample(_iv)
 
 
-@query("resample_sorted", f"{_w('res')}\nSELECT zone, instance, bucket_epoch, {O.r('spot_price')} FROM res")
+@query("resample_sorted", f"""{_w('res')}
+SELECT zone, instance, bucket_epoch, {O.r('spot_price')},
+  row_number() OVER (PARTITION BY zone, instance ORDER BY bucket_epoch) AS place FROM res""")
 def q_resample_sorted(spark, sf):
-    """O1: hourly resample clustered by series and bucket inside each partition (no global sort)."""
-    return resample(_ticks(spark, sf), 60).sortWithinPartitions(*K)
+    """O1: hourly resample clustered by series and sorted by bucket inside each partition (no
+    global sort), with each row's place in its series."""
+    place = F.row_number().over(Window.partitionBy("zone", "instance").orderBy("bucket_epoch"))
+    return resample(_ticks(spark, sf), 60).select("*", place.cast("bigint").alias("place")).sortWithinPartitions(*K)
 
 
 _CAL = ["zone", "instance", "bucket_epoch", "date", "hour", "slot", "iso_dow", "is_weekday",
@@ -186,13 +207,17 @@ def q_zone_region(spark, sf):
     return _ticks(spark, sf).select("zone", region_of("zone").alias("region")).distinct()
 
 
+# The cap table without its last region's last instance type: some series then lack a cap.
+_PARTIAL_CAPS = PRICE_CAPS[:-1]
+
+
 @query("cap_coverage_anti", f"""{_w('ticks')}
 SELECT DISTINCT zone, instance FROM ticks t
-WHERE NOT EXISTS (SELECT 1 FROM (VALUES {O._caps_values()}) caps(region, instance, cap)
+WHERE NOT EXISTS (SELECT 1 FROM (VALUES {O._caps_values(_PARTIAL_CAPS)}) caps(region, instance, cap)
                   WHERE caps.region = substr(t.zone, 1, length(t.zone) - 1) AND caps.instance = t.instance)""")
 def q_cap_coverage_anti(spark, sf):
-    """Series without a cap (left anti join); the reference aborts on them."""
-    return uncovered_series(_ticks(spark, sf), caps_frame(spark))
+    """Series without a cap (left anti join), with one cap withheld; the reference aborts on them."""
+    return uncovered_series(_ticks(spark, sf), spark.createDataFrame(list(_PARTIAL_CAPS), CAPS))
 
 
 # --------------------------------------------------------------------------- windows
@@ -211,10 +236,13 @@ def q_price_lags_sql(spark, sf):
     view = f"hourly_buckets_{uuid.uuid4().hex[:8]}"
     register_views(spark, {view: _bk(spark, sf)})
     w = "OVER (PARTITION BY interval_min, zone, instance ORDER BY bucket_epoch)"
-    return spark.sql(
-        f"SELECT zone, instance, bucket_epoch, spot_price, lag(spot_price, 1) {w} AS lag_1, "
-        f"lag(spot_price, 2) {w} AS lag_2, lag(spot_price, 3) {w} AS lag_3 FROM {view}"
-    )
+    try:
+        return spark.sql(
+            f"SELECT zone, instance, bucket_epoch, spot_price, lag(spot_price, 1) {w} AS lag_1, "
+            f"lag(spot_price, 2) {w} AS lag_2, lag(spot_price, 3) {w} AS lag_3 FROM {view}"
+        )
+    finally:
+        spark.catalog.dropTempView(view)  # the plan is analysed already
 
 
 _PC = ["price_change", "price_change_lag1", "price_change_lag2"]
@@ -291,13 +319,22 @@ def q_prev_day_range_window(spark, sf):
     return previous_day_by_range(_ld(spark, sf), SERIES_WINDOW_KEYS).select(*K, "date", *_PDC)
 
 
-@query("stddev_fill", f"""{_w('pd')}
-SELECT zone, instance, bucket_epoch,
-  {O.r('coalesce(prev_day_std_change, avg(prev_day_std_change) OVER ())', 'prev_day_std_change')},
-  CAST(prev_day_std_change IS NULL AS INTEGER) AS was_filled FROM pd""")
+# Days with at most this many rows lose their standard deviation, as one-row days do.
+_SPARSE_DAY = 12
+
+
+@query("stddev_fill", f"""{_w('pd')},
+dn AS (SELECT zone, instance, date, count(*) AS k FROM ld GROUP BY zone, instance, date),
+sp AS (SELECT pd.zone, pd.instance, pd.bucket_epoch, CASE WHEN dn.k > {_SPARSE_DAY} THEN pd.prev_day_std_change END AS s
+       FROM pd JOIN dn ON dn.zone = pd.zone AND dn.instance = pd.instance AND dn.date = pd.date)
+SELECT zone, instance, bucket_epoch, {O.r('coalesce(s, avg(s) OVER ())', 'prev_day_std_change')},
+  CAST(s IS NULL AS INTEGER) AS was_filled FROM sp""")
 def q_stddev_fill(spark, sf):
-    """Null previous-day stddev replaced by the mean stddev."""
-    pd = _pd(spark, sf).withColumn("was_filled", F.col("prev_day_std_change").isNull().cast("int"))
+    """Null previous-day stddev replaced by the mean stddev (rows of sparse days have none)."""
+    day = Window.partitionBy(*SERIES_WINDOW_KEYS, "date")
+    pd = join_previous_day(_ld(spark, sf).withColumn("k", F.count(F.lit(1)).over(day)), SERIES_WINDOW_KEYS)
+    pd = pd.withColumn("prev_day_std_change", F.when(F.col("k") > _SPARSE_DAY, F.col("prev_day_std_change")))
+    pd = pd.withColumn("was_filled", F.col("prev_day_std_change").isNull().cast("int"))
     return fill_with_mean(pd, "prev_day_std_change", by=("interval_min",)).select(*K, "prev_day_std_change", "was_filled")
 
 
@@ -324,11 +361,14 @@ def q_volatility_flag(spark, sf):
     return _ft(spark, sf).select(*K, "price_change", "prev_day_std_change", "is_volatile")
 
 
-@query("fill_constant", f"{_w('ft')}\nSELECT zone, instance, bucket_epoch, "
-                        f"{O.r('coalesce(price_change, 0.0)', 'price_change')}, {O.r('coalesce(y_future_price, 0.0)', 'y_future_price')} FROM ft")
+@query("fill_constant", f"""{_w('lg')}
+SELECT zone, instance, bucket_epoch, {O.r('coalesce(spot_price - lag_1, 0.0)', 'price_change')},
+  {O.r('coalesce(lead(spot_price) OVER (PARTITION BY zone, instance ORDER BY bucket_epoch), 0.0)', 'y_future_price')} FROM lg""")
 def q_fill_constant(spark, sf):
-    """Nulls of price change and future price set to 0.0."""
-    return _ft(spark, sf).fillna(0.0, subset=["price_change", "y_future_price"]).select(*K, "price_change", "y_future_price")
+    """Nulls of price change and future price (each series' ends, before the drops) set to 0.0."""
+    nxt = F.lead("spot_price").over(Window.partitionBy(*SERIES_WINDOW_KEYS).orderBy("bucket_epoch"))
+    rows = _lg(spark, sf).select(*K, (F.col("spot_price") - F.col("lag_1")).alias("price_change"), nxt.alias("y_future_price"))
+    return rows.fillna(0.0, subset=["price_change", "y_future_price"])
 
 
 # --------------------------------------------------------------------------- feature tables
@@ -406,8 +446,8 @@ def q_series_semi(spark, sf):
 
 @query("hash_sample", f"""{_w('ft')}
 SELECT zone, instance, bucket_epoch, {O.r('spot_price')} FROM ft
-WHERE ('0x' || substr(md5(concat_ws('|', zone, instance, CAST(bucket_epoch AS VARCHAR))), 1, 8))::BIGINT % 100
-      < {int(round(SAMPLE_FRACTION * 100))}""")
+WHERE ('0x' || substr(md5(concat_ws('|', zone, instance, CAST(bucket_epoch AS VARCHAR))), 1, 8))::BIGINT
+      < {int(round(SAMPLE_FRACTION * 2**32))}""")
 def q_hash_sample(spark, sf):
     """Reproducible 30 % sample by key hash."""
     return hash_sample(_ft(spark, sf), SAMPLE_FRACTION).select(*K, "spot_price")
@@ -445,12 +485,12 @@ def q_density_daily(spark, sf):
 
 
 @query("density_mean", f"""{_w('ft')}
-SELECT zone, instance, {O.r('avg(n_obs)', 'avg_count')} FROM
- (SELECT zone, instance, date, count(*) AS n_obs FROM ft GROUP BY zone, instance, date)
-GROUP BY zone, instance""")
+SELECT zone, instance, {O.r('a', 'avg_count')}, row_number() OVER (ORDER BY a, zone, instance) AS place FROM
+ (SELECT zone, instance, avg(n_obs) AS a FROM
+  (SELECT zone, instance, date, count(*) AS n_obs FROM ft GROUP BY zone, instance, date) GROUP BY zone, instance)""")
 def q_density_mean(spark, sf):
-    """A6 / IO5: mean buckets per day per series, ascending."""
-    return stats.density_mean(_ft(spark, sf))
+    """A6 / IO5 / O2: mean buckets per day per series, ascending, with each series' place in the order."""
+    return _with_place(stats.density_mean(_ft(spark, sf)))
 
 
 @query("distinct_series", f"{_w('ft')}\nSELECT DISTINCT zone, instance FROM ft")
@@ -504,7 +544,8 @@ _CORR_LABELS = ("y_increase", "y_future_price")
 
 
 def _pearson_sql(a: str, b: str) -> str:
-    return f"covar_samp({a}, {b}) / NULLIF(stddev_samp({a}) * stddev_samp({b}), 0)"
+    both = f"FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    return f"covar_samp({a}, {b}) / NULLIF(stddev_samp({a}) {both} * stddev_samp({b}) {both}, 0)"
 
 
 def _corr_label_sql() -> str:
@@ -604,14 +645,25 @@ UNION ALL SELECT 2, 'after_lag_drop', count(*) FROM ch
 UNION ALL SELECT 3, 'after_lead_drop', count(*) FROM ld
 UNION ALL SELECT 4, 'after_prev_day_join', count(*) FROM pd""")
 def q_row_loss(spark, sf):
-    """Rows after each stage of the hourly build."""
-    return quality.row_loss([
-        ("ticks", _ticks(spark, sf)),
-        ("resampled", _bk(spark, sf)),
-        ("after_lag_drop", _ch(spark, sf)),
-        ("after_lead_drop", _ld(spark, sf)),
-        ("after_prev_day_join", _pd(spark, sf)),
-    ])
+    """Rows after each stage of the hourly build, from one pass over the ticks."""
+    return quality.row_loss(_ticks(spark, sf), 60)
+
+
+@query("qc_missing_series", f"""{_w('ft')},
+s AS (SELECT DISTINCT zone, instance FROM ft WHERE NOT (zone = 'us-west-2b' AND instance = 'c3.large'))
+SELECT z.zone, i.instance FROM (SELECT DISTINCT zone FROM s) z, (SELECT DISTINCT instance FROM s) i
+WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.zone = z.zone AND s.instance = i.instance)""")
+def q_qc_missing_series(spark, sf):
+    """K3: missing (zone, instance) pairs, with one series withheld from the table."""
+    return quality.missing_series(_ft(spark, sf).where("not (zone = 'us-west-2b' and instance = 'c3.large')"))
+
+
+@query("qc_domain_lists", f"""{_w('ft')}
+SELECT 'zone' AS domain, zone AS value FROM ft UNION SELECT 'instance', instance FROM ft
+UNION SELECT 'series', zone || '/' || instance FROM ft""")
+def q_qc_domain_lists(spark, sf):
+    """K2: the distinct zones, instance types and series."""
+    return stats.domain_lists(_ft(spark, sf))
 
 
 # --------------------------------------------------------------------------- ML preparation and baselines
@@ -667,10 +719,11 @@ def q_rmse_baseline(spark, sf):
     return persistence_rmse(_ft(spark, sf))
 
 
-@query("nrmse_baseline", _RMSE_SQL)
+@query("nrmse_baseline", f"""{_w('ft')}
+SELECT {O.r('sqrt(avg(power(spot_price - y_future_price, 2))) / NULLIF(stddev_samp(y_future_price), 0)', 'nrmse')} FROM ft""")
 def q_nrmse_baseline(spark, sf):
-    """RMSE divided by the label's stddev, per series."""
-    return persistence_rmse(_ft(spark, sf))
+    """RMSE of the persistence forecast over the label's stddev, whole table."""
+    return rmse(_ft(spark, sf), "spot_price", "y_future_price").select("nrmse")
 
 
 @query("auc_baseline", f"""{_w('ft')},
@@ -686,63 +739,86 @@ def q_auc_baseline(spark, sf):
     return momentum_auc(_ft(spark, sf))
 
 
-# --------------------------------------------------------------------------- models (row checks only)
-# Grids of the registered model queries: a few values of each reference grid
-# (the library defaults are the full grids in ``schemas``).
-QUERY_TREES = (50, 90)
-QUERY_MLP_HIDDEN = ((5, 5, 5), (5, 5))
-QUERY_MLP_ITERS = (100,)
-QUERY_GBT_ITERS = (10, 20, 30, 40, 50)
+_PREPARED = [f for f in _NUM_FEATURES]
 
 
-@query("assemble")
+def _long_sql(features, label_sql: str = "") -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT zone, instance, bucket_epoch, {i} AS slot, '{f}' AS feature, {O.r(f'CAST({f} AS DOUBLE)', 'value')}{label_sql} FROM ft"
+        for i, f in enumerate(features))
+    return f"{_w('ft')}\n{rows}"
+
+
+@query("assemble", _long_sql(SELECTED_FEATURES))
 def q_assemble(spark, sf):
-    """The five chosen features assembled into a vector, with the key."""
-    from ..ml.prepare import assembler
-    return assembler(list(SELECTED_FEATURES)).transform(_ft(spark, sf)).select(*K, "features")
+    """The five chosen features assembled into vectors; long form (key, slot, feature, value)."""
+    from ..ml.prepare import assembler, long_vectors
+    return long_vectors(assembler(list(SELECTED_FEATURES)).transform(_ft(spark, sf)), SELECTED_FEATURES, K)
+
+
+# A cap table without one instance type in two regions: its series have unknown flags.
+_UNCAPPED = "m1.medium"
+_UNCAPPED_CAPS = tuple(c for c in PRICE_CAPS if c[1] != _UNCAPPED)
 
 
-@query("prepare")
+def _prepare_sql() -> str:
+    ft = _w("ft")
+    rows = " UNION ALL ".join(
+        "SELECT zone, instance, bucket_epoch, {i} AS slot, '{f}' AS feature, {v}, CAST(CASE WHEN y_direction > 0.5 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS label FROM ft".format(
+            i=i, f=f, v=O.r(f"CAST(CASE WHEN instance = '{_UNCAPPED}' THEN -1 ELSE {f} END AS DOUBLE)" if f == "is_irrational" else f"CAST({f} AS DOUBLE)", "value"))
+        for i, f in enumerate(_PREPARED))
+    return f"{ft}\n{rows}"
+
+
+@query("prepare", _prepare_sql())
 def q_prepare(spark, sf):
-    """(features, binarised label) rows for a classifier, all numeric features."""
-    from ..ml.prepare import prepare
-    ft = _ft(spark, sf)
-    return prepare(ft, "y_direction", numeric_features(ft))
+    """(features, binarised label) rows for a classifier, all numeric features, on a table whose
+    m1.medium series lack a price cap; long form (key, slot, feature, value, label)."""
+    from ..ml.prepare import long_vectors, prepare
+    ft = build_features(_ticks(spark, sf), 60, caps=spark.createDataFrame(list(_UNCAPPED_CAPS), CAPS))
+    features = numeric_features(ft)
+    return long_vectors(prepare(ft, "y_direction", features, keep=K), features, [*K, "label"]).select(*K, "slot", "feature", "value", "label")
+
+
+# --------------------------------------------------------------------------- models (row checks and tests)
+# All registered searches use the full grids of ``schemas``. The campaigns (every series, each with
+# full grids) take hours on one machine: they are library functions and jobs, not registered queries.
+_FOREST: dict = {}
+
+
+def _forest(spark, sf):
+    """The hourly random-forest search, run once per session and table for its three queries."""
+    from ..ml.models import rf_classifier_search
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FOREST:
+        _FOREST.clear()  # one search is kept: leaderboard-sized rows
+        _FOREST[key] = rf_classifier_search(_ft(spark, sf), run_id="rf_classifier")
+    return _FOREST[key]
 
 
 @query("rf_classifier_grid")
 def q_rf_classifier_grid(spark, sf):
     """Random-forest classifier tree grid on the hourly table; leaderboard."""
-    from ..ml.models import rf_classifier_grid
-    board, _, _ = rf_classifier_grid(_ft(spark, sf), "y_direction", SELECTED_FEATURES, QUERY_TREES)
-    return board
+    return _forest(spark, sf).board
 
 
 @query("rf_up_auc")
 def q_rf_up_auc(spark, sf):
     """Exact one-vs-rest AUC of the "up" class from the selected forest's probabilities."""
-    from ..ml.models import rf_classifier_grid, up_vs_rest_auc
-    _, _, preds = rf_classifier_grid(_ft(spark, sf), "y_direction", SELECTED_FEATURES, QUERY_TREES)
-    # the indexer's label order as seen in the predictions (one row per class)
-    seen = {int(r["indexed_label"]): r["label"] for r in preds.select(
-        "indexed_label", F.col("y_direction").cast("string").alias("label")).distinct().collect()}
-    labels = [seen.get(i) for i in range(max(seen) + 1)]
-    return up_vs_rest_auc(preds, "y_direction", labels)
+    return _forest(spark, sf).up_auc
 
 
 @query("rf_importance")
 def q_rf_importance(spark, sf):
     """Feature importances of the selected forest, descending."""
-    from ..ml.models import rf_classifier_grid
-    _, imp, _ = rf_classifier_grid(_ft(spark, sf), "y_direction", SELECTED_FEATURES, QUERY_TREES)
-    return imp
+    return _forest(spark, sf).importances
 
 
 @query("mlp_grid")
 def q_mlp_grid(spark, sf):
     """M3: multilayer-perceptron grid on the binarised direction; leaderboard."""
     from ..ml.models import mlp_grid
-    board, _ = mlp_grid(_ft(spark, sf), "y_direction", None, QUERY_MLP_HIDDEN, QUERY_MLP_ITERS)
+    board, _ = mlp_grid(_ft(spark, sf), run_id="mlp")
     return board
 
 
@@ -750,16 +826,21 @@ def q_mlp_grid(spark, sf):
 def q_logistic_fit(spark, sf):
     """M4: elastic-net logistic regression; objective per iteration."""
     from ..ml.models import logistic_fit
-    history, _, _ = logistic_fit(_ft(spark, sf))
-    return history
+    return logistic_fit(_ft(spark, sf))[0]
 
 
 @query("logistic_roc")
 def q_logistic_roc(spark, sf):
     """M5: ROC curve of the logistic model's training summary."""
     from ..ml.models import logistic_fit
-    _, roc, _ = logistic_fit(_ft(spark, sf))
-    return roc
+    return logistic_fit(_ft(spark, sf))[1]
+
+
+@query("logistic_summary")
+def q_logistic_summary(spark, sf):
+    """M5 / M9: area under the training ROC, test accuracy and iterations of the logistic model."""
+    from ..ml.models import logistic_fit
+    return logistic_fit(_ft(spark, sf))[2]
 
 
 @query("gbt_classifier")
@@ -773,34 +854,11 @@ def q_gbt_classifier(spark, sf):
 def q_rf_regressor_grid(spark, sf):
     """M7: random-forest regressor tree grid, ascending nRMSE."""
     from ..ml.models import rf_regressor_grid
-    return rf_regressor_grid(_ft(spark, sf), "y_future_price", SELECTED_FEATURES, QUERY_TREES)
+    return rf_regressor_grid(_ft(spark, sf), run_id="rf_regressor")
 
 
 @query("gbt_regressor_grid")
 def q_gbt_regressor_grid(spark, sf):
-    """M8: boosted-tree regressor iteration grid from one fit, ascending nRMSE."""
+    """M8: boosted-tree regressor iteration grid, ascending nRMSE; the winner is refitted."""
     from ..ml.models import gbt_regressor_grid
-    return gbt_regressor_grid(_ft(spark, sf), "y_future_price", SELECTED_FEATURES, QUERY_GBT_ITERS)
-
-
-def _materialized_tables(spark, sf, intervals) -> dict:
-    """Feature tables of all intervals from one scan of the ticks, checkpointed once."""
-    from ..session import materialize
-    allf = materialize(build_features_all(_ticks(spark, sf), intervals))
-    return {iv: allf.where(F.col("interval_min") == iv).drop("interval_min") for iv in intervals}
-
-
-@query("classification_campaign")
-def q_classification_campaign(spark, sf):
-    """RF and MLP per interval (15, 60) for the first series; one leaderboard."""
-    from ..ml.campaign import classification_campaign
-    tables = _materialized_tables(spark, sf, (15, 60))
-    return classification_campaign(tables, 1, "y_direction", QUERY_TREES, QUERY_MLP_HIDDEN, QUERY_MLP_ITERS)
-
-
-@query("regression_campaign")
-def q_regression_campaign(spark, sf):
-    """RF and GBT regressors per interval (15, 30, 60) for the first four series."""
-    from ..ml.campaign import regression_campaign
-    tables = _materialized_tables(spark, sf, INTERVALS)
-    return regression_campaign(tables, 4, "y_future_price", QUERY_TREES, QUERY_GBT_ITERS)
+    return gbt_regressor_grid(_ft(spark, sf), run_id="gbt_regressor")

@@ -31,8 +31,8 @@ def feature_select(prefix: Sequence[str] = ()) -> str:
     return select_list([*prefix, *FEATURE_COLUMNS], FEATURE_DOUBLES)
 
 
-def _caps_values() -> str:
-    return ", ".join(f"('{a}', '{b}', CAST({c} AS DOUBLE))" for a, b, c in PRICE_CAPS)
+def _caps_values(caps: Sequence[tuple[str, str, float]] = PRICE_CAPS) -> str:
+    return ", ".join(f"('{a}', '{b}', CAST({c} AS DOUBLE))" for a, b, c in caps)
 
 
 def ctes(intervals: Sequence[int], eps: float = EPSILON, upto: str = "ft") -> str:

@@ -14,16 +14,16 @@ FEATURES_WITH_INTERVAL = T.StructType([T.StructField("interval_min", T.IntegerTy
 def write_feature_tables(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """IO3: write feature tables of one or more intervals, one folder per interval.
 
-    Range partitioning on (interval, series, bucket) gives balanced files even
-    when one series is much longer than the others (a long series spans several
-    files), and each file holds a contiguous (series, time) range, so Parquet
-    min/max statistics prune series and time-range filters well.
+    Only the intervals in ``df`` are replaced; other intervals at ``path`` stay. Rows are
+    dealt by hash of (interval, series, month) and sorted within files, so no sampling pass
+    runs the windows twice, a long series spans several files, and Parquet min/max
+    statistics still prune series and time ranges.
     """
     if "interval_min" not in df.columns:
         raise ValueError("expects an interval_min column (see build_features_all)")
-    keys = ["interval_min", "zone", "instance", "bucket_epoch"]
-    out = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    writer = out.write.mode("overwrite").partitionBy("interval_min")
+    keys = ["interval_min", "zone", "instance"]
+    out = df.repartition(*keys, F.trunc("date", "month")).sortWithinPartitions(*keys, "bucket_epoch")
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval_min")
     if fmt == "csv":
         writer.option("header", True).csv(path)
     elif fmt == "parquet":
