@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_flags
@@ -76,6 +76,15 @@ def with_leads(df: DataFrame, mode: str = "series") -> DataFrame:
     return df.dropna(subset=["y_increase", "y_decrease", "y_same", "y_future_price"])
 
 
+def _mean_deviation(rows: DataFrame) -> DataFrame:
+    """The mean previous-day deviation over all rows, per interval, from one row per series
+    and day: each day's deviation weighs as many rows as the next day has."""
+    daily = rows.groupBy(*SERIES_WINDOW_KEYS, "date").agg(F.stddev_samp("price_change").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    after = Window.partitionBy(*SERIES_WINDOW_KEYS).orderBy(F.unix_date("date")).rangeBetween(1, 1)
+    weighed = daily.withColumn("_w", F.sum("_n").over(after)).where("_w is not null and _s is not null and not isnan(_s)")
+    return weighed.groupBy("interval_min").agg((F.sum(F.col("_s") * F.col("_w")) / F.sum("_w")).alias("_fill"))
+
+
 def with_previous_day(df: DataFrame, how: str = "window") -> DataFrame:
     """Previous-day statistics, mean differences, std fill, volatility.
 
@@ -84,6 +93,7 @@ def with_previous_day(df: DataFrame, how: str = "window") -> DataFrame:
     daily table and inner-joins it back (the reference's formulation). Both drop
     rows whose previous day is empty; values agree to ~1e-14 (summation order).
     """
+    rows = df
     if how == "window":
         df = previous_day_by_range(df, SERIES_WINDOW_KEYS)
     elif how == "join":
@@ -92,7 +102,7 @@ def with_previous_day(df: DataFrame, how: str = "window") -> DataFrame:
         raise ValueError(f"unknown previous-day form {how!r}")
     # null/NaN std -> mean std of the interval (one row per interval, broadcast)
     raw_std = F.when(~F.isnan("prev_day_std_change"), F.col("prev_day_std_change"))
-    means = df.groupBy("interval_min").agg(F.avg(raw_std).alias("_fill"))
+    means = _mean_deviation(rows)
     df = df.join(F.broadcast(means), ["interval_min"], "left")
     std = F.coalesce(raw_std, F.col("_fill"))
 
