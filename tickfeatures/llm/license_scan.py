@@ -53,9 +53,14 @@ MAX_TEMPLATES = 1000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SEPARATORS = "".join(chr(c) for c in range(0x80) if not chr(c).isalnum())
+
+
 def words(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    """Words by one character translation and a split at blanks."""
+    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER + SEPARATORS, UPPER.lower() + " " * len(SEPARATORS))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def bound(value: Column, of) -> Column:
