@@ -21,7 +21,7 @@ def native(df):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "labels", "conversations"):
+    for t in ("pages", "labels", "conversations", "documents", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF_SMALL}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF_SMALL)
     got = sorted((tuple(r) for r in df.collect()), key=repr)

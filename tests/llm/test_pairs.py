@@ -33,7 +33,7 @@ def brute(rows):
     return collections.Counter((i, len(s), (least.get(find(a)) if s else i), links[a]) for a, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("block", [1024, 5])
+@pytest.mark.parametrize("block", [1536, 5])
 def test_join_equals_brute_force(spark, edge_docs, block, monkeypatch):
     monkeypatch.setattr(P, "BLOCK", block)
     rows = list(enumerate(near_copies(block), 100)) + [(r.doc_id, r.text) for r in edge_docs.collect()]

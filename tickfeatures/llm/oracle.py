@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from .license_scan import CONTAINMENT, PHRASES, TEMPLATES, _cut
 from .url_reputation import MAX_STRENGTH, MIN_STRENGTH, THRESHOLD, Z
 
 
@@ -73,7 +76,88 @@ select conv_id, perspective, segment::bigint as segment, count(*)::bigint as n_t
 from m group by conv_id, perspective, segment
 """
 
+_SHINGLES = """
+w as (
+  select rowid as r, doc_id, [x for x in string_split(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     '), ' ') if x <> ''] as w
+  from (select *, row_number() over () as rowid from documents)),
+s as (
+  select r, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(list_slice(w, i, i + 4), ' ') for i in range(1, len(w) - 3)]) end as s from w)
+"""
+
+_JOIN = f"""
+with recursive {_SHINGLES.strip()},
+size as (select r, doc_id, len(s) as n from s),
+g as (select r, unnest(s) as g from s),
+link as (
+  select a.r as x, b.r as y from g a join g b on a.g = b.g and a.r <> b.r
+  join size sa on sa.r = a.r join size sb on sb.r = b.r
+  group by a.r, b.r, sa.n, sb.n having 100 * count(*) >= 80 * (sa.n + sb.n - count(*))),
+reach as (select r as x, r as y from size union select reach.x, link.y from reach join link on link.x = reach.y),
+least as (select x, min(size.doc_id) as component_id from reach join size on size.r = reach.y group by x),
+degree as (select x, count(*) as n_links from link group by x)
+select size.doc_id, size.n::bigint as n_shingles, least.component_id, coalesce(degree.n_links, 0)::bigint as n_links
+from size join least on least.x = size.r left join degree on degree.x = size.r
+"""
+
+
+def _scan() -> str:
+    longest = max(len(_cut(t)) for t in TEMPLATES)
+    templates = ", ".join(f"('{label}', {sorted(set(_cut(t)))!r}, {math.ceil(CONTAINMENT * len(set(_cut(t))) - 1e-9)})" for t, label in TEMPLATES.items())
+    places = " union all ".join(
+        f"select r, i, '{label}' as label from spot where "
+        + " and ".join(f"w[i + {j + 1}] = '{x}'" for j, x in enumerate(phrase.split()))
+        for phrase, label in PHRASES.items()
+    )
+    return f"""
+with d as (
+  select r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as w
+  from (select *, row_number() over () as r from documents)),
+spot as (select r, w, unnest(range(0, len(w))) as i from d),
+places as ({places}),
+base as (select r, count(*) as n, min(i) as a, max(i) as z, list_sort(list_distinct(list(label))) as labels from places group by r),
+t(label, own, need) as (values {templates}),
+b as (select r, w, unnest(range(0, greatest(0, len(w) - {longest} - 1) + 1, {longest})) as i from d),
+hit as (
+  select b.r, t.label, len(list_intersect(list_distinct(list_slice(w, i + 1, i + {2 * longest})), t.own)) / len(t.own) as c
+  from b, t where len(list_intersect(list_distinct(list_slice(w, i + 1, i + {2 * longest})), t.own)) >= t.need),
+method as (select r, list(distinct label) as labels, max(c) as c from hit group by r)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(base.n, 0)::bigint as n_base, base.a::bigint as first_word, base.z::bigint as last_word,
+  coalesce(array_to_string(base.labels, ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(method.labels, [])))), ','), '') as labels,
+  case when base.n > 0 then 1.0 else coalesce(method.c, 0.0) end::double as score
+from d left join base on base.r = d.r left join method on method.r = d.r
+"""
+
+
+_LEAKS = f"""
+with {_SHINGLES.strip().split("s as (")[0].rstrip().rstrip(",")},
+g as (select r, doc_id, [array_to_string(list_slice(w, i, i + 4), ' ') for i in range(1, len(w) - 3)] as g from w where len(w) >= 5),
+item as (
+  select item_id, [array_to_string(list_slice(w, i, i + 4), ' ') for i in range(1, len(w) - 3)] as g
+  from (select item_id, [x for x in string_split(translate(text,
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     '), ' ') if x <> ''] as w from benchmark)
+  where len(w) >= 5),
+place as (select r, g.g as own, unnest(range(1, len(g.g) + 1)) as p, unnest(g.g) as x from g),
+mark as (select item_id, len(g) as size, unnest(range(1, len(g) + 1)) as q, unnest(g) as x from item),
+window_at as (select distinct r, size, greatest(0, least(p - q, len(own) - size)) as a from place join mark using (x)),
+shown as (select r, window_at.size, a, list_slice(g.g, a + 1, a + window_at.size) as seen from window_at join g using (r)),
+tf as (select r, size, a, len(seen) as length, x, count(*) as n from (select r, size, a, seen, unnest(seen) as x from shown) group by all),
+itf as (select item_id, size, x, count(*) as m from mark group by all),
+common as (select r, item_id, tf.size, a, length, sum(least(n, m)) as same from tf join itf on tf.x = itf.x and tf.size = itf.size group by all),
+scored as (select r, item_id, a, same / (size + length - same) as similarity from common where same / (size + length - same) >= 0.8)
+select doc_id, item_id, first_word::bigint as first_word, round(similarity, 6) as similarity from (
+  select r, item_id, max(similarity) as similarity, min(a) filter (where similarity = top) as first_word
+  from (select *, max(similarity) over (partition by r, item_id) as top from scored) group by r, item_id)
+join g using (r)
+"""
+
 ORACLE = {
     "op1_url_reputation": _URL,
     "op2_chat_rotation": _CHAT,
+    "op4_partenum": _JOIN,
+    "op5_simhash_windows": _LEAKS,
+    "op6_license_scan": _scan(),
 }
