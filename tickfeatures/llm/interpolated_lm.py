@@ -44,7 +44,7 @@ from tickfeatures.session import materialize
 from .dac import new_folder
 from .text import bytes_of, mix, pieces, word_hashes
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 HELD_OUT_TENTHS = 1
 MAX_ROUNDS = 30
 TOLERANCE = 1e-3
@@ -94,16 +94,17 @@ class ChunkKeys:
         cur, prev = np.concatenate(current), np.concatenate(previous)
         single = mix(cur, 11) & ~_ODD
         double = mix(mix(prev, 12) ^ cur, 13) | _ODD
+        del cur, prev, current, previous
         codes, distinct = pd.factorize(np.concatenate([np.array([BEGIN_KEY], np.uint64), single, double]))
         order = np.argsort(distinct)
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         self.keys = distinct[order]
         codes = place[codes]
-        n = len(cur)
+        n = len(single)
         self.begin, self.word, self.pair = codes[0], codes[1 : n + 1], codes[n + 1 :]
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.context = np.empty(n, np.int64)
+        self.context = np.empty(n, np.int32)
         self.context[1:] = self.word[:-1]
         self.context[self.starts] = self.begin
 
@@ -192,9 +193,7 @@ ANSWER = "chunk bigint, bucket int, deleted boolean, every binary, kept binary,
 
 
 def _sum(codes: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, np.int64)
-    np.add.at(out, codes, values)
-    return out
+    return np.bincount(codes, values, n).astype(np.int64)  # exact below 2**53
 
 
 def _counts_of(own: ChunkKeys, answers: pa.Table, column: str) -> np.ndarray:
