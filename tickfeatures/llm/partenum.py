@@ -25,7 +25,7 @@ link there (exact, since signatures shared with a linked set are shared signatur
 
 Verification. Sets that still share a signature form candidate families (connected
 components). Each family is cut by hash into blocks of about ``BLOCK`` sets or
-``BLOCK_ELEMENTS`` shingles, whichever is less; each pair of blocks that a signature connects is compared at once by a product of incidence matrices,
+``BLOCK_ELEMENTS`` shingles, whichever is less; each pair of blocks that share a signature is compared at once by a product of incidence matrices,
 which gives exact intersections. Only links' spanning edges and link counts come out, so
 no pair list is made; a large group of near copies is spread over many block pairs.
 
@@ -43,6 +43,7 @@ import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -56,8 +57,8 @@ from .text import bytes_of, mix, mix_int, pieces, set_key, shingle_sets, to_sign
 PERCENT = 80
 GROWTH = 1.6
 FAMILIES = 6
-BLOCK = 1024
-BLOCK_ELEMENTS = 400_000
+BLOCK = 1536
+BLOCK_ELEMENTS = 1_200_000
 #: extra partitions, as a share of k: a linked pair then shares several signatures, not just one
 SLACK = 0.08
 
@@ -96,33 +97,48 @@ def instances(size: int) -> tuple[int, ...]:
     return tuple(i for i in range(max(0, own - 1), own + 1) if i == own or PERCENT * size <= 100 * band(i)[1])
 
 
-def projections(elements: np.ndarray, index: int, family: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signature hashes of a set in an instance and family, and whether each is of no shingle."""
-    _, n1, n2, subsets = scheme(index)
-    parts = n1 * n2
-    h = mix(elements, 1000 + family)
-    part = ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-    value = mix(elements, 2000)
-    low = np.bincount(part, (value & _U(0xFFFFFFFF)).astype(np.float64), parts).reshape(n1, n2)
-    high = np.bincount(part, (value >> _U(32)).astype(np.float64), parts).reshape(n1, n2)
-    count = np.bincount(part, minlength=parts).reshape(n1, n2)
-    found, empty = [], []
-    for i, subset in enumerate(subsets):
-        chosen = list(subset)
+class Projector:
+    """Signature hashes of one set in any instance and family."""
+
+    def __init__(self, elements: np.ndarray):
+        self._elements = elements
+        value = mix(elements, 2000)
+        self._low, self._high = (value & _U(0xFFFFFFFF)).astype(np.float64), (value >> _U(32)).astype(np.float64)
+        self._places: dict[int, np.ndarray] = {}
+
+    def __call__(self, index: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+        """The signatures, and whether each is of no shingle."""
+        _, n1, n2, subsets = scheme(index)
+        parts = n1 * n2
+        if family not in self._places:
+            self._places[family] = mix(self._elements, 1000 + family) >> _U(32)
+        part = (self._places[family] * _U(parts) >> _U(32)).astype(np.int64)
         # sums of up to 2**21 halves are exact in a double
-        x = mix(mix(low[:, chosen].sum(1).astype(np.uint64), 3000 + i) ^ high[:, chosen].sum(1).astype(np.uint64), 3500)
-        salt = mix_int((index * FAMILIES + family) * 8 + i, 4000)
-        found.append(mix(x ^ mix(np.arange(n1, dtype=np.uint64) + _U(salt), 5000), 6000))
-        empty.append(count[:, chosen].sum(1) == 0)
-    return np.concatenate(found), np.concatenate(empty)
+        low = np.bincount(part, self._low, parts).astype(np.uint64).reshape(n1, n2)
+        high = np.bincount(part, self._high, parts).astype(np.uint64).reshape(n1, n2)
+        count = np.bincount(part, minlength=parts).reshape(n1, n2)
+        found, empty = [], []
+        for i, subset in enumerate(subsets):
+            x = sum(low[:, j] for j in subset) * _U(0x9E3779B97F4A7C15) + sum(high[:, j] for j in subset)
+            found.append(mix(x ^ salts(index, family, i), 6000))
+            empty.append(sum(count[:, j] for j in subset) == 0)
+        return np.concatenate(found), np.concatenate(empty)
+
+
+@lru_cache(maxsize=4096)
+def salts(index: int, family: int, subset: int) -> np.ndarray:
+    """A salt for each partition of an instance, family and subset."""
+    n1 = scheme(index)[1]
+    return mix(np.arange(n1, dtype=np.uint64) + _U(mix_int((index * FAMILIES + family) * 8 + subset, 4000)), 5000)
 
 
 def signatures(elements: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(tag, signatures) of a set; tag = instance * 2**20 + need, need 0 where no filter holds."""
+    project = Projector(elements)
     for index in instances(len(elements)):
         k, n1, _, _ = scheme(index)
         for family in range(FAMILIES):
-            found, empty = projections(elements, index, family)
+            found, empty = project(index, family)
             need = 2 * n1 - k - int(empty.sum())
             last = family + 1 == FAMILIES and need < 1
             yield (index << 20) + (max(0, need) if family == 0 else 0), found if last else found[~empty]
@@ -214,33 +230,55 @@ def candidates(docs: DataFrame) -> DataFrame:
     return materialize(_shared(live.join(enough, ["set_id", "tag"], "left_semi").select("sig", "set_id").distinct()))
 
 
-def compare_blocks(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> np.ndarray:
-    """Index pairs (i, j) of linked sets; i < j only if both lists are the same."""
-    both = a if same else [*a, *b]
-    sizes = np.array([len(s) for s in both])
-    flat = np.concatenate(both)
-    _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(both)), sizes)
-    useful = counts[inverse] > 1
-    owner, column = owner[useful], inverse[useful]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    column = np.cumsum(np.append(False, column[1:] != column[:-1])) if len(column) else column
-    total = np.zeros((len(a), len(both) if same else len(b)), np.float64)
-    width, at = 4096, 0
-    while at < len(column):
-        first = column[at]
-        to = int(np.searchsorted(column, first + width, "left"))
-        block = np.zeros((len(both), width), np.float32)
-        block[owner[at:to], column[at:to] - first] = 1.0
-        total += block[: len(a)] @ (block if same else block[len(a) :]).T
-        at = to
-    left, right = sizes[: len(a)], sizes if same else sizes[len(a) :]
-    union = left[:, None] + right[None, :] - total
-    linked = 100 * total >= PERCENT * union
-    if same:
-        linked = np.triu(linked, 1)
-    return np.argwhere(linked)
+class Block:
+    """Sets of a block: a dictionary of their distinct shingles and, for each set in turn,
+    the places of its shingles in the dictionary."""
+
+    def __init__(self, dictionary: np.ndarray, places: np.ndarray, sizes: np.ndarray):
+        self.dictionary, self.places, self.sizes = dictionary, places, sizes
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> Block:
+        dictionary, places = np.unique(np.concatenate(sets), return_inverse=True)
+        return cls(dictionary, places.astype(np.int32), np.array([len(s) for s in sets], np.int32))
+
+    def columns(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(set, column) of the shingles at the wanted places of the dictionary, by column."""
+        number = np.full(len(self.dictionary), -1, np.int64)
+        number[wanted] = np.arange(len(wanted))
+        column = number[self.places]
+        kept = column >= 0
+        owner, column = self.owner[kept], column[kept]
+        order = np.argsort(column, kind="stable")
+        return owner[order], column[order]
+
+
+def linked_pairs(a: Block, b: Block | None) -> np.ndarray:
+    """Index pairs (i, j) of linked sets of two blocks; i < j within one block (b None)."""
+    if b is None:
+        shared = np.flatnonzero(np.bincount(a.places, minlength=len(a.dictionary)) > 1)
+        sides = [(a, a.columns(shared))]
+    else:
+        _, in_a, in_b = np.intersect1d(a.dictionary, b.dictionary, assume_unique=True, return_indices=True)
+        shared = in_a
+        sides = [(a, a.columns(in_a)), (b, b.columns(in_b))]
+    other = a if b is None else b
+    total = np.zeros((len(a.sizes), len(other.sizes)), np.float32)
+    width = 4096
+    for first in range(0, len(shared), width):
+        n = min(width, len(shared) - first)
+        dense = []
+        for block, (owner, column) in sides:
+            x, y = np.searchsorted(column, [first, first + n])
+            m = np.zeros((len(block.sizes), n), np.float32)
+            m[owner[x:y], column[x:y] - first] = 1.0
+            dense.append(m)
+        total += dense[0] @ dense[-1].T  # whole numbers below 2**24: exact
+    common = total.astype(np.int64)
+    union = a.sizes[:, None].astype(np.int64) + other.sizes[None, :] - common
+    linked = 100 * common >= PERCENT * union
+    return np.argwhere(np.triu(linked, 1) if b is None else linked)
 
 
 def _spanning(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -261,36 +299,80 @@ def _spanning(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
+BLOCK_ROW = "block bigint, set_ids array<bigint>, copies array<bigint>, dictionary binary, places binary, sizes binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks from their lists of sets."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            sets = batch.column(1)[row].values
+            made = Block.of([np.frombuffer(e.as_buffer(), np.uint64) for e in sets.field("elements")])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(row, 1),
+                    pa.ListArray.from_arrays([0, len(sets)], sets.field("set_id")),
+                    pa.ListArray.from_arrays([0, len(sets)], sets.field("copies")),
+                    *(pa.array([x.tobytes()], pa.binary()) for x in (made.dictionary, made.places, made.sizes)),
+                ],
+                names=[c.split()[0] for c in BLOCK_ROW.split(", ")],
+            )
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (x, y, links): a spanning link, or (x, null, links): copies of the texts that
     set x links with in this pair of blocks."""
+
+    def read(row: dict | None) -> Block | None:
+        if row is None:
+            return None
+        return Block(np.frombuffer(row["dictionary"], np.uint64), np.frombuffer(row["places"], np.int32), np.frombuffer(row["sizes"], np.int32))
+
     for batch in batches:
         x, y, n = [], [], []
-        for row in batch.to_pylist():
-            a = row["sets_a"]
-            same = row["sets_b"] is None
-            b = a if same else row["sets_b"]
-            sets_a = [np.frombuffer(s["elements"], np.uint64) for s in a]
-            sets_b = [] if same else [np.frombuffer(s["elements"], np.uint64) for s in b]
-            found = compare_blocks(sets_a, sets_b, same)
+        for i in range(batch.num_rows):
+            a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            found = linked_pairs(read(a), read(b))
             if not len(found):
                 continue
+            b = b or a
             ia, ib = found[:, 0], found[:, 1]
-            keys_a, keys_b = np.array([s["set_id"] for s in a]), np.array([s["set_id"] for s in b])
-            for i, j in _spanning(list(zip(keys_a[ia].tolist(), keys_b[ib].tolist(), strict=True))):
-                x.append(i)
-                y.append(j)
+            keys_a, keys_b = np.array(a["set_ids"]), np.array(b["set_ids"])
+            for p, q in _spanning(list(zip(keys_a[ia].tolist(), keys_b[ib].tolist(), strict=True))):
+                x.append(p)
+                y.append(q)
                 n.append(0)
-            copies_a, copies_b = np.array([s["copies"] for s in a]), np.array([s["copies"] for s in b])
-            for keys, at, other in ((keys_a, ia, copies_b[ib]), (keys_b, ib, copies_a[ia])):
+            for keys, at, other in ((keys_a, ia, np.array(b["copies"])[ib]), (keys_b, ib, np.array(a["copies"])[ia])):
                 links = np.bincount(at, other, len(keys)).astype(np.int64)
-                for i in np.flatnonzero(links).tolist():
-                    x.append(int(keys[i]))
+                for p in np.flatnonzero(links).tolist():
+                    x.append(int(keys[p]))
                     y.append(None)
-                    n.append(int(links[i]))
+                    n.append(int(links[p]))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(n, pa.int64())], names=["x", "y", "links"])
 
 
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs a < b of blocks that share a signature, from (sig, block) rows in order of
+    sig; each pair once per task."""
+    seen: set[tuple[int, int]] = set()
+    sig, blocks = None, []
+
+    def pairs() -> pa.RecordBatch:
+        new = [p for p in itertools.combinations(sorted(blocks), 2) if p not in seen]
+        seen.update(new)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for s, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if s != sig:
+                if len(blocks) > 1:
+                    yield pairs()
+                sig, blocks = s, []
+            blocks.append(block)
+    if len(blocks) > 1:
+        yield pairs()
+
+
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(_sets(batch.column(1)))
@@ -305,7 +387,7 @@ def verified(docs: DataFrame, owners: DataFrame, shared: DataFrame) -> DataFrame
     size = family.groupBy("component").agg(parts.alias("parts"))
     blocks = materialize(
         family.join(size, "component").select(
-            "set_id", F.xxhash64("component", F.pmod(F.xxhash64("set_id"), "parts")).alias("block"), (F.col("parts") > 1).alias("wide")
+            "set_id", F.xxhash64("component", F.pmod(F.xxhash64("set_id"), "parts")).alias("block")
         )
     )
     # one document per set gives its shingles
@@ -316,19 +398,15 @@ def verified(docs: DataFrame, owners: DataFrame, shared: DataFrame) -> DataFrame
         sets.join(chosen.select("set_id", "copies", "block"), "set_id")
         .groupBy("block")
         .agg(F.collect_list(F.struct("set_id", "copies", "elements")).alias("sets"))
+        .mapInArrow(_pack, BLOCK_ROW)
     )
-    members = shared.select("sig", "set_id").join(blocks.where("wide"), "set_id").select("sig", "block").distinct()
-    pairs = (
-        members.select("sig", F.col("block").alias("a"))
-        .join(members.select("sig", F.col("block").alias("b")), "sig")
-        .where("a < b")
-        .select("a", "b")
-        .distinct()
-    )
-    left = grouped.select(F.col("block").alias("a"), F.col("sets").alias("sets_a"))
-    right = grouped.select(F.col("block").alias("b"), F.col("sets").alias("sets_b"))
-    between = pairs.join(left, "a").join(right, "b").select("sets_a", "sets_b")
-    within = left.select("sets_a", F.lit(None).cast(right.schema["sets_b"].dataType).alias("sets_b"))
+    members = shared.select("sig", "set_id").join(blocks, "set_id").select("sig", "block").distinct()
+    pairs = members.repartition("sig").sortWithinPartitions("sig").mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
+    whole = F.struct("set_ids", "copies", "dictionary", "places", "sizes")
+    left = grouped.select(F.col("block").alias("a"), whole.alias("block_a"))
+    right = grouped.select(F.col("block").alias("b"), whole.alias("block_b"))
+    between = pairs.join(left, "a").join(right, "b").select("block_a", "block_b")
+    within = left.select("block_a", F.lit(None).cast(right.schema["block_b"].dataType).alias("block_b"))
     return materialize(within.union(between).mapInArrow(_verify, "x bigint, y bigint, links bigint"))
 
 

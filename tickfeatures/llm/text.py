@@ -135,7 +135,8 @@ def shingle_sets(words: np.ndarray, first: np.ndarray, size: int = SHINGLE_WORDS
     n = max(0, len(words) - size + 1)
     grams = np.zeros(n, np.uint64)
     for j in range(size):
-        grams = mix(grams ^ words[j : j + n], j + 1)
+        grams += words[j : j + n] * _U(mix_int(j, 90) | 1)
+    grams = mix(grams, 91)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= size:
             yield np.unique(grams[a : b - size + 1])
