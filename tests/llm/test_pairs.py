@@ -96,3 +96,21 @@ def test_components(spark):
     got = {r.node: r.component for r in components(edges).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[100] == got[90] == got[80] == 80 and got[200] == 200
     assert components(edges.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("limit", [0, 3, 10**9])
+def test_intersections_of_blocks(limit, monkeypatch):
+    """Counted pairs and matrix products give the same sizes."""
+    monkeypatch.setattr(P, "DENSE_PAIRS", limit)
+    monkeypatch.setattr(P, "DENSE_WIDTH", 5)
+    monkeypatch.setattr(P, "COUNTED_PAIRS", 40)
+    r = np.random.default_rng(limit)
+    one, two = ([np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64)) for _ in range(n)] for n in (17, 23))
+    a, b = P.Block.of(one), P.Block.of(two)
+    want = {(i, j) for i, x in enumerate(one) for j, y in enumerate(two) if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))}
+    assert {tuple(p) for p in P.linked_pairs(a, b).tolist()} == want
+    want = {(i, j) for i, x in enumerate(one) for j, y in enumerate(one) if i < j and 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))}
+    assert {tuple(p) for p in P.linked_pairs(a, None).tolist()} == want
+    _, in_a, in_b = np.intersect1d(a.dictionary, b.dictionary, assume_unique=True, return_indices=True)
+    got = P.intersections(P.Incidence(a, in_a), P.Incidence(b, in_b))
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in two] for x in one]

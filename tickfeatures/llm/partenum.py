@@ -52,6 +52,7 @@ from pyspark.sql import functions as F
 from tickfeatures.session import materialize
 
 from .components import components
+from .pretokens import ranges
 from .text import bytes_of, mix, mix_int, pieces, set_key, shingle_sets, to_signed, word_hashes
 
 PERCENT = 80
@@ -254,29 +255,59 @@ class Block:
         return owner[order], column[order]
 
 
+class Incidence:
+    """(set, column) entries of the shared shingles of a block, by column."""
+
+    def __init__(self, block: Block, places: np.ndarray):
+        self.sets = len(block.sizes)
+        self.owner, self.column = block.columns(places)
+        self.count = np.bincount(self.column, minlength=len(places))
+        self.start = np.cumsum(self.count) - self.count
+
+    def dense(self, columns: np.ndarray) -> np.ndarray:
+        length = self.count[columns]
+        entries = ranges(self.start[columns], length)
+        m = np.zeros((self.sets, len(columns)), np.float32)
+        m[self.owner[entries], np.repeat(np.arange(len(columns)), length)] = 1.0
+        return m
+
+
+#: columns whose entries make more pairs than this go through a matrix product, the others are counted pair by pair
+DENSE_PAIRS, DENSE_WIDTH, COUNTED_PAIRS = 4000, 4096, 4_000_000
+
+
+def intersections(a: Incidence, b: Incidence) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks."""
+    pairs = a.count * b.count
+    total = np.zeros((a.sets, b.sets), np.float32)
+    heavy = np.flatnonzero(pairs > DENSE_PAIRS)
+    for at in range(0, len(heavy), DENSE_WIDTH):
+        columns = heavy[at : at + DENSE_WIDTH]
+        x = a.dense(columns)
+        total += x @ (x if a is b else b.dense(columns)).T  # whole numbers below 2**24: exact
+    light = np.flatnonzero((pairs > 0) & (pairs <= DENSE_PAIRS))
+    for columns in np.split(light, np.searchsorted(np.cumsum(pairs[light]), np.arange(COUNTED_PAIRS, int(pairs[light].sum()), COUNTED_PAIRS))):
+        mine = ranges(a.start[columns], a.count[columns])
+        others = b.count[a.column[mine]]
+        theirs = ranges(b.start[a.column[mine]], others)
+        cell = np.repeat(a.owner[mine], others) * b.sets + b.owner[theirs]
+        if 8 * len(cell) < total.size:
+            np.add.at(total.reshape(-1), cell, np.float32(1))
+        else:
+            total += np.bincount(cell, minlength=total.size).reshape(total.shape)
+    return total.astype(np.int64)
+
+
 def linked_pairs(a: Block, b: Block | None) -> np.ndarray:
     """Index pairs (i, j) of linked sets of two blocks; i < j within one block (b None)."""
     if b is None:
         shared = np.flatnonzero(np.bincount(a.places, minlength=len(a.dictionary)) > 1)
-        sides = [(a, a.columns(shared))]
+        x = y = Incidence(a, shared)
     else:
         _, in_a, in_b = np.intersect1d(a.dictionary, b.dictionary, assume_unique=True, return_indices=True)
-        shared = in_a
-        sides = [(a, a.columns(in_a)), (b, b.columns(in_b))]
-    other = a if b is None else b
-    total = np.zeros((len(a.sizes), len(other.sizes)), np.float32)
-    width = 4096
-    for first in range(0, len(shared), width):
-        n = min(width, len(shared) - first)
-        dense = []
-        for block, (owner, column) in sides:
-            x, y = np.searchsorted(column, [first, first + n])
-            m = np.zeros((len(block.sizes), n), np.float32)
-            m[owner[x:y], column[x:y] - first] = 1.0
-            dense.append(m)
-        total += dense[0] @ dense[-1].T  # whole numbers below 2**24: exact
-    common = total.astype(np.int64)
-    union = a.sizes[:, None].astype(np.int64) + other.sizes[None, :] - common
+        x, y = Incidence(a, in_a), Incidence(b, in_b)
+    common = intersections(x, y)
+    union = a.sizes[:, None].astype(np.int64) + (a if b is None else b).sizes[None, :] - common
     linked = 100 * common >= PERCENT * union
     return np.argwhere(np.triu(linked, 1) if b is None else linked)
 
