@@ -194,8 +194,8 @@ def _segment_row(part: int, segment: int, held: list[tuple[pa.Array, np.ndarray,
 
 def read_documents(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """Per document of the files: ``doc_id``, ``start`` (ids before it), ``n_tokens``,
-    ``ids_crc32`` and, on request, ``ids``. Documents are read by random access to their
-    range. Only one row per segment takes part in the running sum, first within a part and
+    ``ids_crc32`` and, on request, ``ids``. Segments are read whole, as every document is
+    asked for; ``Segment`` reads single ids or ranges. Only one row per segment takes part in the running sum, first within a part and
     then over the parts' totals; the payload is not shuffled."""
     files = spark.read.schema(FILE_SCHEMA).parquet(folder)
     within = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
@@ -216,14 +216,15 @@ def read_documents(spark: SparkSession, folder: str, with_ids: bool = False) ->
                 null = np.unpackbits(np.frombuffer(get["doc_null"].as_buffer(), np.uint8))[:n].astype(bool)
                 ends = np.cumsum(lengths)
                 begins = ends - lengths
-                ids = [stored.read(a, b).astype("<u4") for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                whole = stored.read(0, stored.size).astype("<u4")  # all documents of the segment are asked for
+                ids = [whole[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 columns = [
                     pa.array(np.full(n, get["part"].as_py()), pa.int32()),
                     pa.array(np.full(n, get["segment"].as_py()), pa.int32()),
                     pa.array(np.frombuffer(get["doc_ids"].as_buffer(), "<i8"), pa.int64(), mask=null),
                     pa.array(begins, pa.int64()),
                     pa.array(lengths, pa.int64()),
-                    pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                 ]
                 if with_ids:
                     columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
