@@ -220,15 +220,14 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``sig, set_id, lo`` rows of sets that may link (checkpointed)."""
-    live = materialize(_shared(signature_rows(docs)).drop("lo").distinct())
-    enough = (
-        live.groupBy("set_id", "tag")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= F.col("tag").bitwiseAND(F.lit((1 << 20) - 1)))
-        .select("set_id", "tag")
-    )
-    return materialize(_shared(live.join(enough, ["set_id", "tag"], "left_semi").select("sig", "set_id").distinct()))
+    """``sig, set_id, lo`` rows of sets that may link (checkpointed).
+
+    Three exchanges: by signature, by set for the filter, by signature again; copies from
+    several tasks are dropped inside the signature's partition."""
+    live = materialize(_shared(signature_rows(docs)).drop("lo").dropDuplicates(["sig", "set_id", "tag"]))
+    need = F.col("tag").bitwiseAND(F.lit((1 << 20) - 1))
+    kept = live.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("set_id", "tag"))).where(F.col("n") >= need)
+    return materialize(_shared(kept.select("sig", "set_id")).dropDuplicates(["sig", "set_id"]))
 
 
 class Block:
@@ -431,8 +430,8 @@ def verified(docs: DataFrame, owners: DataFrame, shared: DataFrame) -> DataFrame
         .agg(F.collect_list(F.struct("set_id", "copies", "elements")).alias("sets"))
         .mapInArrow(_pack, BLOCK_ROW)
     )
-    members = shared.select("sig", "set_id").join(blocks, "set_id").select("sig", "block").distinct()
-    pairs = members.repartition("sig").sortWithinPartitions("sig").mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
+    members = shared.select("sig", "set_id").join(blocks, "set_id").select("sig", "block").repartition("sig").dropDuplicates(["sig", "block"])
+    pairs = members.sortWithinPartitions("sig").mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
     whole = F.struct("set_ids", "copies", "dictionary", "places", "sizes")
     left = grouped.select(F.col("block").alias("a"), whole.alias("block_a"))
     right = grouped.select(F.col("block").alias("b"), whole.alias("block_b"))
