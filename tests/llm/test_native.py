@@ -152,6 +152,31 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.clean(frame, bench.limit(0)).count() == len(docs) and decontaminate.clean(frame.limit(0), bench).count() == 0
 
 
+def test_moved_and_trimmed_passages_are_found(spark):
+    """The best window need not start where a shared shingle stands as in the item."""
+    r = random.Random(5)
+    new = lambda n: [f"n{r.randrange(10**9)}" for _ in range(n)]
+    items = [(n, new(n)) for n in (16, 30, 40, 50, 59, 80)]
+    docs = []
+    for n, item in items:
+        changed = [item[n // 2 :] + item[: n // 2], item[12:] + item[:12], item[-8:] + item[:-8]]
+        for cut in range(3):
+            body = item[cut : n - cut]
+            for at in (n // 3, n // 2):
+                changed += [new(cut) + body[:at] + new(k) + body[at:] + new(cut) for k in (1, 2, 3)]
+                changed.append(new(cut) + body[:at] + body[at + 2 :] + new(cut))
+        for text in changed:
+            docs += [before + text + after for before, after in ((new(200), new(200)), (new(3), []), ([], new(3)), ([], []))]
+            docs.append(text[: n - 2])
+    docs = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    items = [(n, " ".join(item)) for n, item in items]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert native(found)
+    got, want = {(x.doc_id, x.item_id): x.similarity for x in found.collect()}, brute_leaks(docs, items)
+    assert len(want) > 100 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_decontamination_by_shuffle_join(spark, monkeypatch):
     """Beyond the broadcast bound the result is the same."""
     items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id bigint, text string")

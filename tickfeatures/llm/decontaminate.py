@@ -2,10 +2,14 @@
 
 Texts are lower-cased (A-Z), cut into words ``[^\\x20\\x09-\\x0D]+`` and hashed as
 five-word shingles. For an item of n words the windows of a document are n words long.
-Only windows that can reach the threshold are fingerprinted: a window without any
-shingle of the item has similarity 0, so windows start where a shingle that the document
-shares with an item of that size stands as it does in the item (clipped to the text). A
-document shorter than the item has one window, its whole text.
+Only windows that can reach the threshold are fingerprinted. A window that starts at a
+shared shingle (one that the document has in common with an item of that size) is at least
+as similar as the windows that start after the shared shingle before it: sliding right to
+it loses no shared shingle. So windows start at every shared shingle (clipped to the text),
+wherever it stands in the item, and those with too few shared shingles for the threshold
+are dropped by an exact count. Windows that start where a shared shingle stands as it does
+in the item add nothing to the similarity; they are kept because their place is the one
+reported. A document shorter than the item has one window, its whole text.
 
 Fingerprints are 64-bit SimHashes of the window's shingles, each weighted by its number
 of occurrences. They are cut into 8 blocks of 8 bits. Two fingerprints within
@@ -86,17 +90,38 @@ def item_table(benchmark: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, tie, at, size, window`` of documents that share a shingle with an item."""
-    anchors = items.select(F.posexplode("grams").alias("q", "gram"), "size").distinct()
+    """``doc_id, tie, at, size, standing, window`` of documents that share shingles with an
+    item; ``standing``: a shared shingle stands in the window as it does in an item."""
+    anchors = items.select(F.posexplode("grams").alias("q", "gram"), "size").groupBy("gram", "size").agg(F.collect_set("q").alias("qs"))
     if anchors.count() <= MAX_BROADCAST:
         anchors = F.broadcast(anchors)
     texts = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"), shingles(F.col("text")).alias("own"))
     # the outer form keeps Catalyst from computing the shingles twice, for an inferred filter too
     found = texts.select("doc_id", "tie", "own", F.posexplode_outer("own").alias("p", "gram")).join(anchors, "gram")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("own") - F.col("size")))
-    return found.select("doc_id", "tie", start.alias("at"), "size", F.slice("own", start + 1, F.col("size")).alias("window")).dropDuplicates(
-        ["doc_id", "tie", "at", "size"]
-    )
+
+    def window(start: Column) -> list[Column]:
+        at = F.greatest(F.lit(0), F.least(start, F.size("own") - F.col("size")))
+        return [at.alias("at"), F.slice("own", at + 1, F.col("size")).alias("window")]
+
+    here = F.struct("p", *window(F.col("p"))).alias("here")
+    standing = F.transform("qs", lambda q: F.struct(*window(F.col("p") - q))).alias("standing")
+    length = F.least(F.size("own"), F.col("size")).alias("length")
+    places = found.select("doc_id", "tie", "size", length, here, standing).groupBy("doc_id", "tie", "size", "length")
+    places = places.agg(F.array_sort(F.collect_set("here")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("standing"))).alias("standing"))
+    need = F.ceil(F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("size") + F.col("length")) - 1e-9).cast("int")
+
+    def enough(hits: Column) -> Column:
+        """Windows with ``need`` hits or more. Hits ascend, so one comparison tells: with the
+        hit need - 1 places on, or, in the text's last window, with the need-th last hit."""
+        return F.filter(
+            hits,
+            lambda x, i: F.when(x["p"] == x["at"], F.get(hits, i + need - 1)["p"] < x["at"] + F.col("length")).otherwise(F.get(hits, F.size(hits) - need)["p"] >= x["at"]),
+        )
+
+    moved = F.transform(F.get(F.transform(F.array("hits"), enough), F.lit(0)), lambda x: F.struct(x["at"].alias("at"), x["window"].alias("window")))
+    both = places.select("doc_id", "tie", "size", "standing", F.array_except(moved, "standing").alias("moved"))
+    rows = F.concat(*[F.transform(c, lambda x, own=c == "standing": F.struct(x["at"].alias("at"), F.lit(own).alias("standing"), x["window"].alias("window"))) for c in ("standing", "moved")])
+    return both.select("doc_id", "tie", "size", F.explode(rows).alias("x")).select("doc_id", "tie", "x.at", "size", "x.standing", "x.window")
 
 
 def near_pairs(found: DataFrame, items: DataFrame) -> DataFrame:
@@ -107,22 +132,23 @@ def near_pairs(found: DataFrame, items: DataFrame) -> DataFrame:
     right = right.select("*", F.posexplode(F.array(*[_block(F.col("item_print"), i) for i in range(BLOCKS)])).alias("block", "own"))
     right = right.select("item_id", "size", "item_print", "block", F.explode(F.transform(F.array(*map(F.lit, _variants())), lambda m: m.bitwiseXOR(F.col("own")))).alias("value"))
     pairs = left.join(right, ["size", "block", "value"]).where(hamming(F.col("print"), F.col("item_print")) <= RADIUS)
-    return pairs.select("doc_id", "tie", "at", "size", "item_id", "window").dropDuplicates(["doc_id", "tie", "at", "size", "item_id"])
+    return pairs.select("doc_id", "tie", "at", "size", "standing", "item_id", "window").dropDuplicates(["doc_id", "tie", "at", "size", "item_id"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, tie, item_id, at`` (first word of the best window, the first if tied) and
-    ``similarity``, for each document and item that reach the threshold."""
+    """``doc_id, tie, item_id, at`` (first word of the best window; if tied, of the first
+    that is standing, else of the first) and ``similarity``, for each document and item that
+    reach the threshold."""
     items = item_table(benchmark)
     pairs = near_pairs(windows(docs, items), items)
     key = ["doc_id", "tie", "item_id", "at"]
     own = pairs.select(*key, "size", F.explode("window").alias("gram")).groupBy(*key, "size", "gram").agg(F.count("*").alias("n"))
     theirs = items.select("item_id", F.explode("grams").alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("m"))
-    length = pairs.select(*key, F.size("window").alias("length"))
+    length = pairs.select(*key, "standing", F.size("window").alias("length"))
     shared = own.join(theirs, ["item_id", "gram"]).groupBy(*key, "size").agg(F.sum(F.least("n", "m")).alias("least"))
     same = F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("l.tie") == F.col("s.tie")) & (F.col("l.item_id") == F.col("s.item_id")) & (F.col("l.at") == F.col("s.at"))
-    scored = shared.alias("s").join(length.alias("l"), same).select("s.*", (F.col("s.least") / (F.col("s.size") + F.col("l.length") - F.col("s.least"))).alias("similarity"))
-    best = F.max(F.struct("similarity", (-F.col("at")).alias("before")))
+    scored = shared.alias("s").join(length.alias("l"), same).select("s.*", "l.standing", (F.col("s.least") / (F.col("s.size") + F.col("l.length") - F.col("s.least"))).alias("similarity"))
+    best = F.max(F.struct("similarity", "standing", (-F.col("at")).alias("before")))
     return (
         scored.where(F.col("similarity") >= THRESHOLD)
         .groupBy("doc_id", "tie", "item_id")
