@@ -177,6 +177,23 @@ def test_moved_and_trimmed_passages_are_found(spark):
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_repeated_contaminated_rows_equal_sql(spark, tmp_path):
+    """Each equal row gets its rows, a null doc_id too."""
+    items = [(1, "one two three four five six seven eight nine ten"), (2, "a b c d e a b c d e a b c d e"), (3, "one two three four five six seven eight nine ten")]
+    leak, twice = "zero " * 9 + items[0][1] + " end", f"{items[1][1]} and {items[0][1]} and {items[1][1]}"
+    docs = [(7, leak)] * 3 + [(7, twice), (None, twice), (None, twice), (None, leak), (8, leak), (9, "nothing to find here at all")] * 2
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE["op5_simhash_windows"]).fetchall()
+    got = [tuple(r) for r in queries.op5_simhash_windows(spark, str(tmp_path)).collect()]
+    assert len(want) == 3 * 2 + 2 * (3 * 3 + 2 * 2) and sorted(got, key=repr) == sorted(want, key=repr)
+    kept = decontaminate.clean(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark")))
+    assert [r.doc_id for r in kept.collect()] == [9, 9]
+
+
 def test_decontamination_by_shuffle_join(spark, monkeypatch):
     """Beyond the broadcast bound the result is the same."""
     items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id bigint, text string")

@@ -25,8 +25,9 @@ shingle with an item leave the scan. The items' shingles are broadcast only if t
 at most ``MAX_BROADCAST`` (counted first); otherwise both sides are joined by a shuffle.
 
 Results. Items with fewer than five words cannot match; nor can null or empty texts.
-Repeated documents each get rows (joined back by doc_id and text hash); repeated items
-count under each item_id, rows with a null item_id are ignored. A null doc_id stays null.
+Repeated rows of a document (same doc_id and text hash) are compared once and each get the
+result rows: a group of hits has one row per copy and hit, which tells the copies. Repeated
+items count under each item_id, rows with a null item_id are ignored. A null doc_id stays null.
 An empty benchmark finds nothing.
 """
 
@@ -90,8 +91,9 @@ def item_table(benchmark: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, tie, at, size, standing, window`` of documents that share shingles with an
-    item; ``standing``: a shared shingle stands in the window as it does in an item."""
+    """``doc_id, tie, copies, at, size, standing, window`` of documents that share shingles
+    with an item; ``copies``: equal input rows; ``standing``: a shared shingle stands in the
+    window as it does in an item."""
     anchors = items.select(F.posexplode("grams").alias("q", "gram"), "size").groupBy("gram", "size").agg(F.collect_set("q").alias("qs"))
     if anchors.count() <= MAX_BROADCAST:
         anchors = F.broadcast(anchors)
@@ -107,7 +109,7 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     standing = F.transform("qs", lambda q: F.struct(*window(F.col("p") - q))).alias("standing")
     length = F.least(F.size("own"), F.col("size")).alias("length")
     places = found.select("doc_id", "tie", "size", length, here, standing).groupBy("doc_id", "tie", "size", "length")
-    places = places.agg(F.array_sort(F.collect_set("here")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("standing"))).alias("standing"))
+    places = places.agg(F.array_sort(F.collect_set("here")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("standing"))).alias("standing"), F.count("*").alias("n"))
     need = F.ceil(F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("size") + F.col("length")) - 1e-9).cast("int")
 
     def enough(hits: Column) -> Column:
@@ -119,9 +121,10 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         )
 
     moved = F.transform(F.get(F.transform(F.array("hits"), enough), F.lit(0)), lambda x: F.struct(x["at"].alias("at"), x["window"].alias("window")))
-    both = places.select("doc_id", "tie", "size", "standing", F.array_except(moved, "standing").alias("moved"))
+    copies = F.expr("n div size(hits)").alias("copies")  # each copy has a row for each hit
+    both = places.select("doc_id", "tie", copies, "size", "standing", F.array_except(moved, "standing").alias("moved"))
     rows = F.concat(*[F.transform(c, lambda x, own=c == "standing": F.struct(x["at"].alias("at"), F.lit(own).alias("standing"), x["window"].alias("window"))) for c in ("standing", "moved")])
-    return both.select("doc_id", "tie", "size", F.explode(rows).alias("x")).select("doc_id", "tie", "x.at", "size", "x.standing", "x.window")
+    return both.select("doc_id", "tie", "copies", "size", F.explode(rows).alias("x")).select("doc_id", "tie", "copies", "x.at", "size", "x.standing", "x.window")
 
 
 def near_pairs(found: DataFrame, items: DataFrame) -> DataFrame:
@@ -132,27 +135,27 @@ def near_pairs(found: DataFrame, items: DataFrame) -> DataFrame:
     right = right.select("*", F.posexplode(F.array(*[_block(F.col("item_print"), i) for i in range(BLOCKS)])).alias("block", "own"))
     right = right.select("item_id", "size", "item_print", "block", F.explode(F.transform(F.array(*map(F.lit, _variants())), lambda m: m.bitwiseXOR(F.col("own")))).alias("value"))
     pairs = left.join(right, ["size", "block", "value"]).where(hamming(F.col("print"), F.col("item_print")) <= RADIUS)
-    return pairs.select("doc_id", "tie", "at", "size", "standing", "item_id", "window").dropDuplicates(["doc_id", "tie", "at", "size", "item_id"])
+    return pairs.select("doc_id", "tie", "copies", "at", "size", "standing", "item_id", "window").dropDuplicates(["doc_id", "tie", "at", "size", "item_id"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, tie, item_id, at`` (first word of the best window; if tied, of the first
     that is standing, else of the first) and ``similarity``, for each document and item that
-    reach the threshold."""
+    reach the threshold; one row for each equal row of ``docs``."""
     items = item_table(benchmark)
     pairs = near_pairs(windows(docs, items), items)
-    key = ["doc_id", "tie", "item_id", "at"]
-    own = pairs.select(*key, "size", F.explode("window").alias("gram")).groupBy(*key, "size", "gram").agg(F.count("*").alias("n"))
+    # one chain without a self-join, so that the documents are read once
+    key = ["doc_id", "tie", "copies", "item_id", "at", "size", "standing", "length"]
+    own = pairs.withColumn("length", F.size("window")).select(*key, F.explode("window").alias("gram")).groupBy(*key, "gram").agg(F.count("*").alias("n"))
     theirs = items.select("item_id", F.explode("grams").alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("m"))
-    length = pairs.select(*key, "standing", F.size("window").alias("length"))
-    shared = own.join(theirs, ["item_id", "gram"]).groupBy(*key, "size").agg(F.sum(F.least("n", "m")).alias("least"))
-    same = F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("l.tie") == F.col("s.tie")) & (F.col("l.item_id") == F.col("s.item_id")) & (F.col("l.at") == F.col("s.at"))
-    scored = shared.alias("s").join(length.alias("l"), same).select("s.*", "l.standing", (F.col("s.least") / (F.col("s.size") + F.col("l.length") - F.col("s.least"))).alias("similarity"))
+    shared = own.join(theirs, ["item_id", "gram"]).groupBy(*key).agg(F.sum(F.least("n", "m")).alias("least"))
+    scored = shared.withColumn("similarity", F.col("least") / (F.col("size") + F.col("length") - F.col("least")))
     best = F.max(F.struct("similarity", "standing", (-F.col("at")).alias("before")))
     return (
         scored.where(F.col("similarity") >= THRESHOLD)
         .groupBy("doc_id", "tie", "item_id")
-        .agg(best.alias("best"))
+        .agg(best.alias("best"), F.first("copies").alias("copies"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
         .select("doc_id", "tie", "item_id", (-F.col("best.before")).alias("at"), F.col("best.similarity").alias("similarity"))
     )
 
