@@ -10,9 +10,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_rotation, dac, decontaminate, interpolated_lm, knn_quality, license_scan, order_minhash, partenum, url_reputation
+from . import bpe, chat_rotation, dac, decontaminate, interpolated_lm, knn_quality, license_scan, order_minhash, partenum, token_alignment, url_reputation
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +98,13 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = token_alignment.align_documents(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_chat_rotation": op2_chat_rotation,
@@ -108,6 +116,7 @@ QUERIES = {
     "op8_interpolated_lm": op8_interpolated_lm,
     "op9_order_minhash": op9_order_minhash,
     "op10_knn_quality": op10_knn_quality,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 from .oracle import ORACLE  # noqa: E402, F401
