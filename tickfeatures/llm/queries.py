@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_rotation, dac, decontaminate, interpolated_lm, knn_quality, license_scan, order_minhash, partenum, token_alignment, url_reputation
+from . import bpe, chat_rotation, conversation_repair, dac, decontaminate, interpolated_lm, knn_quality, license_scan, order_minhash, partenum, token_alignment, toxicity, url_reputation
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -105,6 +105,23 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.withColumn("groups_sha256", digest).drop("groups")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversations, conversation_repair.damaged(conversations))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score_documents(docs, toxicity.train(docs, labels, crc_remainder(5) != 0))
+    return scored.select(
+        "doc_id",
+        F.coalesce(crc_remainder(5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_chat_rotation": op2_chat_rotation,
@@ -117,6 +134,8 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_knn_quality": op10_knn_quality,
     "op11_token_alignment": op11_token_alignment,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_toxicity": op13_toxicity,
 }
 
 from .oracle import ORACLE  # noqa: E402, F401
