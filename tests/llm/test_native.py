@@ -248,3 +248,22 @@ def test_license_scan_equals_brute_force(spark, edge_docs, no_docs):
     want = collections.Counter((i, *brute_scan(t, license_scan.TEMPLATES, license_scan.PHRASES)) for i, t in rows)
     assert got == want and len({k[6] for k in want}) > 5
     assert license_scan.scan(no_docs).collect() == []
+
+
+def test_long_repetitive_text_is_linear(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    text = " ".join([item] * 3_400)  # 102,000 words
+    bench = spark.createDataFrame([(1, item), (2, "a " * 9), (3, " ".join(f"z{i}" for i in range(12)))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, text), (2, "a " * 40_000), (3, "x " * 50 + item + " y" * 50), (None, text)], "doc_id bigint, text string")
+    marked = decontaminate.marks(docs, decontaminate.item_table(bench))
+    assert max(len(r["window"]) for r in marked.select("window").limit(1000).collect()) <= 26
+    found = {(r.doc_id, r.item_id): (r["at"], r.similarity) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == {(1, 1): (0, 1.0), (None, 1): (0, 1.0), (2, 2): (0, 1.0), (3, 1): (50, 1.0)}
+
+
+def test_filter_keeps_columns_with_helper_names(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, item, 7, "a", 5, 6), (2, "other words", 8, "b", 5, 6)], "doc_id bigint, text string, _doc_id int, tie string, copies int, _tie int")
+    bench = spark.createDataFrame([(4, item)], "item_id bigint, text string")
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "other words", 8, "b", 5, 6)]

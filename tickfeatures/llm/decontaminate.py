@@ -23,12 +23,16 @@ Jaccard similarity of the shingle occurrences, sum(min) / sum(max), must be at l
 Everything is DataFrame functions. Documents are not shuffled: only the rows that share a
 shingle with an item leave the scan. The items' shingles are broadcast only if there are
 at most ``MAX_BROADCAST`` (counted first); otherwise both sides are joined by a shuffle.
+Each place of a shared shingle carries one window (as long as the item) out of the scan;
+what is gathered per document are whole numbers only, so a text that repeats an item from
+end to end costs memory and time in proportion to its length.
 
 Results. Items with fewer than five words cannot match; nor can null or empty texts.
 Repeated rows of a document (same doc_id and text hash) are compared once and each get the
-result rows: a group of hits has one row per copy and hit, which tells the copies. Repeated
+result rows: a place found by several equal rows counts them. Repeated
 items count under each item_id, rows with a null item_id are ignored. A null doc_id stays null.
-An empty benchmark finds nothing.
+An empty benchmark or an empty table finds nothing. Columns other than doc_id and text are
+not read; ``clean`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,11 +40,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickfeatures.session import materialize
+
+from .folders import unused
+
 SHINGLE = 5
 THRESHOLD = 0.8
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 MAX_BROADCAST = 1_000_000
+#: places of a text that go through the search in one row, with an item's length on both sides
+SEGMENT = 512
 
 
 def words(text: Column) -> Column:
@@ -90,41 +100,73 @@ def item_table(benchmark: DataFrame) -> DataFrame:
     return items.where(F.size("grams") > 0).select("item_id", F.size("grams").alias("size"), "grams").distinct()
 
 
-def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, tie, copies, at, size, standing, window`` of documents that share shingles
-    with an item; ``copies``: equal input rows; ``standing``: a shared shingle stands in the
-    window as it does in an item."""
+def _starting(p: Column, n: Column, size: Column) -> Column:
+    """The start of the window from p on, moved back to where it still lies in the text."""
+    return F.greatest(F.lit(0), F.least(p, n - size))
+
+
+def marks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, tie, n, size, p, at, standing, window, rows``: windows at each place p of a
+    shared shingle, and (p null, standing) those in which it stands as in the item; each once,
+    with the number of rows that gave it. Only places leave the scan, each with its window."""
     anchors = items.select(F.posexplode("grams").alias("q", "gram"), "size").groupBy("gram", "size").agg(F.collect_set("q").alias("qs"))
-    if anchors.count() <= MAX_BROADCAST:
+    n_anchors, longest = anchors.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
+    if n_anchors <= MAX_BROADCAST:
         anchors = F.broadcast(anchors)
     texts = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"), shingles(F.col("text")).alias("own"))
-    # the outer form keeps Catalyst from computing the shingles twice, for an inferred filter too
-    found = texts.select("doc_id", "tie", "own", F.posexplode_outer("own").alias("p", "gram")).join(anchors, "gram")
-
-    def window(start: Column) -> list[Column]:
-        at = F.greatest(F.lit(0), F.least(start, F.size("own") - F.col("size")))
-        return [at.alias("at"), F.slice("own", at + 1, F.col("size")).alias("window")]
-
-    here = F.struct("p", *window(F.col("p"))).alias("here")
-    standing = F.transform("qs", lambda q: F.struct(*window(F.col("p") - q))).alias("standing")
-    length = F.least(F.size("own"), F.col("size")).alias("length")
-    places = found.select("doc_id", "tie", "size", length, here, standing).groupBy("doc_id", "tie", "size", "length")
-    places = places.agg(F.array_sort(F.collect_set("here")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("standing"))).alias("standing"), F.count("*").alias("n"))
-    need = F.ceil(F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("size") + F.col("length")) - 1e-9).cast("int")
-
-    def enough(hits: Column) -> Column:
-        """Windows with ``need`` hits or more. Hits ascend, so one comparison tells: with the
-        hit need - 1 places on, or, in the text's last window, with the need-th last hit."""
-        return F.filter(
-            hits,
-            lambda x, i: F.when(x["p"] == x["at"], F.get(hits, i + need - 1)["p"] < x["at"] + F.col("length")).otherwise(F.get(hits, F.size(hits) - need)["p"] >= x["at"]),
-        )
-
-    moved = F.transform(F.get(F.transform(F.array("hits"), enough), F.lit(0)), lambda x: F.struct(x["at"].alias("at"), x["window"].alias("window")))
-    copies = F.expr("n div size(hits)").alias("copies")  # each copy has a row for each hit
-    both = places.select("doc_id", "tie", copies, "size", "standing", F.array_except(moved, "standing").alias("moved"))
-    rows = F.concat(*[F.transform(c, lambda x, own=c == "standing": F.struct(x["at"].alias("at"), F.lit(own).alias("standing"), x["window"].alias("window"))) for c in ("standing", "moved")])
-    return both.select("doc_id", "tie", "copies", "size", F.explode(rows).alias("x")).select("doc_id", "tie", "copies", "x.at", "size", "x.standing", "x.window")
+
+    def segment(start: Column) -> Column:
+        first = F.greatest(F.lit(0), start - longest)
+        return F.struct(start.alias("start"), first.alias("first"), F.slice("own", first + 1, F.lit(SEGMENT + 2 * longest)).alias("part"))
+
+    # a text's rows hold a stretch of it each, never the whole; the outer form keeps Catalyst
+    # from computing the shingles twice, for an inferred filter too
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("own") - 1), F.lit(SEGMENT))
+    cut = texts.select("doc_id", "tie", F.size("own").alias("n"), F.explode_outer(F.transform(starts, segment)).alias("s")).select("doc_id", "tie", "n", "s.start", "s.first", "s.part")
+    own = cut.select("doc_id", "tie", "n", "start", "first", "part", F.posexplode(F.slice("part", F.col("start") - F.col("first") + 1, F.lit(SEGMENT))).alias("i", "gram"))
+    found = own.join(anchors, "gram").withColumn("place", F.col("start") + F.col("i"))
+
+    def mark(start: Column, place: Column, standing: bool) -> Column:
+        at = _starting(start, F.col("n"), F.col("size"))
+        return F.struct(place.alias("p"), at.alias("at"), F.lit(standing).alias("standing"), F.slice("part", at - F.col("first") + 1, F.col("size")).alias("window"))
+
+    there = F.transform("qs", lambda q: mark(F.col("place") - q, F.lit(None).cast("int"), True))
+    each = found.select("doc_id", "tie", "n", "size", F.explode(F.concat(F.array(mark(F.col("place"), F.col("place"), False)), there)).alias("x"))
+    rows = each.select("doc_id", "tie", "n", "size", "x.p", "x.at", "x.standing", "x.window")
+    return rows.groupBy("doc_id", "tie", "n", "size", "p", "at", "standing").agg(F.first("window").alias("window"), F.count("*").alias("rows"))
+
+
+def hits(marked: DataFrame) -> DataFrame:
+    """``doc_id, tie, n, size, hits, copies``: the sorted places of shared shingles (whole
+    numbers only, one array per document and size), and how many equal rows have them."""
+    places = marked.where("not standing").groupBy("doc_id", "tie", "n", "size")
+    return places.agg(F.sort_array(F.collect_list("p")).alias("hits"), F.first("rows").alias("copies"))
+
+
+def enough(found: DataFrame) -> DataFrame:
+    """``doc_id, tie, size, at`` of the windows from a shared shingle on that hold enough of
+    them. Hits ascend, so one comparison tells: with the hit ``need`` - 1 places on, or, in
+    the text's last window, with the need-th last hit."""
+    length = F.least(F.col("n"), F.col("size"))
+    need = F.ceil(F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("size") + length) - 1e-9).cast("int")
+
+    def kept(places: Column) -> Column:
+        def full(p: Column, i: Column) -> Column:
+            at = _starting(p, F.col("n"), F.col("size"))
+            return F.when(p == at, F.get(places, i + need - 1) < at + length).otherwise(F.get(places, F.size(places) - need) >= at)
+
+        return F.array_distinct(F.transform(F.filter(places, full), lambda p: _starting(p, F.col("n"), F.col("size"))))
+
+    return found.select("doc_id", "tie", "size", F.explode(F.get(F.transform(F.array("hits"), kept), F.lit(0))).alias("at"))
+
+
+def windows(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id, tie, at, size, standing, window`` of documents that share shingles with an
+    item; ``standing``: a shared shingle stands in the window as it does in an item."""
+    full = enough(found).select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "tie", "size", "at")])
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("tie") == F.col("_tie")) & (F.col("size") == F.col("_size")) & (F.col("at") == F.col("_at"))
+    kept = marked.where("standing").unionByName(marked.where("not standing").join(full, same, "left_semi"))
+    return kept.groupBy("doc_id", "tie", "at", "size").agg(F.max("standing").alias("standing"), F.first("window").alias("window"))
 
 
 def near_pairs(found: DataFrame, items: DataFrame) -> DataFrame:
@@ -135,7 +177,7 @@ def near_pairs(found: DataFrame, items: DataFrame) -> DataFrame:
     right = right.select("*", F.posexplode(F.array(*[_block(F.col("item_print"), i) for i in range(BLOCKS)])).alias("block", "own"))
     right = right.select("item_id", "size", "item_print", "block", F.explode(F.transform(F.array(*map(F.lit, _variants())), lambda m: m.bitwiseXOR(F.col("own")))).alias("value"))
     pairs = left.join(right, ["size", "block", "value"]).where(hamming(F.col("print"), F.col("item_print")) <= RADIUS)
-    return pairs.select("doc_id", "tie", "copies", "at", "size", "standing", "item_id", "window").dropDuplicates(["doc_id", "tie", "at", "size", "item_id"])
+    return pairs.select("doc_id", "tie", "at", "size", "standing", "item_id", "window").dropDuplicates(["doc_id", "tie", "at", "size", "item_id"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -143,25 +185,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     that is standing, else of the first) and ``similarity``, for each document and item that
     reach the threshold; one row for each equal row of ``docs``."""
     items = item_table(benchmark)
-    pairs = near_pairs(windows(docs, items), items)
-    # one chain without a self-join, so that the documents are read once
-    key = ["doc_id", "tie", "copies", "item_id", "at", "size", "standing", "length"]
+    marked = materialize(marks(docs, items))
+    found = hits(marked)
+    pairs = near_pairs(windows(marked, found), items)
+    key = ["doc_id", "tie", "item_id", "at", "size", "standing", "length"]
     own = pairs.withColumn("length", F.size("window")).select(*key, F.explode("window").alias("gram")).groupBy(*key, "gram").agg(F.count("*").alias("n"))
     theirs = items.select("item_id", F.explode("grams").alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("m"))
     shared = own.join(theirs, ["item_id", "gram"]).groupBy(*key).agg(F.sum(F.least("n", "m")).alias("least"))
     scored = shared.withColumn("similarity", F.col("least") / (F.col("size") + F.col("length") - F.col("least")))
-    best = F.max(F.struct("similarity", "standing", (-F.col("at")).alias("before")))
-    return (
-        scored.where(F.col("similarity") >= THRESHOLD)
-        .groupBy("doc_id", "tie", "item_id")
-        .agg(best.alias("best"), F.first("copies").alias("copies"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-        .select("doc_id", "tie", "item_id", (-F.col("best.before")).alias("at"), F.col("best.similarity").alias("similarity"))
-    )
+    best = scored.where(F.col("similarity") >= THRESHOLD).groupBy("doc_id", "tie", "item_id")
+    best = best.agg(F.max(F.struct("similarity", "standing", (-F.col("at")).alias("before"))).alias("best"))
+    copies = found.groupBy(F.col("doc_id").alias("_doc_id"), F.col("tie").alias("_tie")).agg(F.max("copies").alias("copies"))
+    each = best.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("tie") == F.col("_tie")))
+    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return each.select("doc_id", "tie", "item_id", (-F.col("best.before")).alias("at"), F.col("best.similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that contain an item, same columns."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("_tie"))
+    doc_id, tie = unused(docs.columns, "doc_id", "tie")
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias(doc_id), F.col("tie").alias(tie)).distinct()
+    match = F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col(tie))
     return docs.join(found, match, "left_anti")
