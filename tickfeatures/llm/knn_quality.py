@@ -3,7 +3,7 @@
 Features are hashed counts of words and of word shapes (runs of upper case, lower case,
 digits and each punctuation mark) as log(1 + count), and the share of words that repeat
 the word before (in ``REPEAT_COLUMNS`` columns, so that it can outweigh a long text);
-they are scaled by inverse document frequency and length. A truncated singular value
+they are scaled by inverse document frequency (over all documents) and length. A truncated singular value
 decomposition of a bounded sample of labelled rows gives the latent space; the sample's
 latent vectors and labels are broadcast (``MAX_REFERENCES`` x ``RANK`` floats, and the
 ``FEATURES`` x ``RANK`` projection: about 2 MB whatever the input). Every document is then
@@ -107,20 +107,64 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def fit(block: np.ndarray, labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS) -> Model:
-    """Latent space and reference vectors of a bounded sample (randomised SVD, fixed seed)."""
-    features = block.shape[1]
+class Sample:
+    """Sparse count rows; only a block of them is dense at a time."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], features: int = FEATURES):
+        self._rows, self._features = rows, features
+
+    def __len__(self) -> int:
+        return len(self._rows)
+
+    def blocks(self, idf: np.ndarray) -> Iterator[np.ndarray]:
+        """Unit rows after scaling by ``idf``."""
+        for at in range(0, len(self._rows), BLOCK):
+            part = self._rows[at : at + BLOCK]
+            block = np.zeros((len(part), self._features), np.float32)
+            for i, (columns, values) in enumerate(part):
+                block[i, columns] = values
+            yield unit(block * idf)
+
+
+def fit(sample: Sample, labels: np.ndarray, texts: int, texts_with: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS) -> Model:
+    """Latent space and reference vectors of a bounded sample (randomised SVD, fixed seed).
+    ``texts_with``: in how many of all ``texts`` each column occurs."""
+    features = len(texts_with)
     if not len(labels):
         return Model(np.zeros(features, np.float32), np.zeros((features, 1), np.float32), np.zeros((0, 1), np.float32), labels, 1.0, neighbours)
-    idf = np.log((1.0 + len(block)) / (1.0 + (block > 0).sum(0))).astype(np.float32) + np.float32(0.1)
-    x = unit(block * idf)
-    rank = min(rank, *x.shape)
+    idf = np.log((1.0 + texts) / (1.0 + texts_with)).astype(np.float32) + np.float32(0.1)
+    rank = min(rank, len(sample), features)
     basis = np.random.Generator(np.random.PCG64(7)).standard_normal((features, min(features, rank + 16))).astype(np.float32)
     for _ in range(4):
-        basis, _ = np.linalg.qr(x.T @ (x @ basis))
-    _, _, right = np.linalg.svd(x @ basis, full_matrices=False)
+        image = np.zeros_like(basis)
+        for x in sample.blocks(idf):
+            image += x.T @ (x @ basis)
+        basis, _ = np.linalg.qr(image)
+    _, _, right = np.linalg.svd(np.concatenate([x @ basis for x in sample.blocks(idf)]), full_matrices=False)
     projection = (basis @ right.T)[:, :rank].astype(np.float32)
-    return Model(idf, projection, unit(x @ projection), labels.astype(np.float64), float(labels.mean()), neighbours)
+    references = np.concatenate([unit(x @ projection) for x in sample.blocks(idf)])
+    return Model(idf, projection, references, labels.astype(np.float64), float(labels.mean()), neighbours)
+
+
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of texts and, for each column, of those that have it; over all of ``docs``.
+    A task sends one row per column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, texts = np.zeros(FEATURES, np.int64), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                block = counts(*bytes_of(batch.column(0).slice(at, BLOCK)))
+                total += (block > 0).sum(0)
+                texts += len(block)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int32()), pa.array(np.append(total[found], texts), pa.int64())], names=["column", "n"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "column int, n bigint").groupBy("column").agg(F.sum("n").alias("n")).collect()  # FEATURES + 1 rows at most
+    found = np.zeros(FEATURES + 1, np.int64)
+    for r in rows:
+        found[r["column"]] = r["n"]
+    return int(found[-1]), found[:-1]
 
 
 def train(docs: DataFrame, labels: DataFrame, eligible, max_references: int = MAX_REFERENCES, rank: int = RANK, neighbours: int = NEIGHBOURS) -> Model:
@@ -155,10 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, eligible, max_references: int = MA
     # max_references rows bound this broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("order", "label", F.col("text").cast("string"))
     rows = texts.mapInArrow(run, "`order` bigint, label double, columns binary, counts binary").orderBy("order", "columns").limit(max_references).collect()
-    block = np.zeros((len(rows), FEATURES), np.float32)
-    for i, r in enumerate(rows):
-        block[i, np.frombuffer(r["columns"], "<i4")] = np.frombuffer(r["counts"], "<f4")
-    return fit(block, np.array([r["label"] for r in rows], np.float64), rank, neighbours)
+    sample = Sample([(np.frombuffer(r["columns"], "<i4"), np.frombuffer(r["counts"], "<f4")) for r in rows])
+    return fit(sample, np.array([r["label"] for r in rows], np.float64), *document_frequencies(docs), rank, neighbours)
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:
