@@ -52,6 +52,7 @@ from pyspark.sql import functions as F
 from tickfeatures.session import materialize
 
 from .components import components
+from .folders import unused
 from .pretokens import ranges
 from .text import bytes_of, mix, mix_int, pieces, set_key, shingle_sets, to_signed, word_hashes
 
@@ -446,13 +447,14 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     last = F.lit(2**63 - 1).cast("bigint")
     rows = _classes(docs).withColumn("key", F.struct(F.coalesce("doc_id", last).alias("id"), "tie"))
     first = rows.where("n_shingles > 0").groupBy("component").agg(F.min("key").alias("first"))
-    gone = rows.join(first, "component").where(F.col("key") != F.col("first")).select(F.col("key.id").alias("__id"), F.col("key.tie").alias("__tie")).distinct()
-    empty = F.size(F.array_remove(F.split(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\t\n\x0b\x0c\r", "     "), " "), "")) == 0
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), last)).withColumn("__tie", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
-    kept = keyed.join(gone, ["__id", "__tie"], "left_anti")
+    of, tie, empty, place = unused(docs.columns, "of", "tie", "empty", "place")
+    gone = rows.join(first, "component").where(F.col("key") != F.col("first")).select(F.col("key.id").alias(of), F.col("key.tie").alias(tie)).distinct()
+    no_word = F.size(F.array_remove(F.split(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\t\n\x0b\x0c\r", "     "), " "), "")) == 0
+    keyed = docs.withColumn(of, F.coalesce(F.col("doc_id").cast("bigint"), last)).withColumn(tie, F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
+    kept = keyed.join(gone, [of, tie], "left_anti")
     # equal rows of one doc_id are one class too; the window uses the join's partitioning
-    order = Window.partitionBy("__id", "__tie").orderBy("__id")
-    kept = kept.withColumn("__empty", empty).withColumn("__row", F.row_number().over(order)).where("__row = 1 or __empty")
+    order = Window.partitionBy(of, tie).orderBy(of)
+    kept = kept.withColumn(empty, no_word).withColumn(place, F.row_number().over(order)).where((F.col(place) == 1) | F.col(empty))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
