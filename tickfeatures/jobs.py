@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .operators import quality, stats
 from .plans.features import build_features_all
 from .schemas import EPSILON, FEATURES, INTERVALS
-from .sources.tables import export_single_csv, read_feature_table, series_extract, write_feature_tables, write_leaderboard
+from .sources.tables import export_single_csv, read_feature_table, series_extract, write_feature_tables
 from .sources.ticks import read_ticks_json
 
 # The series exported by the statistics job.
@@ -60,13 +60,12 @@ def quality_report(spark: SparkSession, features: str, interval: int = 60, fmt:
 
 def classify(spark: SparkSession, features: str, out: str, intervals: Sequence[int] = (15, 60),
              n_series: int | None = None, fmt: str = "parquet", split: str = "hash", **grids) -> DataFrame:
-    """Random-forest and MLP searches per interval and series; appends to a leaderboard folder."""
+    """Random-forest and MLP searches per interval and series into a leaderboard folder. With a
+    ``run_id`` and ``store`` (folder of the tables by series), a lost run goes on."""
     from .ml.campaign import classification_campaign
 
     tables = {iv: read_feature_table(spark, features, iv, fmt) for iv in intervals}
-    board = classification_campaign(tables, n_series, split=split, **grids)
-    write_leaderboard(board, out)
-    return board
+    return classification_campaign(tables, n_series, split=split, ledger=out, **grids)
 
 
 def regress(spark: SparkSession, features: str, out: str, intervals: Sequence[int] = INTERVALS,
@@ -75,9 +74,7 @@ def regress(spark: SparkSession, features: str, out: str, intervals: Sequence[in
     from .ml.campaign import regression_campaign
 
     tables = {iv: read_feature_table(spark, features, iv, fmt) for iv in intervals}
-    board = regression_campaign(tables, n_series, split=split, **grids)
-    write_leaderboard(board, out)
-    return board
+    return regression_campaign(tables, n_series, split=split, ledger=out, **grids)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -96,7 +93,9 @@ def main(argv: Sequence[str] | None = None) -> None:
         s.add_argument("--intervals", type=int, nargs="+", default=[15, 60] if name == "classify" else list(INTERVALS))
         if name in ("classify", "regress"):
             s.add_argument("--n-series", type=int, default=None, help="only the first n series (default: all)")
-            s.add_argument("--split", default="hash", choices=["hash", "time"])
+            s.add_argument("--split", default="hash", choices=["hash", "time", "purged"])
+            s.add_argument("--run-id", default=None, help="take up this run's unfinished searches")
+            s.add_argument("--store", default=None, help="folder of the tables by series, kept for later runs")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"tickfeatures-{a.job}").getOrCreate()
     if a.job == "build":
@@ -110,9 +109,9 @@ def main(argv: Sequence[str] | None = None) -> None:
                 if a.out:
                     df.coalesce(1).write.mode("overwrite").parquet(f"{a.out}/{interval}/{name}")
     elif a.job == "classify":
-        classify(spark, a.features, a.out, a.intervals, a.n_series, a.format, a.split)
+        classify(spark, a.features, a.out, a.intervals, a.n_series, a.format, a.split, run_id=a.run_id, store=a.store)
     elif a.job == "regress":
-        regress(spark, a.features, a.out, a.intervals, a.n_series, a.format, a.split)
+        regress(spark, a.features, a.out, a.intervals, a.n_series, a.format, a.split, run_id=a.run_id, store=a.store)
 
 
 def _worst(df: DataFrame) -> dict:

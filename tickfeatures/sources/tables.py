@@ -67,3 +67,25 @@ def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> list[st
 def write_leaderboard(board: DataFrame, path: str) -> None:
     """M16 sink: append a leaderboard (a few rows per search) to a Parquet folder."""
     board.coalesce(1).write.mode("append").parquet(path)
+
+
+LEADERBOARD_FOLDERS = ("run_id", "interval_min", "zone", "instance", "model")
+
+
+def write_search(board: DataFrame, path: str) -> None:
+    """M16 exactly-once sink: a search's rows (a few) in a folder of their own, by run, series
+    and model as far as the board names them. Writing a search again replaces its rows, so a
+    repeated or retried write gives each row once; other searches stay."""
+    folders = [c for c in LEADERBOARD_FOLDERS if c in board.columns]
+    board.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
+
+
+def read_leaderboard(spark: SparkSession, path: str, schema: T.StructType, run_id: str | None = None) -> DataFrame:
+    """Rows stored by ``write_search`` (``schema`` of the boards), of one run or of all; no rows if nothing was
+    written yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    found = spark.read.schema(schema).parquet(path)
+    found = found if run_id is None else found.where(F.col("run_id") == run_id)
+    return found.select(*schema.fieldNames())
