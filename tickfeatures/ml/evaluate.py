@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import current_direction
+from ..operators.prefix import prefix_sums
 from ..schemas import EPSILON, SERIES_KEYS
 
 
@@ -44,38 +45,23 @@ def auc(df: DataFrame, score: str | Column, label: str | Column, by: Sequence[st
         buckets: int | None = None) -> DataFrame:
     """Exact area under the ROC curve (ties count one half), per ``by`` group.
 
-    AUC = sum over distinct scores s of pos(s) * (neg(< s) + neg(s) / 2) / (P * N).
-    The running count neg(< s) is a prefix sum over sorted distinct scores; it is split
-    into ``buckets`` ranges of each group's scores (default: the session's shuffle
-    partitions, so ranges grow with the cluster). The cuts are approximate quantiles of
-    the group: they only balance the work, the sum stays exact. One window runs per
-    (group, range), one over the per-range totals.
+    AUC = sum over distinct scores s of pos(s) * (neg(< s) + neg(s) / 2) / (P * N). The
+    running count neg(< s) is a distributed prefix sum over the distinct scores
+    (``operators.prefix``), so no task holds all scores of a group. ``buckets``: ranges of
+    scores, else the session's partitions.
     """
     by = list(by)
-    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     y = (_c(label) > 0.5).cast("long")
     g = df.where(_c(score).isNotNull() & _c(label).isNotNull()).groupBy(*by, _c(score).alias("_s")).agg(
         F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg")
     )
-    if buckets > 1:
-        cuts = g.groupBy(*by).agg(F.percentile_approx("_s", [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"))
-        g = g.join(cuts, by) if by else g.crossJoin(cuts)  # without groups: one row
-        g = g.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts")
-    else:
-        g = g.withColumn("_b", F.lit(0))
-    totals = g.groupBy(*by, "_b").agg(F.sum("_neg").alias("_bneg"))
-    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_b", F.coalesce(F.sum("_bneg").over(earlier), F.lit(0)).alias("_before_b"))
-    inside = Window.partitionBy(*by, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("_before_s", F.coalesce(F.sum("_neg").over(inside), F.lit(0)))
-    g = g.join(totals, [*by, "_b"], "inner")
-    neg_below = F.col("_before_b") + F.col("_before_s")
+    g = prefix_sums(g, ["_s"], {"_below": F.col("_neg")}, by, buckets)
     return (
         g.groupBy(*by)
         .agg(
             F.sum("_pos").alias("n_pos"),
             F.sum("_neg").alias("n_neg"),
-            F.sum(F.col("_pos") * (neg_below + F.col("_neg") * 0.5)).alias("_u"),
+            F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") * 0.5)).alias("_u"),
         )
         .withColumn("auc", F.try_divide(F.col("_u"), F.col("n_pos") * F.col("n_neg")))
         .drop("_u")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.split import with_split, with_time_split, with_two_way_split
+from ..operators.split import with_purged_split, with_split, with_time_split, with_two_way_split
 from ..schemas import (
     GBT_CLASSIFIER_ITERS,
     GBT_REGRESSOR_ITERS,
@@ -90,6 +90,8 @@ def _split(df: DataFrame, how: str) -> DataFrame:
     if how == "time":
         edges = df.approxQuantile("bucket_epoch", [TRAIN_SHARE, TRAIN_VALIDATION_SHARE], 0.001) or [0.0, 0.0]
         return with_time_split(df, "bucket_epoch", int(edges[1]), int(edges[0]))
+    if how == "purged":
+        return with_purged_split(df, train_share=TRAIN_SHARE, train_validation_share=TRAIN_VALIDATION_SHARE).where(F.col("part") != "purged")
     raise ValueError(f"unknown split {how!r}")
 
 
@@ -98,8 +100,8 @@ class SearchData:
 
     Kept on the executors (memory, then disk) while a search runs and released by
     ``close``; a lost block is computed again from the feature table. ``split``: "hash"
-    of the key, or "time" (train before validation before test, so that no neighbouring
-    bucket leaks into the test part). Rows with a null feature or label are left out and
+    of the key, "time" (train before validation before test) or "purged" (by time within each
+    series, without the rows that share lags or labels with the part behind them). Rows with a null feature or label are left out and
     counted in ``skipped``.
     """
 
@@ -225,7 +227,9 @@ class ForestSearch:
 
 
 def _forest_classifier(n: int, seed: int) -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol="indexed_label", featuresCol="indexed_features", numTrees=n, seed=seed)
+    """The features tried per split are named: "auto" would try all of them where a step of a
+    nested grid is a single tree."""
+    return RandomForestClassifier(labelCol="indexed_label", featuresCol="indexed_features", numTrees=n, featureSubsetStrategy="sqrt", seed=seed)
 
 
 def _up_slot(labels: Sequence[str], up_value: str) -> int | None:
@@ -363,7 +367,7 @@ def up_vs_rest_auc(predictions: DataFrame, label: str, labels: Sequence[str], up
 
 # --------------------------------------------------------------------------- regressors
 def _forest_regressor(n: int, seed: int) -> RandomForestRegressor:
-    return RandomForestRegressor(labelCol="label", featuresCol="indexed_features", numTrees=n, seed=seed)
+    return RandomForestRegressor(labelCol="label", featuresCol="indexed_features", numTrees=n, featureSubsetStrategy="onethird", seed=seed)
 
 
 def _relative(mse: float | None, spread: float | None) -> float | None:

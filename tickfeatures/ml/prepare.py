@@ -9,6 +9,8 @@ from pyspark.ml.feature import Binarizer, IndexToString, StringIndexer, VectorAs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.prefix import prefix_sums
+
 MAX_CATEGORIES = 4
 # A flag that cannot be known (a series without a price cap) is a category of its own.
 UNKNOWN_FLAG = -1
@@ -88,15 +90,9 @@ def label_index_table(df: DataFrame, label: str) -> DataFrame:
     """The StringIndexer mapping as data: (label text, index, count).
 
     Same order as ``StringIndexer(stringOrderType="frequencyDesc")``: count descending, ties
-    by label text. A label's index is the number of labels before it, so labels are counted
-    by a join on equal or greater counts per distinct count, never in one sorted partition:
-    the running sum goes over the distinct counts, the row number within equal counts.
+    by label text. A label's index is the number of labels before it: a distributed running
+    count, so a column with very many labels is never sorted in one task.
     """
-    from pyspark.sql import Window
-
     counts = df.groupBy(F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
-    before = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct count
-    start = sizes.select("n", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("n").orderBy("label")) - 1
-    return counts.join(start, "n").select("label", (F.col("start") + within).cast("double").alias("label_index"), "n")
+    found = prefix_sums(counts, [F.desc("n"), F.asc("label")], {"label_index": F.lit(1).cast("bigint")})
+    return found.select("label", F.col("label_index").cast("double").alias("label_index"), "n")

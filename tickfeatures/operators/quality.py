@@ -25,6 +25,15 @@ def schema_problems(df: DataFrame, expected: T.StructType) -> list[str]:
     return problems
 
 
+def schema_report(df: DataFrame, expected: T.StructType) -> DataFrame:
+    """K1 as rows: ``column, expected, found`` (type names; null: not there) and ``ok``, for the
+    expected columns and those beyond them."""
+    have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    want = {f.name: f.dataType.simpleString() for f in expected.fields}
+    rows = [(c, want.get(c), have.get(c), int(want.get(c) == have.get(c))) for c in (*want, *(c for c in have if c not in want))]
+    return df.sparkSession.createDataFrame(rows, "column string, expected string, found string, ok int")
+
+
 def stored_schema_problems(spark: SparkSession, path: str, expected: T.StructType, fmt: str = "parquet") -> list[str]:
     """K1 on a stored feature table: Parquet by name and type, CSV by the header's names."""
     if fmt == "csv":

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_KEY = ("zone", "instance", "bucket_epoch")
@@ -52,6 +52,27 @@ def with_time_split(df: DataFrame, order: str = "bucket_epoch", test_from: int |
     return df.withColumn("part", part)
 
 
+def with_purged_split(df: DataFrame, order: str = "bucket_epoch", series: Sequence[str] = ("zone", "instance"),
+                      train_share: float = 0.56, train_validation_share: float = 0.8, before: int = 3, after: int = 1) -> DataFrame:
+    """Time-ordered split of each series by its own edges, with the rows purged (``part`` =
+    "purged") whose features or labels reach across an edge.
+
+    A row's features look back ``before`` rows and its label looks ``after`` rows ahead, so
+    the ``before`` + ``after`` rows in front of an edge share prices with the part behind it. An edge is a place in the series: the share of its rows, rounded
+    down. Places come from one window per series over whole numbers only (a series has one
+    row per bucket of its time span).
+    """
+    place = F.row_number().over(Window.partitionBy(*series).orderBy(order)) - 1
+    rows = F.count(F.lit(1)).over(Window.partitionBy(*series))
+    gap = before + after
+    edges = [F.floor(F.col("_rows") * F.lit(share) + F.lit(1e-9)) for share in (train_share, train_validation_share)]
+    near = F.lit(False)
+    for edge in edges:
+        near = near | ((F.col("_place") < edge) & (F.col("_place") >= edge - gap))
+    part = F.when(near, "purged").when(F.col("_place") < edges[0], "train").when(F.col("_place") < edges[1], "validation").otherwise("test")
+    return df.withColumn("_place", place).withColumn("_rows", rows).withColumn("part", part).drop("_place", "_rows")
+
+
 def hash_sample(df: DataFrame, fraction: float, key_cols: Sequence[str] = DEFAULT_KEY) -> DataFrame:
     """Reproducible sample without replacement: rows whose 32-bit key hash is below
     ``fraction`` of its range; fraction 0 keeps none, 1 keeps every row."""

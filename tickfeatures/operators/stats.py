@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SERIES_KEYS
@@ -85,75 +84,47 @@ def mean_change_per_series(df: DataFrame) -> DataFrame:
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered column pair, long form (feat1, feat2, corr), each
-    over the rows where both columns are known.
-
-    Spark ML's ``Correlation`` aggregates a moment matrix over rows without nulls (a tree
-    aggregate with map-side partial sums). Rows are grouped by which columns are null
-    (one pass finds the patterns, few in practice); a pair's moments are the merged
-    moments of the patterns that have both columns. Only k x k matrices reach the driver,
-    where they become a k^2-row frame. A constant column correlates as null.
+    over the rows where both columns are known (not null, not NaN).
+
+    A masked Gram matrix: a row becomes the vector of (known, value, value squared) of each
+    column, value less the column's mean and 0 where it is unknown. The product sums of
+    these 3k entries hold, for every pair at once, the count, sums, squares and products over
+    the rows that know both. One pass with partial sums in every task gives them, whatever
+    patterns of nulls there are; a first pass gives the means, which only keep the sums
+    small. Only the (3k)^2 matrix reaches the driver. A constant column correlates as null.
     """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+
     cols = list(columns)
-    known = [F.col(c).isNotNull() & ~F.isnan(c) for c in cols]
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).withColumn("_p", F.concat(*[F.when(k, "1").otherwise("0") for k in known]))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    k = len(cols)
+    rows = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        sums = [f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("v", F.var_samp))]
-        patterns = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), *sums).collect()  # one row per pattern of nulls
-        parts = [_moments(rows, cols, r) for r in patterns if "1" in r["_p"]]
+        first = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).first()
+        if not first["n"]:
+            return df.sparkSession.createDataFrame([(a, b, None) for a in cols for b in cols], "feat1 string, feat2 string, corr double")
+        centred = [F.col(f"c{i}") - F.lit(first[f"m{i}"] or 0.0) for i in range(k)]
+        known = [F.col(f"c{i}").isNotNull().cast("double") for i in range(k)]
+        vector = array_to_vector(F.array(*known, *[F.coalesce(x, F.lit(0.0)) for x in centred], *[F.coalesce(x * x, F.lit(0.0)) for x in centred]))
+        gram = RowMatrix(MLUtils.convertVectorColumnsFromML(rows.select(vector.alias("v")), "v"), first["n"], 3 * k).computeGramianMatrix().toArray()
     finally:
         rows.unpersist()
-    out = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            both = [(m, m.index[i], m.index[j]) for m in parts if i in m.index and j in m.index]
-            out.append((a, b, _merged_correlation(both)))
+    out = [(a, b, _correlation(gram, k, i, j, [first[f"m{x}"] or 0.0 for x in (i, j)])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return df.sparkSession.createDataFrame(out, "feat1 string, feat2 string, corr double")
 
 
-@dataclass(frozen=True)
-class Moments:
-    """Count, means and centred product sums of the known columns of one null pattern."""
-
-    n: int
-    index: dict[int, int]
-    mean: list[float]
-    product: list[list[float]]
-
-
-def _moments(rows: DataFrame, cols: Sequence[str], found: Row) -> Moments:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    keep = [i for i, x in enumerate(found["_p"]) if x == "1"]
-    n, k = found["n"], len(keep)
-    product = [[0.0] * k for _ in keep]
-    if n > 1:
-        mine = rows.where(F.col("_p") == found["_p"]).select(*[cols[i] for i in keep])
-        vec = VectorAssembler(inputCols=[cols[i] for i in keep], outputCol="_v").transform(mine).select("_v")
-        corr = Correlation.corr(vec, "_v", "pearson").head()[0].toArray()
-        scale = [math.sqrt(max(0.0, found[f"v{i}"]) * (n - 1)) for i in keep]
-        for i in range(k):
-            for j in range(k):
-                r = 1.0 if i == j else float(corr[i, j])
-                product[i][j] = scale[i] * scale[j] * (0.0 if math.isnan(r) else r)
-    return Moments(n, {i: at for at, i in enumerate(keep)}, [float(found[f"m{i}"]) for i in keep], product)
-
-
-def _merged_correlation(parts: list[tuple[Moments, int, int]]) -> float | None:
-    """Correlation over the union of the parts (pairwise update of centred sums)."""
-    n = sum(m.n for m, _, _ in parts)
+def _correlation(gram, k: int, i: int, j: int, means: Sequence[float]) -> float | None:
+    """Of columns i and j over the rows that know both."""
+    n = gram[i, j]
     if n < 2:
         return None
-    x = sum(m.n * m.mean[i] for m, i, _ in parts) / n
-    y = sum(m.n * m.mean[j] for m, _, j in parts) / n
-    xx = sum(m.product[i][i] + m.n * (m.mean[i] - x) ** 2 for m, i, _ in parts)
-    yy = sum(m.product[j][j] + m.n * (m.mean[j] - y) ** 2 for m, _, j in parts)
-    xy = sum(m.product[i][j] + m.n * (m.mean[i] - x) * (m.mean[j] - y) for m, i, j in parts)
-    flat = 1e-18 * n
-    if xx <= flat * max(1.0, x * x) or yy <= flat * max(1.0, y * y):
+    sums = gram[k + i, j], gram[k + j, i]
+    xx, yy = gram[2 * k + i, j] - sums[0] ** 2 / n, gram[2 * k + j, i] - sums[1] ** 2 / n
+    xy = gram[k + i, k + j] - sums[0] * sums[1] / n
+    if any(v <= 1e-18 * n * max(1.0, m * m) for v, m in ((xx, means[0]), (yy, means[1]))):
         return None
-    return xy / math.sqrt(xx * yy)
+    return float(xy / math.sqrt(xx * yy))
 
 
 def correlation_with_labels(df: DataFrame, features: Sequence[str], labels: Sequence[str]) -> DataFrame:
@@ -201,3 +172,30 @@ def distinct_value_counts(df: DataFrame, columns: Sequence[str], max_categories:
         .agg(F.count(F.lit(1)).alias("n_distinct"))
         .withColumn("is_categorical", (F.col("n_distinct") <= max_categories).cast("int"))
     )
+
+
+def bounded_distinct(df: DataFrame, columns: Sequence[str], most: int = 4) -> DataFrame:
+    """T4: the values of every column with at most ``most`` distinct ones, long form (feature,
+    value); columns with more have no row, nulls are no value.
+
+    Successive minima: each round takes, of all columns still open, the least value above
+    the last one, in one aggregate without grouping. ``most`` + 1 rounds tell a column with
+    more values, so no value set is ever gathered or shuffled, however many there are.
+    """
+    found: dict[str, list[float]] = {c: [] for c in columns}
+    rows = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        still = list(range(len(found)))
+        for _ in range(most + 1):
+            if not still:
+                break
+            names = [columns[i] for i in still]
+            above = [F.col(f"c{i}") > F.lit(found[c][-1]) if found[c] else F.lit(True) for i, c in zip(still, names, strict=True)]
+            least = rows.agg(*[F.min(F.when(a, F.col(f"c{i}"))).alias(f"c{i}") for i, a in zip(still, above, strict=True)]).first()
+            still = [i for i in still if least[f"c{i}"] is not None]
+            for i in still:
+                found[columns[i]].append(least[f"c{i}"])
+    finally:
+        rows.unpersist()
+    values = [(c, v) for c, seen in found.items() if len(seen) <= most for v in seen]
+    return df.sparkSession.createDataFrame(values, "feature string, value double")
