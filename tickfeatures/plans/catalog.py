@@ -27,6 +27,7 @@ from ..operators.daily import (
     previous_day_by_range,
     shift_days,
 )
+from ..operators.prefix import numbered
 from ..operators.resample import resample
 from ..operators.split import hash_sample, with_split, with_two_way_split
 from ..schemas import (
@@ -37,6 +38,7 @@ from ..schemas import (
     LABELS,
     PRICE_CAPS,
     SELECTED_FEATURES,
+    FEATURES,
     SERIES_KEYS,
     numeric_features,
 )
@@ -115,13 +117,6 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def _with_place(df: DataFrame) -> DataFrame:
-    """A sorted report with its rows numbered in their order. For reports of one row per
-    series or feature pair only: numbering needs the rows in one partition."""
-    order = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
-    return df.coalesce(1).select("*", order.cast("bigint").alias("place"))
-
-
 def _w(upto: str, iv: int = 60) -> str:
     return O.ctes([iv], EPSILON, upto)
 
@@ -151,6 +146,38 @@ def q_time_parts(spark, sf):
     )
 
 
+_FAULTY = """CASE event_id % 50 WHEN 0 THEN 'malformed' WHEN 1 THEN 'series' WHEN 2 THEN 'time' WHEN 3 THEN 'price' ELSE 'ok' END"""
+
+
+@query("ticks_rejects", f"""SELECT {_FAULTY} AS reason, count(*) AS n,
+  CAST(sum(CASE WHEN event_id % 50 IN (0, 2) THEN NULL ELSE floor(epoch(ts)) END) AS BIGINT) AS epoch_sum,
+  CAST(sum(CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS broken_lines FROM events GROUP BY 1""")
+def q_ticks_rejects(spark, sf):
+    """IO1 / F5: all events as source lines, of which some are cut off, lack a zone, or have no
+    readable time or price, and some give their time with an offset; rows by reason."""
+    from ..sources.ticks import checked_ticks
+    events = spark.read.schema("event_id bigint, ts timestamp_ntz, value double").parquet(f"{sf}/events.parquet")
+    fault = F.pmod("event_id", F.lit(50))
+    stamp = lambda t, end: F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(end))
+    time = (
+        F.when(fault == 2, "yesterday")
+        .when(fault == 4, stamp(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "+02:00"))
+        .when(fault == 5, stamp(F.col("ts") - F.expr("INTERVAL '05:30' HOUR TO MINUTE"), "-0530"))
+        .when(fault == 6, stamp(F.col("ts"), ""))
+        .otherwise(stamp(F.col("ts"), ".000Z"))
+    )
+    line = F.to_json(F.struct(
+        time.alias("TimeStamp"),
+        F.when(fault == 3, "n/a").otherwise(F.col("value").cast("string")).alias("SpotPrice"),
+        F.when(fault != 1, "eu-west-1a").alias("AvailabilityZone"),
+        F.lit("m1.medium").alias("InstanceType"),
+    ))
+    lines = events.select(F.when(fault == 0, F.substring(line, 1, 30)).otherwise(line).alias("value"))
+    checked = checked_ticks(lines)
+    return checked.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(epoch_seconds("ts")).alias("epoch_sum"), F.sum((~F.col("line").endswith("}")).cast("bigint")).alias("broken_lines"))
+
+
 @query("ticks_json_roundtrip", f"{_w('res')}\nSELECT zone, instance, bucket_epoch, {O.r('spot_price')} FROM res")
 def q_ticks_json_roundtrip(spark, sf):
     """IO1: all ticks written as JSON lines in the source format, read back with the JSON
@@ -464,6 +491,18 @@ def q_hash_split(spark, sf):
     return with_split(_ft(spark, sf)).select(*K, "part")
 
 
+@query("purged_split", f"""{_w('ft')},
+p AS (SELECT zone, instance, bucket_epoch, row_number() OVER (PARTITION BY zone, instance ORDER BY bucket_epoch) - 1 AS i,
+        count(*) OVER (PARTITION BY zone, instance) AS n FROM ft),
+e AS (SELECT *, CAST(floor(n * 0.56 + 1e-9) AS BIGINT) AS a, CAST(floor(n * 0.8 + 1e-9) AS BIGINT) AS b FROM p)
+SELECT zone, instance, bucket_epoch, CASE WHEN i BETWEEN a - 4 AND a - 1 OR i BETWEEN b - 4 AND b - 1 THEN 'purged'
+  WHEN i < a THEN 'train' WHEN i < b THEN 'validation' ELSE 'test' END AS part FROM e""")
+def q_purged_split(spark, sf):
+    """Time split per series without the rows whose lags or label cross an edge."""
+    from ..operators.split import with_purged_split
+    return with_purged_split(_ft(spark, sf).select(*K)).select(*K, "part")
+
+
 @query("hash_split_7030", f"""{_w('ft')}
 SELECT zone, instance, bucket_epoch, CASE WHEN {_HB} < 70 THEN 'train' ELSE 'test' END AS part FROM ft""")
 def q_hash_split_7030(spark, sf):
@@ -490,7 +529,7 @@ SELECT zone, instance, {O.r('a', 'avg_count')}, row_number() OVER (ORDER BY a, z
   (SELECT zone, instance, date, count(*) AS n_obs FROM ft GROUP BY zone, instance, date) GROUP BY zone, instance)""")
 def q_density_mean(spark, sf):
     """A6 / IO5 / O2: mean buckets per day per series, ascending, with each series' place in the order."""
-    return _with_place(stats.density_mean(_ft(spark, sf)))
+    return numbered(stats.density_mean(_ft(spark, sf)), ["avg_count", "zone", "instance"])
 
 
 @query("distinct_series", f"{_w('ft')}\nSELECT DISTINCT zone, instance FROM ft")
@@ -499,6 +538,17 @@ def q_distinct_series(spark, sf):
     return stats.distinct_series(_ft(spark, sf))
 
 
+@query("qc_schema", "SELECT * FROM (VALUES " + ", ".join(f"('{f.name}', '{f.dataType.simpleString()}', '{f.dataType.simpleString()}', 1)" for f in FEATURES.fields) + ') AS t("column", expected, found, ok)')
+def q_qc_schema(spark, sf):
+    """K1: the stored hourly table's columns against the feature schema."""
+    from ..operators.quality import schema_report
+    from ..sources.tables import read_feature_table, write_feature_tables
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/schema_{uuid.uuid4().hex}"
+    write_feature_tables(_ft(spark, sf).withColumn("interval_min", F.lit(60)), path)
+    stored = spark.read.parquet(path).drop("interval_min")
+    return schema_report(stored, FEATURES)
+
+
 @query("qc_domain_counts", f"""{_w('ft')}
 SELECT count(DISTINCT zone) AS n_zones, count(DISTINCT instance) AS n_instances,
   count(DISTINCT (zone, instance)) AS n_series FROM ft""")
@@ -697,6 +747,15 @@ def q_categorical_features(spark, sf):
     return stats.distinct_value_counts(ft, numeric_features(ft), 4)
 
 
+@query("categorical_values", f"""{_w('ft')},
+v AS ({' UNION ALL '.join(f"SELECT DISTINCT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM ft WHERE {c} IS NOT NULL" for c in _NUM_FEATURES)})
+SELECT feature, {O.r('value')} FROM v WHERE feature IN (SELECT feature FROM v GROUP BY feature HAVING count(*) <= 4)""")
+def q_categorical_values(spark, sf):
+    """T4: the categories of every categorical feature, by successive minima."""
+    ft = _ft(spark, sf)
+    return stats.bounded_distinct(ft, numeric_features(ft), 4)
+
+
 @query("accuracy_baseline", f"""{_w('ft')}
 SELECT zone, instance, count(*) AS n,
   {O.r(f"avg(CAST((CASE WHEN price_change >= {EPSILON} THEN 2 WHEN price_change <= {-EPSILON} THEN 0 ELSE 1 END) = y_direction AS DOUBLE))", 'accuracy')},
@@ -781,8 +840,7 @@ def q_prepare(spark, sf):
 
 
 # --------------------------------------------------------------------------- models (row checks and tests)
-# All registered searches use the full grids of ``schemas``. The campaigns (every series, each with
-# full grids) take hours on one machine: they are library functions and jobs, not registered queries.
+# All registered searches use the full grids of ``schemas``.
 _FOREST: dict = {}
 
 
@@ -862,3 +920,22 @@ def q_gbt_regressor_grid(spark, sf):
     """M8: boosted-tree regressor iteration grid, ascending nRMSE; the winner is refitted."""
     from ..ml.models import gbt_regressor_grid
     return gbt_regressor_grid(_ft(spark, sf), run_id="gbt_regressor")
+
+
+def _hourly(spark, sf):
+    return {60: _ft(spark, sf)}
+
+
+@query("classification_campaign")
+def q_classification_campaign(spark, sf):
+    """The full random-forest grid for every series of the hourly table, from the
+    store by series, through the ledger; leaderboard of the run."""
+    from ..ml.campaign import classification_campaign
+    return classification_campaign(_hourly(spark, sf), run_id="classification", models=["random_forest_classifier"])
+
+
+@query("regression_campaign")
+def q_regression_campaign(spark, sf):
+    """The full random-forest regressor grid for every series of the hourly table."""
+    from ..ml.campaign import regression_campaign
+    return regression_campaign(_hourly(spark, sf), run_id="regression", models=["random_forest_regressor"])

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import TICK_JSON
 
+TICK_COLUMNS = ("zone", "instance", "ts", "spot_price")
+
 # Fixed values of the test-table adapter: how rows of the ``events`` table
 # stand in for price ticks (event type -> zone, user id mod 3 -> instance,
 # value / 400 -> price).
@@ -36,18 +39,69 @@ def write_ticks_json(ticks: DataFrame, path: str) -> None:
     ).write.mode("overwrite").json(path)
 
 
+def _instant(text: Column) -> Column:
+    """ISO time text as a UTC timestamp without zone, to the second. An offset at the end
+    (``+02:00``, ``-0530``) is taken off; ``Z`` or no offset is UTC. Null if unreadable."""
+    local = F.replace(F.substring(text, 1, 19), F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz")
+    part = lambda i: F.coalesce(F.regexp_extract(F.substring(text, 20, 40), r"([+-])(\d{2}):?(\d{2})$", i).try_cast("int"), F.lit(0))
+    sign = F.when(F.regexp_extract(F.substring(text, 20, 40), r"([+-])\d{2}:?\d{2}$", 1) == "-", -1).otherwise(1)
+    return local - F.make_dt_interval(F.lit(0), sign * part(2), sign * part(3), F.lit(0))
+
+
+def _typed_columns(of: str = "") -> list[Column]:
+    """zone, instance, ts and spot_price from the text columns of a struct or frame."""
+    return [
+        F.col(f"{of}AvailabilityZone"),
+        F.col(f"{of}InstanceType"),
+        _instant(F.col(f"{of}TimeStamp")),
+        F.col(f"{of}SpotPrice").try_cast("double"),
+    ]
+
+
 def normalize_raw_ticks(raw: DataFrame) -> DataFrame:
     """(TimeStamp, SpotPrice, AvailabilityZone, InstanceType) text -> typed ticks.
 
-    Unparseable prices or timestamps become null instead of failing the job.
+    Unparseable prices or timestamps become null instead of failing the job; offsets in
+    TimeStamp are honoured.
     """
-    ts_text = F.replace(F.substring("TimeStamp", 1, 19), F.lit("T"), F.lit(" "))
-    return raw.select(
-        F.col("AvailabilityZone").alias("zone"),
-        F.col("InstanceType").alias("instance"),
-        ts_text.try_cast("timestamp_ntz").alias("ts"),
-        F.col("SpotPrice").try_cast("double").alias("spot_price"),
+    return raw.select(*[e.alias(c) for c, e in zip(TICK_COLUMNS, _typed_columns(), strict=True)])
+
+
+def checked_ticks(lines: DataFrame) -> DataFrame:
+    """``zone, instance, ts, spot_price, reason, line`` of JSON lines (column ``value``).
+
+    ``reason`` is null for a usable tick, else the first of: ``malformed`` (no JSON object),
+    ``series`` (no zone or instance type), ``time``, ``price``. Blank lines are no rows.
+    Nothing is lost: a rejected line comes with its text."""
+    schema = T.StructType([*TICK_JSON.fields, T.StructField("_broken", T.StringType())])
+    parsed = lines.where(F.trim("value") != "").select("value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("j"))
+    made = dict(zip(TICK_COLUMNS, _typed_columns("j."), strict=True))
+    reason = (
+        F.when(F.col("j").isNull() | F.col("j._broken").isNotNull(), "malformed")
+        .when(made["zone"].isNull() | made["instance"].isNull(), "series")
+        .when(made["ts"].isNull(), "time")
+        .when(made["spot_price"].isNull() | F.isnan(made["spot_price"]), "price")
     )
+    return parsed.select(*[e.alias(c) for c, e in made.items()], reason.alias("reason"), F.col("value").alias("line"))
+
+
+def read_ticks_checked(spark: SparkSession, path: str) -> DataFrame:
+    """JSON-lines ticks with the reason of every rejected line (see ``checked_ticks``)."""
+    return checked_ticks(spark.read.text(path))
+
+
+def write_checked_ticks(checked: DataFrame, path: str) -> dict[str, int]:
+    """Write usable ticks (folder ``kind=ok``) and rejected lines (a folder per reason) in one
+    scan of the lines. Returns the number of rows by kind, observed during that write."""
+    from pyspark.sql import Observation
+
+    kinds = ("ok", "malformed", "series", "time", "price")
+    kind = F.coalesce("reason", F.lit("ok"))
+    seen = Observation()
+    rows = checked.observe(seen, *[F.count_if(kind == k).alias(k) for k in kinds])
+    rows = rows.select("zone", "instance", "ts", "spot_price", F.when(F.col("reason").isNotNull(), F.col("line")).alias("line"), kind.alias("kind"))
+    rows.write.mode("overwrite").partitionBy("kind").parquet(path)
+    return {k: seen.get[k] for k in kinds}
 
 
 def _lookup(key: Column, pairs) -> Column:
