@@ -137,7 +137,8 @@ class Run:
     codes: np.ndarray
     pairs: np.ndarray  # distinct keys, uint64; codes index them
     text_of_link: np.ndarray
-    tokens: tuple  # (ids, ends) of each side and the groups' ends, for ``groups``
+    ids: list[np.ndarray]  # of each side
+    ending: np.ndarray  # of each side and link: its token ends with the link
 
 
 def _sums(values: np.ndarray, per_text: np.ndarray) -> np.ndarray:
@@ -149,7 +150,10 @@ class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
         a, b = BytePieces(byte_path), BlankPieces(piece_path)
         self._a, self._b, self.b_ids = Side(a), Side(b), b.size
-        self._digits = [_separated(a.size), _separated(b.size)]
+        decimals = [b"%d," % i for i in range(max(a.size, b.size))]
+        self._decimals = np.frombuffer(b"".join(decimals), np.uint8)
+        self._width = np.fromiter(map(len, decimals), np.int64, len(decimals))
+        self._at = np.cumsum(self._width) - self._width
 
     def runs(self, texts: list[str | None]) -> Iterator[tuple[int, Run]]:
         """(rows, their alignment) for runs of rows of bounded size."""
@@ -184,13 +188,14 @@ class Aligner:
         marks[0][ends[0]] = True
         marks[1][ends[1]] = True
         links = np.flatnonzero(marks[0] | marks[1])
-        groups = np.flatnonzero(marks[0] & marks[1])
-        key = ids[0][np.searchsorted(ends[0], links)].astype(np.uint64) * np.uint64(self.b_ids) + ids[1][np.searchsorted(ends[1], links)].astype(np.uint64)
+        ending = marks[:, links]
+        # a link lies in the token behind the ends before it
+        token = [np.cumsum(e) - e for e in ending]
+        key = ids[0][token[0]].astype(np.uint64) * np.uint64(self.b_ids) + ids[1][token[1]].astype(np.uint64)
         codes, pairs = pd.factorize(key)
         last = np.cumsum(size)
-        text_of_link = np.searchsorted(last, links)
-        count = lambda where: np.bincount(np.searchsorted(last, where), minlength=n)
-        return Run(per_text[0], per_text[1], count(groups), np.bincount(text_of_link, minlength=n), codes, pairs, text_of_link, (ids, ends, groups, last))
+        n_groups, n_links = (np.diff(np.searchsorted(where, last, "right"), prepend=0) for where in (links[ending.all(0)], links))
+        return Run(per_text[0], per_text[1], n_groups, n_links, codes, pairs, np.repeat(np.arange(n), n_links), ids, ending)
 
     def _spelled_again(self, raw: np.ndarray, size: np.ndarray, ids: tuple, per_text: tuple) -> np.ndarray:
         """Of each text: both sides' tokens join to its bytes."""
@@ -210,34 +215,22 @@ class Aligner:
 
     def groups(self, run: Run) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each text: ids of the groups' A and B tokens in order."""
-        ids, ends, groups, last = run.tokens
-        first = [np.searchsorted(e, groups, "right") for e in ends]  # tokens up to each group's end
-        of = [np.searchsorted(groups, e) for e in ends]
-        before = [np.concatenate([np.zeros(1, np.int64), f]) for f in first]
-        n = len(ids[0]) + len(ids[1])
-        place = [np.arange(len(ids[0])) + before[1][of[0]], np.arange(len(ids[1])) + before[0][of[1] + 1]]
-        out = np.empty((n, self._digits[0].shape[1]), np.uint8)
-        for k, end_mark in enumerate(b"|;"):
-            rows = np.zeros((len(ids[k]), out.shape[1]), np.uint8)
-            rows[:, : self._digits[k].shape[1]] = self._digits[k][ids[k]]
-            closing = first[k] - 1
-            part = rows[closing]
-            part[part == ord(",")] = end_mark
-            rows[closing] = part
-            out[place[k]] = rows
-        kept = out != 0
-        text = out[kept].tobytes().decode("ascii")
-        width = np.concatenate([np.zeros(1, np.int64), np.cumsum(kept.sum(1))])
-        tokens = run.n_a + run.n_b
-        stop = width[np.cumsum(tokens)]
-        start = width[np.cumsum(tokens) - tokens]
-        return [text[a : b - 1] if b > a else "" for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-
-
-def _separated(n: int) -> np.ndarray:
-    """The decimals of 0 to n - 1, each with a comma behind, padded by zero bytes."""
-    width = len(str(max(1, n - 1))) + 1
-    return np.frombuffer(np.char.add(np.arange(n).astype(str), ",").astype(f"S{width}").tobytes(), np.uint8).reshape(n, width)
+        both = run.ending.all(0)
+        done = np.cumsum(both) - both
+        tokens = [np.cumsum(e)[both] for e in run.ending]  # up to each group's end
+        group = [done[e] for e in run.ending]  # of each token
+        before = np.concatenate([np.zeros(1, np.int64), tokens[0]]), np.concatenate([np.zeros(1, np.int64), tokens[1]])
+        spelling = np.empty(len(run.ids[0]) + len(run.ids[1]), np.int64)
+        spelling[np.arange(len(run.ids[0])) + before[1][group[0]]] = run.ids[0]
+        spelling[np.arange(len(run.ids[1])) + before[0][group[1] + 1]] = run.ids[1]
+        width = self._width[spelling]
+        text = self._decimals[ranges(self._at[spelling], width)]
+        stop = np.cumsum(width)
+        text[stop[tokens[0] + before[1][:-1] - 1] - 1] = ord("|")
+        text[stop[tokens[0] + tokens[1] - 1] - 1] = ord(";")
+        whole = text.tobytes().decode("ascii")
+        ends = np.concatenate([np.zeros(1, np.int64), stop])[np.cumsum(run.n_a + run.n_b)].tolist()
+        return [whole[a : b - 1] if b > a else "" for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
