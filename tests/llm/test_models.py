@@ -192,6 +192,19 @@ def test_order_matters():
 # ---- op10
 
 
+def test_range_edges_are_bounded_and_cover_ties(spark, monkeypatch):
+    """Ties and repeated rows: each row has its successor in the whole order, few rows are collected."""
+    rows = [(i % 7 if i % 5 else None, f"text number {i % 11} of the rows") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    monkeypatch.setattr(order_minhash, "SAMPLE", 20)
+    assert len(order_minhash._edges(order_minhash._order_key(docs), 9)) <= 9
+    keyed = sorted((r["desc"], r["tie"], r["text"]) for r in order_minhash._order_key(docs).collect())
+    half = lambda a, b: a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+    want = sorted(hashlib.sha256(half(a[2], b[2]).encode()).hexdigest() for a, b in zip(keyed, keyed[1:] + keyed[:1]))
+    got = order_minhash.fingerprint_documents(docs, parts=3).collect()
+    assert sorted(r["edited_sha256"] for r in got) == want
+
+
 def test_quality_votes_on_held_out_rows(spark):
     rows = queries.QUERIES["op10_knn_quality"](spark, SF_MID).collect()
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_MID}/labels.parquet").collect()}

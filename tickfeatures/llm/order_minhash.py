@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .text import BYTE_CODE, bytes_of, mix, pieces, span_hashes, split_words
 
 K, L, M = 2, 2, 32
+#: rows whose keys bound the ranges of the order; more ranges than this are not told apart
+SAMPLE = 65_536
 _POSITION_BITS = 24
 
 
@@ -128,13 +130,16 @@ def _order_key(docs: DataFrame) -> DataFrame:
 
 def _edges(keyed: DataFrame, buckets: int) -> list[tuple[int, int]]:
     """Keys of rows that begin the buckets, ascending; the first is the least key of all.
-    They come from a sample bounded by the number of buckets (the least hashes)."""
+    They come from the distinct keys whose hash lies in a share of its range that holds
+    ``SAMPLE`` of all rows, so what reaches the driver does not grow with the input."""
     keys = keyed.select("desc", "tie")
-    least = keys.agg(F.min(F.struct("desc", "tie")).alias("k")).first().k
+    least, n = keys.agg(F.min(F.struct("desc", "tie")), F.count(F.lit(1))).first()
     if least is None:
         return []
-    rows = keys.withColumn("h", F.xxhash64("desc", "tie", F.lit(9))).orderBy("h").limit(16 * buckets).collect()
-    return sorted({(least.desc, least.tie), *sorted({(r.desc, r.tie) for r in rows})[16::16]})
+    bound = -(2**63) + (2**64 * min(SAMPLE, n) // n) - 1
+    rows = keys.where(F.xxhash64("desc", "tie", F.lit(9)) <= F.lit(bound)).distinct().collect()  # about SAMPLE rows at most
+    found = sorted((r.desc, r.tie) for r in rows)
+    return sorted({(least.desc, least.tie), *(found[i * len(found) // buckets] for i in range(1, buckets) if found)})
 
 
 def _bucket_of(edges: list[tuple[int, int]], desc: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
