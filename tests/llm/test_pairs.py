@@ -119,5 +119,5 @@ def test_intersections_of_blocks(limit, monkeypatch):
 def test_one_per_class_keeps_columns_with_helper_names(spark):
     text = "one two three four five six seven eight"
     docs = spark.createDataFrame([(1, text, 7, "t", True, 3), (2, text, 8, "u", False, 4), (3, "", 9, "v", None, 5)], "doc_id bigint, text string, of int, tie string, empty boolean, place int")
-    kept = partenum.one_per_class(docs)
+    kept = P.one_per_class(docs)
     assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, text, 7, "t", True, 3), (3, "", 9, "v", None, 5)]
