@@ -12,7 +12,9 @@ def test_build_statistics_quality_jobs(spark):
     base = tempfile.mkdtemp(prefix="tf-jobs-", dir="/tmp")
     ticks = load_event_ticks(spark, SF_SMALL)
     write_ticks_json(ticks, f"{base}/ticks")
-    jobs.build(spark, f"{base}/ticks", f"{base}/features")
+    seen = jobs.build(spark, f"{base}/ticks", f"{base}/features")
+    stored = spark.read.parquet(f"{base}/features")
+    assert seen == {"n_rows": stored.count(), "n_incomplete": 0, "n_hour_mismatch": 0, "n_dow_mismatch": 0, "n_date_mismatch": 0}
     got = sorted(tuple(r) for r in read_feature_table(spark, f"{base}/features", 60).collect())
     want = sorted(tuple(r) for r in build_features(ticks, 60).collect())
     assert got == want  # JSON text round trip of time and price is exact

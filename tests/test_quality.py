@@ -61,3 +61,52 @@ def test_missing_series_and_lists(spark):
     assert [tuple(r) for r in quality.missing_series(ft).collect()] == [("eu-west-1a", "c3.large")]
     assert tuple(domain_counts(ft).first()) == (2, 2, 3)
     assert domain_lists(ft).count() == 7
+
+
+def test_fused_pass_equals_single_checks(spark):
+    """One scan and one shuffle give the numbers of the seven checks, on a table with faults and nulls."""
+    from tickfeatures.operators.stats import domain_counts, domain_lists
+    rows = _two_days("us-west-2a", "m1.medium", 1) + _two_days("us-west-2a", "c3.large", 2) + _two_days("eu-west-1a", "m1.medium", 3)
+    ft = _ft(spark, rows)
+    broken = ft.withColumns({
+        "price_change": F.expr("if(hour = 5, price_change + 1, price_change)"),
+        "y_future_price": F.expr("if(hour = 4, null, y_future_price * 2)"),
+        "prev_day_avg_price": F.expr("case when zone = 'eu-west-1a' then null when instance = 'c3.large' then 7 else prev_day_avg_price end"),
+        "iso_dow": F.expr("if(instance = 'c3.large', 9, iso_dow)")})
+    lost = ft.limit(3).withColumns({"zone": F.lit(None).cast("string"), "hour": F.lit(None).cast(ft.schema["hour"].dataType)})
+    undated = ft.where("hour > 5").withColumns({"date": F.lit(None).cast("date"), "instance": F.lit("undated")})
+    for table in (ft, broken, broken.unionByName(lost).unionByName(undated), ft.limit(0)):
+        facts = quality.series_facts(table, 60)
+        reports = quality.reports_of(facts)
+        single = {
+            "domain_counts": domain_counts(table), "domain_lists": domain_lists(table),
+            "completeness": quality.completeness(table), "missing_series": quality.missing_series(table),
+            "prev_day": quality.prev_day_reconciliation(table), "lag_lead": quality.lag_lead_consistency(table, 60),
+            "calendar": quality.calendar_consistency(table)}
+        assert reports.keys() == single.keys()
+        for name, want in single.items():
+            assert reports[name].columns == want.columns
+            got, want = (sorted((tuple(r) for r in df.collect()), key=repr) for df in (reports[name], want))
+            assert got == want, name
+    assert facts.collect() == []
+
+
+def test_fused_pass_has_one_scan_and_one_shuffle(spark, tmp_path):
+    _ft(spark, _two_days("us-west-2a", "m1.medium", 1)).write.parquet(f"{tmp_path}/ft")
+    plan = quality.series_facts(spark.read.parquet(f"{tmp_path}/ft"), 60)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+
+
+def test_written_rows_are_observed(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from tickfeatures.sources.tables import write_feature_tables
+    ft = _ft(spark, _two_days("us-west-2a", "m1.medium", 1) + _two_days("us-west-2a", "c3.large", 2)).withColumn("interval_min", F.lit(60))
+    odd = ft.withColumns({"hour": F.expr("if(instance = 'c3.large', hour + 1, hour)"), "price_change": F.expr("if(hour = 7, null, price_change)")})
+    seen = Observation()
+    write_feature_tables(odd, f"{tmp_path}/out", seen=seen)
+    stored = spark.read.parquet(f"{tmp_path}/out")
+    want = quality.calendar_consistency(stored).first().asDict()
+    got = dict(seen.get)
+    assert got.pop("n_incomplete") == stored.count() - stored.dropna().count() > 0
+    assert got == want and want["n_hour_mismatch"] == stored.where("instance = 'c3.large'").count() > 0

@@ -15,12 +15,13 @@ from __future__ import annotations
 import argparse
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import quality, stats
 from .plans.features import build_features_all
 from .schemas import EPSILON, FEATURES, INTERVALS
+from .session import materialize
 from .sources.tables import export_single_csv, read_feature_table, series_extract, write_feature_tables
 from .sources.ticks import read_ticks_json
 
@@ -29,9 +30,12 @@ EXPORT_ZONE, EXPORT_INSTANCE = "us-west-2a", "m1.medium"
 
 
 def build(spark: SparkSession, ticks_path: str, out: str, intervals: Sequence[int] = INTERVALS,
-          eps: float = EPSILON, fmt: str = "parquet", mode: str = "series") -> None:
-    """Ticks (JSON lines) -> feature tables of all intervals, one scan, one folder per interval."""
-    write_feature_tables(build_features_all(read_ticks_json(spark, ticks_path), intervals, eps, mode=mode), out, fmt)
+          eps: float = EPSILON, fmt: str = "parquet", mode: str = "series") -> dict[str, int]:
+    """Ticks (JSON lines) -> feature tables of all intervals, one scan, one folder per interval.
+    Returns the numbers observed on the written rows (see ``write_feature_tables``)."""
+    seen = Observation()
+    write_feature_tables(build_features_all(read_ticks_json(spark, ticks_path), intervals, eps, mode=mode), out, fmt, seen)
+    return seen.get
 
 
 def statistics(spark: SparkSession, features: str, out: str, intervals: Sequence[int] = INTERVALS, fmt: str = "parquet") -> None:
@@ -43,19 +47,11 @@ def statistics(spark: SparkSession, features: str, out: str, intervals: Sequence
 
 
 def quality_report(spark: SparkSession, features: str, interval: int = 60, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """Data-quality checks over all rows of one interval, as small frames."""
+    """Data-quality checks over all rows of one interval, as small frames. The rows are read
+    once: all checks come from one row per series, kept in the checkpoint folder."""
     problems = quality.stored_schema_problems(spark, features, FEATURES, fmt)
-    ft = read_feature_table(spark, features, interval, fmt)
-    return {
-        "schema": spark.createDataFrame([(p,) for p in problems], "problem string"),
-        "domain_counts": stats.domain_counts(ft),
-        "domain_lists": stats.domain_lists(ft),
-        "completeness": quality.completeness(ft),
-        "missing_series": quality.missing_series(ft),
-        "prev_day": quality.prev_day_reconciliation(ft),
-        "lag_lead": quality.lag_lead_consistency(ft, interval),
-        "calendar": quality.calendar_consistency(ft),
-    }
+    facts = materialize(quality.series_facts(read_feature_table(spark, features, interval, fmt), interval))
+    return {"schema": spark.createDataFrame([(p,) for p in problems], "problem string"), **quality.reports_of(facts)}
 
 
 def classify(spark: SparkSession, features: str, out: str, intervals: Sequence[int] = (15, 60),

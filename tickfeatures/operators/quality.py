@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.time import bucket_start, epoch_seconds
 from ..schemas import SERIES_KEYS
-from .stats import distinct_series
+from .stats import distinct_series, domain_counts, domain_lists
 
 TOLERANCE = 1e-9
 
@@ -117,6 +117,72 @@ def calendar_consistency(df: DataFrame) -> DataFrame:
     )
 
 
+def series_facts(df: DataFrame, interval_min: int) -> DataFrame:
+    """K2-K7 in one pass: a row per series with the counts of the checks above, one scan and one
+    shuffle of the table.
+
+    The neighbours of K5 / K6 and the next day's stored average of K4 are windows over the
+    same partitioning by series, and the sums by day and by series need no further exchange.
+    ``n_day_unknown`` counts the compared days whose averages cannot be told apart from the stored
+    ones (nulls). Null zones, instances, dates and buckets are counted like other rows, but
+    their days are not compared (K4 is an equi-join). An empty table gives no rows.
+    """
+    step = interval_min * 60
+    near = Window.partitionBy(*SERIES_KEYS).orderBy("bucket_epoch")
+    rows = df.select(
+        *SERIES_KEYS, "date", "spot_price", "price_change", "y_future_price", "prev_day_avg_price",
+        F.first("spot_price").over(near.rangeBetween(-step, -step)).alias("prev_price"),
+        F.first("spot_price").over(near.rangeBetween(step, step)).alias("next_price"),
+        (F.hour("bucket_ts") != F.col("hour")).alias("hour_bad"),
+        ((F.weekday("bucket_ts") + 1) != F.col("iso_dow")).alias("dow_bad"),
+        (F.to_date("bucket_ts") != F.col("date")).alias("date_bad"),
+    )
+    counts = {
+        "n_rows": F.count(F.lit(1)),
+        "n_with_prev": F.count("prev_price"),
+        "n_change_mismatch": F.count_if(F.abs(F.col("price_change") - (F.col("spot_price") - F.col("prev_price"))) > TOLERANCE),
+        "n_with_next": F.count("next_price"),
+        "n_future_mismatch": F.count_if(F.abs(F.col("y_future_price") - F.col("next_price")) > TOLERANCE),
+        "n_hour_mismatch": F.count_if("hour_bad"),
+        "n_dow_mismatch": F.count_if("dow_bad"),
+        "n_date_mismatch": F.count_if("date_bad"),
+    }
+    days = rows.groupBy(*SERIES_KEYS, "date").agg(
+        *[c.alias(name) for name, c in counts.items()], F.avg("spot_price").alias("day_avg"),
+        F.min("prev_day_avg_price").alias("stored_min"), F.max("prev_day_avg_price").alias("stored_max"))
+    next_day = Window.partitionBy(*SERIES_KEYS).orderBy(F.unix_date("date")).rangeBetween(1, 1)
+    known = F.col("zone").isNotNull() & F.col("instance").isNotNull() & F.col("date").isNotNull()
+    days = days.withColumns({
+        "checked": known & (F.count(F.lit(1)).over(next_day) > 0),
+        "next_min": F.first("stored_min").over(next_day), "next_max": F.first("stored_max").over(next_day)})
+    bad = (F.abs(F.col("day_avg") - F.col("next_min")) > TOLERANCE) | (F.abs(F.col("day_avg") - F.col("next_max")) > TOLERANCE)
+    return days.groupBy(*SERIES_KEYS).agg(
+        *[F.sum(name).alias(name) for name in counts],
+        F.count_if("checked").alias("days_checked"),
+        F.count_if(F.col("checked") & bad).alias("days_mismatched"),
+        F.count_if(F.col("checked") & bad.isNull()).alias("n_day_unknown"))
+
+
+LAG_LEAD = ("n_rows", "n_with_prev", "n_change_mismatch", "n_with_next", "n_future_mismatch")
+CALENDAR = ("n_rows", "n_hour_mismatch", "n_dow_mismatch", "n_date_mismatch")
+
+
+def reports_of(facts: DataFrame) -> dict[str, DataFrame]:
+    """The reports of K2-K7 from ``series_facts`` (one row per series), equal to the single
+    checks' on the table. Read the facts from a stored table to scan the rows once."""
+    compared = facts.where("days_checked > 0")
+    mismatched = F.when(F.col("n_day_unknown") < F.col("days_checked"), F.col("days_mismatched"))
+    return {
+        "domain_counts": domain_counts(facts),
+        "domain_lists": domain_lists(facts),
+        "completeness": completeness(facts),
+        "missing_series": missing_series(facts),
+        "prev_day": compared.select(*SERIES_KEYS, "days_checked", mismatched.alias("days_mismatched")),
+        "lag_lead": facts.select(*SERIES_KEYS, *LAG_LEAD),
+        "calendar": facts.agg(*[(F.coalesce(F.sum(c), F.lit(0)) if c == "n_rows" else F.sum(c)).alias(c) for c in CALENDAR]),
+    }
+
+
 ROW_STAGES = ("ticks", "resampled", "after_lag_drop", "after_lead_drop", "after_prev_day_join")
 
 

@@ -688,6 +688,44 @@ def q_qc_calendar(spark, sf):
     return quality.calendar_consistency(_ft(spark, sf))
 
 
+@query("qc_series_facts", f"""{_w('ft')},
+dmg AS (SELECT zone, instance, date, bucket_ts, bucket_epoch, spot_price,
+    CASE WHEN hour = 5 THEN price_change + 1 ELSE price_change END AS price_change,
+    CASE WHEN iso_dow = 2 THEN NULL WHEN hour = 7 THEN y_future_price + 1 ELSE y_future_price END AS y_future_price,
+    CASE WHEN day(date) % 9 = 0 THEN prev_day_avg_price * 2 ELSE prev_day_avg_price END AS prev_day_avg_price,
+    CASE WHEN zone = 'us-west-2a' THEN hour + 1 ELSE hour END AS hour, iso_dow
+  FROM ft WHERE NOT (instance = 'c3.large' AND day(date) % 5 = 0)),
+j AS (SELECT b.*, p.spot_price AS prev_price, n.spot_price AS next_price
+  FROM dmg b
+  LEFT JOIN dmg p ON p.zone = b.zone AND p.instance = b.instance AND p.bucket_epoch + 3600 = b.bucket_epoch
+  LEFT JOIN dmg n ON n.zone = b.zone AND n.instance = b.instance AND n.bucket_epoch - 3600 = b.bucket_epoch),
+s AS (SELECT zone, instance, count(*) AS n_rows, count(prev_price) AS n_with_prev,
+    count(*) FILTER (WHERE abs(price_change - (spot_price - prev_price)) > 1e-9) AS n_change_mismatch,
+    count(next_price) AS n_with_next,
+    count(*) FILTER (WHERE abs(y_future_price - next_price) > 1e-9) AS n_future_mismatch,
+    count(*) FILTER (WHERE hour(bucket_ts) <> hour) AS n_hour_mismatch,
+    count(*) FILTER (WHERE isodow(bucket_ts) <> iso_dow) AS n_dow_mismatch,
+    count(*) FILTER (WHERE CAST(bucket_ts AS DATE) <> date) AS n_date_mismatch
+  FROM j GROUP BY zone, instance),
+dy AS (SELECT zone, instance, date, avg(spot_price) AS day_avg, min(prev_day_avg_price) AS smin, max(prev_day_avg_price) AS smax
+  FROM dmg GROUP BY zone, instance, date),
+pd2 AS (SELECT a.zone, a.instance, count(*) AS days_checked,
+    count(*) FILTER (WHERE abs(a.day_avg - b.smin) > 1e-9 OR abs(a.day_avg - b.smax) > 1e-9) AS days_mismatched,
+    count(*) FILTER (WHERE (abs(a.day_avg - b.smin) > 1e-9 OR abs(a.day_avg - b.smax) > 1e-9) IS NULL) AS n_day_unknown
+  FROM dy a JOIN dy b ON a.zone = b.zone AND a.instance = b.instance AND b.date = a.date + 1 GROUP BY a.zone, a.instance)
+SELECT s.*, coalesce(days_checked, 0) AS days_checked, coalesce(days_mismatched, 0) AS days_mismatched,
+  coalesce(n_day_unknown, 0) AS n_day_unknown
+FROM s LEFT JOIN pd2 ON s.zone = pd2.zone AND s.instance = pd2.instance""")
+def q_qc_series_facts(spark, sf):
+    """K2-K7: all checks of a table in one pass, a row per series, over a table with faults in it."""
+    ft = _ft(spark, sf).where("not (instance = 'c3.large' and day(date) % 5 = 0)").withColumns({
+        "price_change": F.expr("if(hour = 5, price_change + 1, price_change)"),
+        "y_future_price": F.expr("case when iso_dow = 2 then null when hour = 7 then y_future_price + 1 else y_future_price end"),
+        "prev_day_avg_price": F.expr("if(day(date) % 9 = 0, prev_day_avg_price * 2, prev_day_avg_price)"),
+        "hour": F.expr("if(zone = 'us-west-2a', hour + 1, hour)")})
+    return quality.series_facts(ft, 60)
+
+
 @query("row_loss", f"""{_w('pd')}
 SELECT 0 AS stage_order, 'ticks' AS stage, count(*) AS rows FROM ticks
 UNION ALL SELECT 1, 'resampled', count(*) FROM res

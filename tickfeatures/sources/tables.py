@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,18 +11,28 @@ from ..schemas import FEATURES
 FEATURES_WITH_INTERVAL = T.StructType([T.StructField("interval_min", T.IntegerType()), *FEATURES.fields])
 
 
-def write_feature_tables(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_feature_tables(df: DataFrame, path: str, fmt: str = "parquet", seen: Observation | None = None) -> None:
     """IO3: write feature tables of one or more intervals, one folder per interval.
 
     Only the intervals in ``df`` are replaced; other intervals at ``path`` stay. Rows are
     dealt by hash of (interval, series, month) and sorted within files, so no sampling pass
     runs the windows twice, a long series spans several files, and Parquet min/max
     statistics still prune series and time ranges.
+
+    ``seen`` observes the rows while they are written, with no pass of its own: ``n_rows``,
+    ``n_incomplete`` (a null in any column) and the calendar mismatches of K7. It stands behind
+    the shuffle, in the tasks that write, so that a repeated map task does not count twice.
     """
     if "interval_min" not in df.columns:
         raise ValueError("expects an interval_min column (see build_features_all)")
     keys = ["interval_min", "zone", "instance"]
     out = df.repartition(*keys, F.trunc("date", "month")).sortWithinPartitions(*keys, "bucket_epoch")
+    if seen is not None:
+        out = out.observe(
+            seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.exists(F.array(*[F.col(c).isNull() for c in out.columns]), lambda x: x)).alias("n_incomplete"),
+            F.count_if(F.hour("bucket_ts") != F.col("hour")).alias("n_hour_mismatch"),
+            F.count_if(F.weekday("bucket_ts") + 1 != F.col("iso_dow")).alias("n_dow_mismatch"),
+            F.count_if(F.to_date("bucket_ts") != F.col("date")).alias("n_date_mismatch"))
     writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval_min")
     if fmt == "csv":
         writer.option("header", True).csv(path)
