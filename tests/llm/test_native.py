@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from tests.llm.conftest import words_of
@@ -68,14 +69,58 @@ def test_shrinkage_follows_the_hierarchy(spark):
             if pages:
                 outcomes.append((n, int(k < good)))
             n += 1
-    rep = url_reputation.host_reputation(spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(outcomes, "page_id bigint, outcome int"))
-    mean = {r["host"]: r["mean"] for r in rep.collect()}
-    lower = {r["host"]: r["lower"] for r in rep.collect()}
+    rep = url_reputation.site_reputation(spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(outcomes, "page_id bigint, outcome int"))
+    mean = {r["site"]: r["mean"] for r in rep.collect()}
+    lower = {r["site"]: r["lower"] for r in rep.collect()}
     assert mean["a.good.com"] > 0.9 and mean["a.bad.com"] < 0.15
     assert 0.0 < mean["b.good.com"] < mean["a.good.com"] and mean["a.bad.com"] < mean["b.bad.com"] < 1.0
     assert mean["c.bad.com"] < 0.5 and all(lower[h] < mean[h] for h in mean)
 
 
+def test_sites_group_by_public_suffix(spark):
+    hosts = {
+        "a.b.good.co.uk": ("co.uk", "good.co.uk"), "good.co.uk": ("co.uk", "good.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.good.com": ("com", "good.com"),
+        "me:pw@x.good.com:8080": ("com", "good.com"), "good.com.": ("com", "good.com"), "good.com.:80": ("com", "good.com"), "10.0.0.1:99": (url_reputation.ADDRESS, "10.0.0.1"),
+        "[::1]:80": (url_reputation.ADDRESS, "[::1]"), "a.b.shop.ck": ("shop.ck", "b.shop.ck"), "ck": ("ck", "ck"), "localhost": ("localhost", "localhost"), "": ("", ""), ".": ("", ""), "1.2.3.4.5": ("5", "4.5"),
+    }
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    suffix, domain = url_reputation.suffix_and_domain(url_reputation.site_of(F.col("host")))
+    assert {r[0]: (r[1], r[2]) for r in frame.select("host", suffix, domain).collect()} == hosts
+    with pytest.raises(ValueError):
+        url_reputation.suffix_and_domain(F.col("host"), [str(i) for i in range(url_reputation.MAX_SUFFIXES + 1)])
+
+
+def test_names_of_one_registry_do_not_share_a_reputation(spark):
+    """good.co.uk says little about new.co.uk and much about new.good.co.uk; a port changes nothing."""
+    rows, outcomes = [], []
+    for host, pages, good in (("good.co.uk", 50, 50), ("new.good.co.uk", 1, 0), ("good.com", 50, 50), ("good.com:8080", 1, 0), ("bad.com", 50, 0), ("bad.co.uk", 50, 0), ("other.co.uk", 1, 0)):
+        for k in range(pages):
+            if pages > 1:
+                outcomes.append((len(rows), int(k < good)))
+            rows.append((len(rows), f"http://{host}/{k}"))
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id bigint, url string, site string, n int")
+    df = url_reputation.judge(pages, spark.createDataFrame(outcomes, "page_id bigint, outcome int"), [])
+    assert native(df)
+    mean = {r.host: (r.verdict, r["mean"]) for r in df.collect()}
+    assert mean["good.com:8080"] == mean["good.com"] and mean["good.com"][0] == "allow" == mean["good.co.uk"][0]
+    assert mean["new.good.co.uk"][1] > 0.8 > 0.6 > mean["other.co.uk"][1]
+
+
+def test_reputation_equals_sql_on_odd_hosts(spark, tmp_path):
+    hosts = ["good.co.uk", "A.good.co.uk", "co.uk", "u:p@good.com:80", "good.com.", "10.0.0.1", "10.0.0.1:8", "[::1]", "a.b.shop.ck", "ck", "", "x.example.com", "\u00e9.net"]
+    r = random.Random(6)
+    rows = [(i, None if i == 9 else f"http://{r.choice(hosts)}/en/{i % 150}?q") for i in range(400)] * 2 + [(None, "http://good.com/en/3"), (None, None)]
+    labels = [(i, r.choice((0, 1, 1, None))) for i in range(150)]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE["op1_url_reputation"]).fetchall()
+    got = [tuple(x) for x in queries.op1_url_reputation(spark, str(tmp_path)).collect()]
+    assert len(got) == len(rows) and sorted(got, key=repr) == sorted(want, key=repr)
+
+
 # ---- op2
 
 
@@ -98,6 +143,18 @@ def test_long_dialogue_is_cut(spark):
     assert len(rows) == 2 * math.ceil(3000 / 256) and max(r.n_turns for r in rows) == 256 and sum(r.n_turns for r in rows) == 6000
 
 
+def test_texts_are_shuffled_once(spark):
+    """Exchanges that carry a text: one; a dialogue of very many speakers has a row for each."""
+    turns = spark.range(1500).selectExpr("if(id % 50 = 0, null, 7L) as conv_id", "id % 300 as turn", "concat('s', id) as role", "repeat('x', 50) as text", "1 as messages", "'p' as perspective")
+    df = chat_rotation.rotate(turns)
+    rows = df.collect()
+    counted = df._jdf.queryExecution().optimizedPlan().toString()
+    assert native(df) and len(re.findall(r"collect_set\(message", counted)) == 1
+    assert not re.search(r"(?m)^[ :+-]*(Aggregate|Join) .*(text|message).*$", re.sub(r"(?m)^.*collect_set.*$", "", counted))
+    assert len({(r.conv_id, r.perspective) for r in rows}) == 1500 and len(rows) == 30 + 2 * 1470
+    assert sum(r.n_trained for r in rows) == 1500 and all(r.rendered.count("<|end|>") == r.n_turns for r in rows)
+
+
 # ---- op5
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from .license_scan import CONTAINMENT, PHRASES, TEMPLATES, _cut
-from .url_reputation import MAX_STRENGTH, MIN_STRENGTH, THRESHOLD, Z
+from .url_reputation import MAX_STRENGTH, MIN_STRENGTH, SUFFIXES, THRESHOLD, Z
 
 
 def _strength(groups: str) -> str:
@@ -15,6 +15,8 @@ def _strength(groups: str) -> str:
                    sum((n - 1) * parent * (1 - parent)) as spread from {groups} where n > 0))"""
 
 
+_plain = "(" + ", ".join(f"'{x}'" for x in SUFFIXES if not x.startswith("*")) + ")"
+_wild = "(" + ", ".join(f"'{x[2:]}'" for x in SUFFIXES if x.startswith("*")) + ")"
 _URL = f"""
 with split as (
   select page_id,
@@ -23,6 +25,7 @@ with split as (
           translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_host,
           coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path
         from pages)),
+sited as (select *, regexp_replace(regexp_replace(host, '^.*@', '', 's'), '\\.*(:[0-9]*)?$', '') as site from split),
 ruled as (
   select *, case
     when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
@@ -30,28 +33,33 @@ ruled as (
     when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
     when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
     when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule
-  from split),
+  from sited),
 outcome as (
   select page_id, count(*) as n, sum(quality) as good
   from (select page_id, try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})', 1), '') as bigint) as doc_id from split)
   join labels using (doc_id) where quality is not null and page_id is not null group by page_id),
+counted as (select site, coalesce(sum(n), 0)::double as n, coalesce(sum(good), 0)::double as good from sited left join outcome using (page_id) group by site),
+parts as (
+  select *, string_split(site, '.') as p, regexp_full_match(site, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}|\\[.*\\]') as numeric,
+    case when array_to_string(p[-2:], '.') in {_plain} then 2 when len(p) >= 2 and p[-1] in {_wild} then 2 else 1 end as k
+  from counted),
 hosts as (
-  select host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as domain, list_extract(string_split(host, '.'), -1) as suffix,
-    coalesce(sum(n), 0)::double as n, coalesce(sum(good), 0)::double as good
-  from split left join outcome using (page_id) group by host),
+  select site as host, n, good, case when numeric then '[address]' else array_to_string(p[-k:], '.') end as suffix,
+    case when numeric then site else array_to_string(p[-(k + 1):], '.') end as domain
+  from parts),
 domains as (select domain, suffix, sum(n) as n, sum(good) as good from hosts group by domain, suffix),
 suffixes as (select suffix, sum(n) as n, sum(good) as good, (select coalesce(sum(good) / nullif(sum(n), 0), 0.5) from domains) as parent from domains group by suffix),
 suffix_mean as (select suffix, (s * parent + good) / (s + n) as parent from suffixes, (select {_strength('suffixes')} as s)),
-domain_in as (select domain, n, good, parent from domains join suffix_mean using (suffix)),
-domain_mean as (select domain, (s * parent + good) / (s + n) as parent from domain_in, (select {_strength('domain_in')} as s)),
-host_in as (select host, n, good, parent from hosts join domain_mean using (domain)),
+domain_in as (select domain, suffix, n, good, parent from domains join suffix_mean using (suffix)),
+domain_mean as (select domain, suffix, (s * parent + good) / (s + n) as parent from domain_in, (select {_strength('domain_in')} as s)),
+host_in as (select host, n, good, parent from hosts join domain_mean using (domain, suffix)),
 host_mean as (select host, n, good, s + n as total, (s * parent + good) / (s + n) as mean from host_in, (select {_strength('host_in')} as s)),
-bound as (select host, n, good, mean, mean - {Z} * sqrt(mean * (1 - mean) / (total + 1)) as lower from host_mean)
+bound as (select host as site, n, good, mean, mean - {Z} * sqrt(mean * (1 - mean) / (total + 1)) as lower from host_mean)
 select page_id, host, path, rule,
   case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block'
        when lower >= {THRESHOLD} then 'allow' else 'block' end as verdict,
   n::bigint as n_labelled, good::bigint as n_good, round(mean, 9) as mean, round(lower, 9) as lower
-from ruled join bound using (host)
+from ruled join bound using (site)
 """
 
 _CHAT = """
