@@ -280,7 +280,7 @@ def brute_scan(text, templates, phrases):
     places = [(i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     longest = max(len(license_scan._cut(t)) for t in templates)
     found = {}
-    for s in range(0, max(0, len(w) - longest - 1) + 1, longest):
+    for s in range(len(w)):
         block = set(w[s : s + 2 * longest])
         for t, label in templates.items():
             own = set(license_scan._cut(t))
@@ -307,6 +307,28 @@ def test_license_scan_equals_brute_force(spark, edge_docs, no_docs):
     assert license_scan.scan(no_docs).collect() == []
 
 
+def test_stretched_notice_is_found_at_every_offset(spark, monkeypatch):
+    """A notice with words in between is found wherever it stands, at the edges of stretches too."""
+    notice = license_scan._cut(sorted(license_scan.TEMPLATES, key=len)[-1])
+    stretched = [x for i, w in enumerate(notice) for x in ([w, f"q{i}"] if i + 1 < len(notice) else [w])]
+    longest = max(len(license_scan._cut(t)) for t in license_scan.TEMPLATES)
+    assert len(stretched) <= 2 * longest
+    texts = [" ".join(["z"] * n + stretched + ["y"] * (200 - n)) for n in range(70)]
+    label = license_scan.TEMPLATES[" ".join(notice)]
+    for stretch in (license_scan.STRETCH, 7, 50):
+        monkeypatch.setattr(license_scan, "STRETCH", stretch)
+        got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+        assert [(label in r.labels.split(","), r.score) for r in got] == [(True, 1.0)] * len(texts)
+
+
+def test_license_scan_of_a_long_text(spark):
+    """Template words alone, 120,000 of them: blocks of one stretch at a time."""
+    notice = sorted(license_scan.TEMPLATES, key=len)[-1]
+    text = " ".join([notice] * 5_500)
+    row = license_scan.scan(spark.createDataFrame([(1, text), (2, "x " * 120_000), (2, None)], "doc_id bigint, text string")).where("doc_id = 1").first()
+    assert row.n_words == 5_500 * len(license_scan._cut(notice)) and row.score == 1.0 and license_scan.TEMPLATES[notice] in row.labels.split(",")
+
+
 def test_long_repetitive_text_is_linear(spark):
     item = " ".join(f"w{i}" for i in range(30))
     text = " ".join([item] * 3_400)  # 102,000 words

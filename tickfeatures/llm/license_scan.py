@@ -1,10 +1,11 @@
 """Licence notices by an exact set-similarity join of text blocks and templates.
 
 Texts are lower-cased (A-Z) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``
-(digits, letters and everything beyond ASCII). Blocks are windows of ``2 * longest`` words
-that start every ``longest`` words, where ``longest`` is the longest template's number of
-words, so each stretch of that length lies whole in a block. A block matches a template
-when it has at least ``ceil(CONTAINMENT * m)`` of the template's m distinct words.
+(digits, letters and everything beyond ASCII). Blocks are all windows of ``2 * longest``
+words, at every word of a text, where ``longest`` is the longest template's number of words.
+A block matches a template when it has at least ``ceil(CONTAINMENT * m)`` of the template's
+m distinct words. Only blocks that start at a word of a template are compared: a block that
+starts elsewhere has no template word that the block at the next such word lacks.
 
 The join. Words of the templates are ordered by their frequency in the whole table
 (documents with the word, rarest first; ties by spelling). A block that shares ``need``
@@ -19,12 +20,15 @@ Base labels come from phrases whose words stand consecutively. ``score`` is 1.0
 phrase is found, else the greatest containment of a matching template, else 0.0.
 
 Everything is DataFrame functions. Documents are not shuffled; block rows of documents
-with a prefix word are. The templates are a parameter of fixed size (``MAX_TEMPLATES``),
+with a prefix word are. Texts go through the search in stretches of ``STRETCH`` words (each
+with the words that its last block needs), so that a long text never holds more than one
+stretch's blocks. Consecutive blocks with the same template words are one. The templates are a parameter of fixed size (``MAX_TEMPLATES``),
 so their broadcast is bounded.
 
 Results: null and empty texts have no words: counts 0, null positions, empty labels,
 score 0.0. Repeated rows each get the same row; a null doc_id stays null. An empty table
-gives no rows.
+gives no rows. Further columns are not read, whatever their names; of templates that tie
+all labels are given.
 """
 
 from __future__ import annotations
@@ -50,6 +54,7 @@ TEMPLATES = {
 }
 CONTAINMENT = 0.8
 MAX_TEMPLATES = 1000
+STRETCH = 2048
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -142,14 +147,23 @@ def block_matches(docs: DataFrame, templates: dict[str, str], containment: float
     firsts = _literal(sorted({r[6] for r in rows}))
     known = _literal(order)
 
-    def blocks(tokens: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(tokens) - longest - 1), F.lit(longest))
+    size, none = 2 * longest, F.array().cast("array<struct<at:int,words:array<string>>>")
+
+    def stretches(tokens: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(tokens) - 1), F.lit(STRETCH))
+        made = F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice(tokens, s + 1, STRETCH + size - 1).alias("words")))
+        return F.when(F.arrays_overlap(tokens, firsts), F.filter(made, lambda m: F.arrays_overlap(m["words"], firsts))).otherwise(none)
+
+    def blocks(part: Column) -> Column:
+        tokens = part["words"]
+        starts = F.filter(F.sequence(F.lit(0), F.least(F.lit(STRETCH), F.size(tokens)) - 1), lambda i: F.array_contains(known, F.get(tokens, i)))
         # template words of a block in global order: array_intersect keeps the order of its first argument
-        made = F.transform(starts, lambda s: F.struct(s.alias("at"), F.array_intersect(known, F.slice(tokens, s + 1, 2 * longest)).alias("have")))
+        made = F.transform(starts, lambda s: F.struct((part["at"] + s).alias("at"), F.array_intersect(known, F.slice(tokens, s + 1, size)).alias("have")))
         kept = F.filter(made, lambda b: F.size(b["have"]) >= (least_need or 1))
-        return F.when(F.arrays_overlap(tokens, firsts), kept).otherwise(F.array().cast("array<struct<at:int,have:array<string>>>"))
+        return bound(kept, lambda k: F.filter(k, lambda b, i: (i == 0) | (F.get(k, i - 1)["have"] != b["have"])))
 
-    cut = _keyed(docs).select("doc_id", "tie", F.explode_outer(bound(words(F.col("text")), blocks)).alias("b")).where("b is not null")
+    parts = _keyed(docs).select("doc_id", "tie", F.explode(bound(words(F.col("text")), stretches)).alias("part"))
+    cut = parts.select("doc_id", "tie", F.explode(blocks(F.col("part"))).alias("b"))
     own = cut.select("doc_id", "tie", "b.at", "b.have", F.posexplode_outer(F.slice("b.have", F.lit(1), F.size("b.have") - F.lit((least_need or 1) - 1))).alias("j", "word"))
     pairs = own.join(F.broadcast(prefix), "word")
     size = F.size("have")

@@ -127,10 +127,10 @@ spot as (select r, w, unnest(range(0, len(w))) as i from d),
 places as ({places}),
 base as (select r, count(*) as n, min(i) as a, max(i) as z, list_sort(list_distinct(list(label))) as labels from places group by r),
 t(label, own, need) as (values {templates}),
-b as (select r, w, unnest(range(0, greatest(0, len(w) - {longest} - 1) + 1, {longest})) as i from d),
 hit as (
-  select b.r, t.label, len(list_intersect(list_distinct(list_slice(w, i + 1, i + {2 * longest})), t.own)) / len(t.own) as c
-  from b, t where len(list_intersect(list_distinct(list_slice(w, i + 1, i + {2 * longest})), t.own)) >= t.need),
+  select r, label, c / len(own) as c from (
+    select spot.r, t.label, t.own, t.need, len(list_intersect(list_distinct(list_slice(w, i + 1, i + {2 * longest})), t.own)) as c
+    from spot, t) where c >= need),
 method as (select r, list(distinct label) as labels, max(c) as c from hit group by r)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(base.n, 0)::bigint as n_base, base.a::bigint as first_word, base.z::bigint as last_word,
   coalesce(array_to_string(base.labels, ','), '') as base_labels,
