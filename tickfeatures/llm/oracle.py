@@ -113,6 +113,7 @@ from size join least on least.x = size.r left join degree on degree.x = size.r
 def _scan() -> str:
     longest = max(len(_cut(t)) for t in TEMPLATES)
     templates = ", ".join(f"('{label}', {sorted(set(_cut(t)))!r}, {math.ceil(CONTAINMENT * len(set(_cut(t))) - 1e-9)})" for t, label in TEMPLATES.items())
+    known = sorted({w for t in TEMPLATES for w in _cut(t)})
     places = " union all ".join(
         f"select r, i, '{label}' as label from spot where "
         + " and ".join(f"w[i + {j + 1}] = '{x}'" for j, x in enumerate(phrase.split()))
@@ -130,7 +131,7 @@ t(label, own, need) as (values {templates}),
 hit as (
   select r, label, c / len(own) as c from (
     select spot.r, t.label, t.own, t.need, len(list_intersect(list_distinct(list_slice(w, i + 1, i + {2 * longest})), t.own)) as c
-    from spot, t) where c >= need),
+    from spot, t where list_contains({known}, w[i + 1])) where c >= need),  -- a block that starts elsewhere holds no more than the next of these
 method as (select r, list(distinct label) as labels, max(c) as c from hit group by r)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(base.n, 0)::bigint as n_base, base.a::bigint as first_word, base.z::bigint as last_word,
   coalesce(array_to_string(base.labels, ','), '') as base_labels,
