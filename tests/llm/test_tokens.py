@@ -85,6 +85,14 @@ def test_files_in_order(spark, edge_docs, no_docs, library, monkeypatch):
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         assert r.ids[:-1] in [library.encode(t or "", add_special_tokens=False).ids for i, t in by_id if i == r.doc_id]
         start += r.n_tokens
+    rows = [(None,), (got[-1].doc_id,), (got[-1].doc_id,), (got[len(got) // 2].doc_id,), (10**12,)]
+    wanted = {r[0] for r in rows}
+    some = dac.lookup(spark, folder, spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, ids string")).collect()
+    by_id = lambda rs: sorted(((r.doc_id, tuple(r.ids)) for r in rs), key=repr)
+    assert by_id(some) == by_id(r for r in got if r.doc_id in wanted) and 0 < len(some) < len(got)
+    every = dac.lookup(spark, folder, spark.createDataFrame([(r.doc_id,) for r in got], "doc_id bigint"))
+    assert by_id(every.collect()) == by_id(got)
     empty = dac.new_folder(spark, "test")
     dac.write_ids(no_docs, PATH, empty)
     assert dac.read_documents(spark, empty).collect() == []
+    assert dac.lookup(spark, empty, no_docs).collect() == dac.lookup(spark, folder, no_docs).collect() == []

@@ -192,10 +192,48 @@ def _segment_row(part: int, segment: int, held: list[tuple[pa.Array, np.ndarray,
     return pa.RecordBatch.from_pydict(row)
 
 
+def _directory(batch: pa.RecordBatch, row: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """doc_id, first position and number of ids of a segment's documents."""
+    ids, null, lengths = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in (("doc_ids", "<i8"), ("doc_null", np.uint8), ("doc_lengths", "<i8")))
+    unknown = np.unpackbits(null)[: len(lengths)].astype(bool)
+    return pa.array(ids, pa.int64(), mask=unknown), np.cumsum(lengths) - lengths, lengths
+
+
+def lookup(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """``doc_id, ids`` of the documents in the files whose doc_id is among ``wanted`` (doc_id; a
+    null asks for null ids), a row for each such document; ids asked for twice count once.
+
+    First the documents' places are found without reading a payload; then only the segments
+    asked for are read, and in them only the range of each document, through the rank
+    directories. A segment's list of places is never longer than its documents. Further
+    columns of ``wanted`` are not read; an id that no file has gives no row."""
+    files = spark.read.schema(FILE_SCHEMA).parquet(folder)
+    place = "part int, segment int, doc_id bigint, begin bigint, n bigint"
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, begins, lengths = _directory(batch, row)
+                at = [pa.array(np.full(len(ids), batch.column(c)[row].as_py()), pa.int32()) for c in ("part", "segment")]
+                yield pa.RecordBatch.from_arrays([*at, ids, pa.array(begins, pa.int64()), pa.array(lengths, pa.int64())], names=["part", "segment", "doc_id", "begin", "n"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                stored, hits = Segment(batch.column("payload")[row].as_buffer().to_pybytes()), batch.column("hits")[row].as_py()
+                found = [stored.read(h["begin"], h["begin"] + h["n"]).astype(np.int32) for h in hits]
+                yield pa.RecordBatch.from_arrays([pa.array([h["doc_id"] for h in hits], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    asked = wanted.select(F.col("doc_id").cast("bigint").alias("asked")).distinct()
+    held = files.select("part", "segment", "doc_ids", "doc_null", "doc_lengths").mapInArrow(places, place)
+    hits = held.join(asked, F.col("doc_id").eqNullSafe(F.col("asked"))).groupBy("part", "segment").agg(F.sort_array(F.collect_list(F.struct("begin", "n", "doc_id"))).alias("hits"))
+    return files.select("part", "segment", "payload").join(hits, ["part", "segment"]).select("payload", "hits").mapInArrow(read, "doc_id bigint, ids array<int>")
+
+
 def read_documents(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """Per document of the files: ``doc_id``, ``start`` (ids before it), ``n_tokens``,
     ``ids_crc32`` and, on request, ``ids``. Segments are read whole, as every document is
-    asked for; ``Segment`` reads single ids or ranges. Only one row per segment takes part in the running sum, first within a part and
+    asked for; ``lookup`` reads some of them by their ranges. Only one row per segment takes part in the running sum, first within a part and
     then over the parts' totals; the payload is not shuffled."""
     files = spark.read.schema(FILE_SCHEMA).parquet(folder)
     within = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
