@@ -27,45 +27,55 @@ def brute_scores(rows):
     held = {i: c is not None and c % 5 == 1 for i, c in crc.items()}
     deleted = {i: c is not None and not held[i] and c // 5 % 10 < 1 for i, c in crc.items()}
 
+    def before(w):
+        """The two tokens before each token; start marks stand before the text."""
+        marks = [("<s>",), ("<s>",), *w]
+        return list(zip(marks, marks[1:]))
+
     def count(which):
-        words, pairs = collections.Counter(), collections.Counter()
+        c = collections.Counter()
         for i, w in texts:
             if which(i):
-                words.update(w)
-                words["<s>",] += 1
-                pairs.update(zip([("<s>",), *w[:-1]], w))
-        begin = words[("<s>",)]
-        return words, pairs, sum(words.values()) - begin, len(words) - (begin > 0)
-
-    kept = count(lambda i: not held[i] and not deleted[i])
+                c.update(w)
+                c.update([("<s>",), (("<s>",), ("<s>",))])
+                for (u, v), x in zip(before(w), w):
+                    c.update([(v, x), (u, v, x)])
+        singles = [c[k] for k in c if not isinstance(k, tuple)]
+        return c, sum(singles), len(singles)
+
+    def estimates(c, u, v, x):
+        pair, single = c[u, v], c[v]
+        bucket = lm.FREQUENCIES + pair.bit_length() if pair else single.bit_length()
+        return bucket, c[u, v, x] / max(1, pair), c[v, x] / max(1, single), c[x]
+
+    kept, kept_n, kept_v = count(lambda i: not held[i] and not deleted[i])
     combos = collections.Counter()
     for i, w in texts:
         if deleted[i]:
-            for v, x in zip([("<s>",), *w[:-1]], w):
-                combos[kept[0][v].bit_length(), kept[1][v, x], kept[0][v], kept[0][x]] += 1
+            combos.update(estimates(kept, u, v, x) for (u, v), x in zip(before(w), w))
     weights = np.tile(np.array(lm.START_WEIGHTS), (lm.CONTEXT_BUCKETS, 1))
     for _ in range(lm.MAX_ROUNDS):
         sums = np.zeros_like(weights)
-        for (b, pair, context, word), n in combos.items():
-            x = weights[b] * np.array([pair / context if context else 0.0, word / max(1, kept[2]), 1 / (kept[3] + 1)])
+        for (b, p3, p2, word), n in combos.items():
+            x = weights[b] * np.array([p3, p2, word / max(1, kept_n), 1 / (kept_v + 1)])
             sums[b] += n * x / x.sum()
         new = weights.copy()
         for b in {k[0] for k in combos}:
-            s = sums[b] + np.array([0, 0, 1e-6])
+            s = sums[b] + np.array([0, 0, 0, 1e-6])
             new[b] = s / s.sum()
         moved = np.abs(new - weights).max()
         weights = new
         if moved < lm.TOLERANCE:
             break
-    words, pairs, n, v = count(lambda i: not held[i])
+    counts, n, size = count(lambda i: not held[i])
     out = []
     for i, w in texts:
         base = score = known = 0
-        for c, x in zip([("<s>",), *w[:-1]], w):
-            k = weights[words[c].bit_length()]
-            score += math.log10(k[0] * pairs[c, x] / max(1, words[c]) + k[1] * words[x] / max(1, n) + k[2] / (v + 1))
-            base += math.log10((words[x] + 0.5) / (n + 0.5 * (v + 1)))
-            known += words[x] > 0
+        for (u, v), x in zip(before(w), w):
+            b, p3, p2, c = estimates(counts, u, v, x)
+            score += math.log10(weights[b] @ np.array([p3, p2, c / max(1, n), 1 / (size + 1)]))
+            base += math.log10((c + 0.5) / (n + 0.5 * (size + 1)))
+            known += c > 0
         out.append((i if i is not None else -1, held[i], len(w), known, n, round(base, 6), round(score, 6)))
     return sorted(out)
 
@@ -91,10 +101,35 @@ def test_model_equals_plain_python(spark):
 
 def test_model_on_hard_rows(spark, edge_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
-    close(rounded(lm.score_documents(edge_docs, chunks=3).collect()), brute_scores(rows))
+    close(rounded(lm.score_documents(edge_docs).collect()), brute_scores(rows))
     assert lm.score_documents(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("from_files", [True, False])
+def test_many_chunks_and_buckets(spark, from_files):
+    """Chunks cut inside file blocks and more buckets than partitions give the same scores."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    want = rounded(queries.QUERIES["op8_interpolated_lm"](spark, SF_SMALL).collect())
+    close(rounded(lm.score_documents(docs, from_files=from_files, chunk_bytes=20_000, bucket_bytes=10_000).collect()), want)
+
+
+def test_cutter_bounds_chunks():
+    """A chunk ends with the row that fills it; deleted rows and blocks have their own."""
+    cutter = lm.Cutter(10)
+    rows = [("a" * 6, 5, False), ("b" * 6, 5, False), ("c" * 6, 5, True), (None, 5, False), ("d" * 30, 5, False), ("e", 5, False), ("f", 2**63 - 1, True)]
+    text, block, deleted = zip(*rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(text), pa.array(block, pa.int64()), pa.array(deleted)], names=["text", "block", "deleted"])
+    assert cutter(batch).tolist() == [5, 5, 6, 7, 7, 9, -(2**63)]
+    assert cutter.is_open(-(2**63)) and not cutter.is_open(9)
+
+
+def test_packed_numbers_come_back():
+    keys = np.sort(np.array([0, 1, 2**63, 2**64 - 1, 77], np.uint64))
+    assert lm.unpack_sorted(lm.pack_sorted(keys)).tolist() == keys.tolist()
+    assert lm.unpack(lm.pack(np.array([3, 2**40, 0])), np.int64).tolist() == [3, 2**40, 0]
+    assert lm.unpack(lm.pack(np.array([], np.uint32)), np.uint32).tolist() == []
+
+
 def test_model_without_training_texts(spark, edge_docs):
     from pyspark.sql import functions as F
 
