@@ -16,6 +16,7 @@ from tickfeatures.ml.models import (
     gbt_regressor_grid,
     rf_classifier_grid,
     rf_regressor_grid,
+    up_vs_rest_auc,
 )
 from tickfeatures.ml.prepare import label_index_table
 from tickfeatures.operators.split import hash_bucket, with_split
@@ -99,6 +100,31 @@ def test_nested_forest_votes_like_its_trees(ft):
     assert _steps((50, 70, 90)) == [50, 20, 20] and sum(_steps(RF_TREE_GRID)) == 390
 
 
+def test_nested_and_single_forests_agree(ft):
+    """A board's score of a union of forests is that of one forest of its size, within noise."""
+    sizes = (2, 3, 40)
+    board = {json.loads(r["params"])["numTrees"]: r["validation_score"] for r in rf_classifier_grid(ft, trees=sizes)[0].collect()}
+    with SearchData(ft, SELECTED_FEATURES, "y_direction", index_label=True, index_features=True) as d:
+        for n, noise in zip(sizes, (0.1, 0.1, 0.02)):
+            alone = up_vs_rest_auc(_forest_classifier(n, SEED + 100).fit(d.train).transform(d.validation), "label", d.labels).first()["auc"]
+            assert abs(board[n] - alone) < noise, (n, board[n], alone)
+
+
+def test_search_on_the_purged_split(ft):
+    """The parts of a purged search follow one another in each series, with a gap."""
+    with SearchData(ft, SELECTED_FEATURES, "y_direction", split="purged") as d:
+        span = {
+            part: {(r["zone"], r["instance"]): (r["a"], r["b"]) for r in rows.groupBy("zone", "instance").agg(F.min("bucket_epoch").alias("a"), F.max("bucket_epoch").alias("b")).collect()}
+            for part, rows in (("train", d.train), ("validation", d.validation), ("test", d.test))
+        }
+        assert len(span["train"]) == 15
+        for series, (_, end) in span["train"].items():
+            assert end + 4 * 3600 < span["validation"][series][0]
+            assert span["validation"][series][1] + 4 * 3600 < span["test"][series][0]
+    rows = rf_classifier_grid(ft, trees=(5, 10), split="purged")[0].collect()
+    assert sum(r["selected"] for r in rows) == 1 and all(0.0 < r["validation_score"] < 1.0 for r in rows)
+
+
 def test_regressor_winner_is_lowest_error(ft):
     one = ft.where((F.col("zone") == "us-west-2a") & (F.col("instance") == "m1.medium"))
     board = rf_regressor_grid(one, trees=(5, 10)).collect()

@@ -898,6 +898,13 @@ def q_rf_classifier_grid(spark, sf):
     return _forest(spark, sf).board
 
 
+@query("rf_classifier_purged")
+def q_rf_classifier_purged(spark, sf):
+    """The same grid on the purged time split: no lag or label of a row it learns from reaches a scored one."""
+    from ..ml.models import rf_classifier_search
+    return rf_classifier_search(_ft(spark, sf), split="purged", run_id="rf_classifier_purged").board
+
+
 @query("rf_up_auc")
 def q_rf_up_auc(spark, sf):
     """Exact one-vs-rest AUC of the "up" class from the selected forest's probabilities."""
