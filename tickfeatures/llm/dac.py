@@ -13,8 +13,12 @@ uint64 chunks, the chunks, the bitmap padded to whole 64-byte blocks, and uint32
 Files are Parquet rows written and read by Spark (one row is one segment), so that they
 live in any store Spark writes to. Rows are ordered by (part, segment); within them the
 documents ascend by (doc_id, hash of the text), a null doc_id first. Equal rows are each
-written. A null or empty text is written as its end id alone. An empty table gives an
-empty file set and no result rows.
+written. A null or empty text is written as its end id alone. A very long text is encoded
+whole: a segment ends only after a run of whole documents, so it may pass ``SEGMENT_IDS`` by
+one run, and a task holds one segment. Documents of equal doc_id and text are
+interchangeable; equal text hashes of one doc_id keep the order that the sort gives them. An
+empty table gives an empty file set and no result rows. Further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ empty sequence; fewer than l k-mers make shorter tuples. All texts are taken who
 
 Equal texts have equal fingerprints. A null text counts as empty. Repeated rows each give
 a row. ``next`` follows descending doc_id (ties: ascending hash of the text; null doc_id
-last); the last document's next is the first. A single document is its own next.
+last); the last document's next is the first. A single document is its own next. Very long
+texts are taken whole. An empty table gives no rows. Further columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -35,6 +35,12 @@ once however many copies it reads, and verification reads each set once.
 Results. A null or empty text, or one without words, has the empty set, which links with
 nothing. Rows are numbered by doc_id: repeated rows each get a row with the same class;
 a row with a null doc_id gets the class of its set (null if no member has a doc_id).
+A very long text is one set, whole; one beyond ``BLOCK_ELEMENTS`` has a block of its own, so
+a task holds two such sets at most. Ties do not change classes, as the least doc_id names
+them; ``one_per_class`` takes the least text hash among rows of one doc_id. An empty table
+gives no rows. ``jaccard_classes`` ignores further columns, ``one_per_class`` keeps them,
+whatever their names. Sets are equal by a 64-bit key of their shingles, so of n distinct
+sets about n^2 / 2^65 pairs are taken for copies wrongly.
 """
 
 from __future__ import annotations
