@@ -4,12 +4,15 @@ import pytest
 
 from conftest import SF_SMALL
 from tickfeatures.ml.models import (
+    LEAST_PARTITIONS,
     SEED,
+    TASK_ROWS,
     SearchData,
     _BoostedClassifier,
     _BoostedRegressor,
     _forest_classifier,
     _forest_regressor,
+    fit_partitions,
 )
 from tickfeatures.plans.features import build_features
 from tickfeatures.schemas import SELECTED_FEATURES
@@ -29,3 +32,27 @@ def test_a_fit_wraps_no_tree_before_it_is_asked_for(ft):
             assert "trees" not in vars(model)
             assert len(model.trees) == 2 == model.getNumTrees
             assert model.setPredictionCol("p").transform(d.test).where("p is null").count() == 0
+
+
+def test_search_data_is_dealt_by_its_size(spark, ft):
+    """Few rows keep few partitions in a session of many; the same search data come out."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert fit_partitions(spark, 10) == LEAST_PARTITIONS and fit_partitions(spark, 20 * TASK_ROWS + 1) == 21
+        assert fit_partitions(spark, 1000 * TASK_ROWS) == 64
+        for split in ("hash", "purged"):
+            with SearchData(ft, SELECTED_FEATURES, "y_direction", split=split) as d:
+                assert d.all.rdd.getNumPartitions() == LEAST_PARTITIONS
+                assert split == "purged" or d.all.count() == ft.count() - d.skipped
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with SearchData(ft, SELECTED_FEATURES, "y_direction") as d:
+        assert d.all.rdd.getNumPartitions() == int(before)
+
+
+def test_fits_do_not_carry_the_feature_table(ft):
+    """The plan behind the fits ends at the stored search data."""
+    with SearchData(ft, SELECTED_FEATURES, "y_direction", index_features=True) as d:
+        plan = d.train._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" in plan and "Window" not in plan and "FileScan" not in plan
