@@ -13,6 +13,7 @@ from tickfeatures.ml.models import (
     _forest_classifier,
     _forest_regressor,
     fit_partitions,
+    rf_regressor_grid,
 )
 from tickfeatures.plans.features import build_features
 from tickfeatures.schemas import SELECTED_FEATURES
@@ -56,3 +57,17 @@ def test_fits_do_not_carry_the_feature_table(ft):
     with SearchData(ft, SELECTED_FEATURES, "y_direction", index_features=True) as d:
         plan = d.train._jdf.queryExecution().executedPlan().toString()
         assert "ExistingRDD" in plan and "Window" not in plan and "FileScan" not in plan
+
+
+def test_a_small_search_is_the_same_in_sessions_of_eight_and_more_partitions(spark, ft):
+    """A series' few rows keep eight partitions, so a session's partitions neither add tasks to its fits nor change its forests."""
+    one = ft.where("zone = 'us-west-2a' and instance = 'm1.medium'")
+    before, boards = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (8, 12, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert fit_partitions(spark, one.count()) == 8
+            boards.append(rf_regressor_grid(one, trees=(3, 5), run_id="r").orderBy("params").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert boards[0] == boards[1] == boards[2] and boards[0][0]["validation_score"] > 0
