@@ -1,6 +1,8 @@
 """What a search costs the driver and its tasks besides the fits themselves."""
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from tickfeatures.ml.models import (
@@ -13,6 +15,7 @@ from tickfeatures.ml.models import (
     _forest_classifier,
     _forest_regressor,
     fit_partitions,
+    logistic_fit,
     rf_regressor_grid,
 )
 from tickfeatures.plans.features import build_features
@@ -71,3 +74,12 @@ def test_a_small_search_is_the_same_in_sessions_of_eight_and_more_partitions(spa
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert boards[0] == boards[1] == boards[2] and boards[0][0]["validation_score"] > 0
+
+
+def test_a_logistic_fit_after_an_observed_frame(spark, ft):
+    """The session does not go to the tasks: one that has observed a frame cannot be sent."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    _, roc, info = logistic_fit(ft)
+    assert roc.agg({"tpr": "max"}).first()[0] == 1.0 and 0.0 < info.first()["train_area_under_roc"] <= 1.0
