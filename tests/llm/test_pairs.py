@@ -2,8 +2,11 @@
 
 import collections
 import itertools
+import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import near_copies, shingle_set
@@ -44,6 +47,50 @@ def test_join_equals_brute_force(spark, edge_docs, block, monkeypatch):
     assert got == want
 
 
+def test_frequent_passages_join_no_family(spark, monkeypatch):
+    """Texts that share repeated lines only are never compared, whatever their number."""
+    r = random.Random(3)
+    lines = [" ".join(f"line{k}w{j}" for j in range(10)) for k in range(12)]
+    own = [[" ".join(f"u{r.randrange(10**7)}" for _ in range(8)) for _ in range(14)] for _ in range(60)]
+    texts = [r.sample(lines, 6) + x for x in own]
+    texts += [texts[k][:-1] + ["an end of its own"] for k in range(4)]
+    rows = [(i, "\n".join(x)) for i, x in enumerate(texts)]
+    found = []
+
+    def spied(edges):
+        found.append(components(edges))
+        return found[-1]
+
+    monkeypatch.setattr(P, "components", spied)
+    got = P.jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert collections.Counter(tuple(x) for x in got) == brute(rows)
+    assert sorted(x["count"] for x in found[0].groupBy("component").count().collect()) == [2, 2, 2, 2]
+
+
+def test_long_sets_leave_in_parts(monkeypatch):
+    monkeypatch.setattr(P, "ROWS", 50)
+    sets = {7: np.arange(120, dtype=np.uint64), -3: np.array([2**63 + 5], np.uint64), 9: np.arange(1000, 1030, dtype=np.uint64)}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(sets)), pa.array([x.tobytes() for x in sets.values()], pa.binary())], names=["set_id", "elements"])
+    parts = list(P._shingles([batch.slice(0, 0), batch, batch.slice(1)]))
+    assert max(p.num_rows for p in parts) <= 50
+    got = collections.Counter((r["sig"], r["set_id"], r["n"]) for p in parts for r in p.to_pylist())
+    want = [(int(e), k, len(x)) for k, x in sets.items() for e in x.view(np.int64)]
+    assert got == collections.Counter(want + [w for w in want if w[1] != 7])
+
+
+def test_pair_of_full_blocks_in_bounded_memory():
+    """A worker and another beside it compare their blocks within an executor's memory."""
+    r = np.random.default_rng(1)
+    base = r.integers(0, 2**63, 100_000, dtype=np.uint64)
+    sets = [np.unique(r.choice(base, P.BLOCK_ELEMENTS // P.BLOCK)) for _ in range(2 * P.BLOCK)]
+    a, b = P.Block.of(sets[: P.BLOCK]), P.Block.of(sets[P.BLOCK :])
+    tracemalloc.start()
+    pairs = P.linked_pairs(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == 0 and peak < 130e6
+
+
 def test_join_of_empty_table(no_docs):
     assert P.jaccard_classes(no_docs).collect() == []
     assert P.one_per_class(no_docs).collect() == []

@@ -23,9 +23,16 @@ that both emit; so no link is lost.
 Filter. A set whose shared signatures in an instance number less than its ``need`` has no
 link there (exact, since signatures shared with a linked set are shared signatures).
 
-Verification. Sets that still share a signature form candidate families (connected
+Rare shingles. Sets with a few frequent passages in common (a repeated line, a licence)
+share signatures enough for the filter, and all of a corpus hang together by them. So the
+shingles of the sets that are left are ordered by the number of these sets that have them;
+linked sets share one of the rarest shingles of either (the prefix filter of set joins,
+exact). Frequent passages come last in this order, so only near copies are kept together.
+
+Verification. Sets that share a rare shingle form candidate families (connected
 components). Each family is cut by hash into blocks of about ``BLOCK`` sets or
-``BLOCK_ELEMENTS`` shingles, whichever is less; each pair of blocks that share a signature is compared at once by a product of incidence matrices,
+``BLOCK_ELEMENTS`` shingles, whichever is less; each pair of blocks that share a rare shingle
+is compared at once by a product of incidence matrices,
 which gives exact intersections. Only links' spanning edges and link counts come out, so
 no pair list is made; a large group of near copies is spread over many block pairs.
 
@@ -46,16 +53,17 @@ sets about n^2 / 2^65 pairs are taken for copies wrongly.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickfeatures.session import materialize
+from tickfeatures.session import materialize, release
 
 from .components import components
 from .folders import unused
@@ -66,7 +74,9 @@ PERCENT = 80
 GROWTH = 1.6
 FAMILIES = 6
 BLOCK = 1536
-BLOCK_ELEMENTS = 1_200_000
+BLOCK_ELEMENTS = 600_000
+#: rows that signatures or shingles leave Python by
+ROWS = 200_000
 #: extra partitions, as a share of k: a linked pair then shares several signatures, not just one
 SLACK = 0.08
 
@@ -154,6 +164,17 @@ def signatures(elements: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
                 break
 
 
+def _freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives the memory of its batches back: it idles beside
+    later stages of its executor."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
     data, offsets = bytes_of(texts)
     for a, b in pieces(offsets):
@@ -178,7 +199,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "tie", "n_shingles", "set_id"],
             )
 
-    return _keyed(docs).mapInArrow(run, "doc_id bigint, tie bigint, n_shingles bigint, set_id bigint")
+    return _keyed(docs).mapInArrow(_freed(run), "doc_id bigint, tie bigint, n_shingles bigint, set_id bigint")
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
@@ -211,13 +232,13 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                     sigs.append(found)
                     owners.append((key, tag, len(found)))
                     size += len(found)
-                if size >= 200_000:
+                if size >= ROWS:
                     yield flush()
                     sigs, owners, size = [], [], 0
         if owners:
             yield flush()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "sig bigint, set_id bigint, tag int")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_freed(run), "sig bigint, set_id bigint, tag int")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -232,6 +253,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     Three exchanges: by signature, by set for the filter, by signature again; copies from
     several tasks are dropped inside the signature's partition."""
     live = materialize(_shared(signature_rows(docs)).drop("lo").dropDuplicates(["sig", "set_id", "tag"]))
+    release(docs.sparkSession)  # the signatures' exchange is the largest
     need = F.col("tag").bitwiseAND(F.lit((1 << 20) - 1))
     kept = live.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("set_id", "tag"))).where(F.col("n") >= need)
     return materialize(_shared(kept.select("sig", "set_id")).dropDuplicates(["sig", "set_id"]))
@@ -279,7 +301,7 @@ class Incidence:
 
 
 #: columns whose entries make more pairs than this go through a matrix product, the others are counted pair by pair
-DENSE_PAIRS, DENSE_WIDTH, COUNTED_PAIRS = 4000, 4096, 4_000_000
+DENSE_PAIRS, DENSE_WIDTH, COUNTED_PAIRS = 4000, 1024, 1_000_000
 
 
 def intersections(a: Incidence, b: Incidence) -> np.ndarray:
@@ -389,7 +411,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs a < b of blocks that share a signature, from (sig, block) rows in order of
+    """Pairs a < b of blocks that share a rare shingle, from (sig, block) rows in order of
     sig; each pair once per task."""
     seen: set[tuple[int, int]] = set()
     sig, blocks = None, []
@@ -416,9 +438,44 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "elements"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, set_id, n): each shingle of each set, with the set's size."""
+    for batch in batches:
+        keys, sizes = batch.column(0).to_numpy(), pc.binary_length(batch.column(1)).to_numpy() // 8
+        for a, b in pieces(np.append(0, np.cumsum(sizes, dtype=np.int64)), ROWS):
+            found = np.concatenate([np.frombuffer(e.as_buffer(), np.int64) for e in batch.column(1)[a:b]])
+            of = np.repeat(np.arange(a, b), sizes[a:b])
+            for at in range(0, len(found), ROWS):  # several times for a very long text
+                own = of[at : at + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + ROWS]), pa.array(keys[own]), pa.array(sizes[own])], names=["sig", "set_id", "n"])
+
+
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """``sig, set_id, lo``: the shingles by which sets (set_id, elements) can link, and the
+    least set that has each as such (checkpointed).
+
+    Shingles are ordered by the number of sets that have them, the rarest first. Linked sets
+    share at least ``PERCENT`` of each of them, so they share one of the first
+    n - ceil(n * PERCENT / 100) + 1 of either; a shingle of one set only takes a place but
+    links nothing. Sets that have no more in common than frequent passages part here."""
+    n_sets = F.count(F.lit(1)).over(Window.partitionBy("sig"))
+    known = sets.mapInArrow(_freed(_shingles), "sig bigint, set_id bigint, n int").withColumn("sets", n_sets).where("sets > 1")
+    own = Window.partitionBy("set_id")
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("sets", "sig"))
+    first = known.withColumn("place", place).where(F.col("place") <= F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1)
+    return materialize(_shared(first.select("sig", "set_id")))
+
+
 def verified(docs: DataFrame, owners: DataFrame, shared: DataFrame) -> DataFrame:
     """``x, y, links`` rows (see ``_verify``) for all candidates, checkpointed."""
-    family = components(shared.select(F.col("set_id").alias("a"), F.col("lo").alias("b")))
+    # one document per set gives its shingles
+    chosen = owners.join(shared.select("set_id").distinct(), "set_id").select(F.coalesce("owner.doc_id", F.lit(0)).alias("doc_id"), "owner.tie", "set_id")
+    texts = _keyed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    sets = materialize(texts.join(chosen, ["doc_id", "tie"]).select("set_id", "text").dropDuplicates(["set_id"]).mapInArrow(_freed(_elements), "set_id bigint, elements binary"))
+    release(docs.sparkSession)  # the exchange of the texts
+    rare = rare_shingles(sets)
+    release(docs.sparkSession)
+    family = components(rare.select(F.col("set_id").alias("a"), F.col("lo").alias("b")))
     family = family.withColumnRenamed("node", "set_id").join(owners.select("set_id", "n_shingles"), "set_id")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_ELEMENTS))
     size = family.groupBy("component").agg(parts.alias("parts"))
@@ -427,24 +484,20 @@ def verified(docs: DataFrame, owners: DataFrame, shared: DataFrame) -> DataFrame
             "set_id", F.xxhash64("component", F.pmod(F.xxhash64("set_id"), "parts")).alias("block")
         )
     )
-    # one document per set gives its shingles
-    chosen = owners.join(blocks, "set_id").select(F.coalesce("owner.doc_id", F.lit(0)).alias("doc_id"), "owner.tie", "set_id", "copies", "block")
-    texts = _keyed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    sets = texts.join(chosen, ["doc_id", "tie"]).select("set_id", "text").dropDuplicates(["set_id"]).mapInArrow(_elements, "set_id bigint, elements binary")
     grouped = materialize(
-        sets.join(chosen.select("set_id", "copies", "block"), "set_id")
+        sets.join(owners.select("set_id", "copies").join(blocks, "set_id"), "set_id")
         .groupBy("block")
         .agg(F.collect_list(F.struct("set_id", "copies", "elements")).alias("sets"))
-        .mapInArrow(_pack, BLOCK_ROW)
+        .mapInArrow(_freed(_pack), BLOCK_ROW)
     )
-    members = shared.select("sig", "set_id").join(blocks, "set_id").select("sig", "block").repartition("sig").dropDuplicates(["sig", "block"])
-    pairs = members.sortWithinPartitions("sig").mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
+    members = rare.select("sig", "set_id").join(blocks, "set_id").select("sig", "block").repartition("sig").dropDuplicates(["sig", "block"])
+    pairs = members.sortWithinPartitions("sig").mapInArrow(_freed(_block_pairs), "a bigint, b bigint").distinct()
     whole = F.struct("set_ids", "copies", "dictionary", "places", "sizes")
     left = grouped.select(F.col("block").alias("a"), whole.alias("block_a"))
     right = grouped.select(F.col("block").alias("b"), whole.alias("block_b"))
     between = pairs.join(left, "a").join(right, "b").select("block_a", "block_b")
     within = left.select("block_a", F.lit(None).cast(right.schema["block_b"].dataType).alias("block_b"))
-    return materialize(within.union(between).mapInArrow(_verify, "x bigint, y bigint, links bigint"))
+    return materialize(within.union(between).mapInArrow(_freed(_verify), "x bigint, y bigint, links bigint"))
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
@@ -474,6 +527,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     sets = materialize(document_sets(docs))
     owners = sets.where("n_shingles > 0").groupBy("set_id").agg(F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", "tie")).alias("owner"), F.min("doc_id").alias("least"))
     found = verified(docs, owners, candidates(docs))
+    release(docs.sparkSession)
     classes = components(found.where("y is not null").select(F.col("x").alias("a"), F.col("y").alias("b")))
     links = found.groupBy("x").agg(F.sum("links").alias("links"))
     by_set = (
