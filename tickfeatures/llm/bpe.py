@@ -148,6 +148,9 @@ class Decoder:
             at = end
 
 
+#: rows of a batch that are Python strings at once
+ROWS = 256
+
 #: columns that ``encode_documents`` can append
 OUTPUTS = {
     "ids": "array<int>",
@@ -172,11 +175,14 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", o
         coder, decoder = encoder(tokenizer_path, "pair index", lambda: PairIndex(vocab).encode), Decoder(vocab)
         for batch in batches:
             at = 0
-            for n, ids, lengths in coder.encode(batch.column(0).to_pylist()):
+            texts = (t for first in range(0, batch.num_rows, ROWS) for t in batch.column(0).slice(first, ROWS).to_pylist())
+            for n, ids, lengths in coder.encode(texts):
                 columns = [batch.column(i + 1).slice(at, n) for i in range(len(keep))]
                 columns += [pa.array(lengths, pa.int64()), *(_output(o, ids, lengths, decoder) for o in outputs)]
                 at += n
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+                del columns
+                pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, T.StructType([*keep, *made]))
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -204,7 +204,7 @@ class Encoder:
         self._cache = WordCache(encode_words)
         self._piece = piece_chars
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For runs of rows of bounded size: number of rows, flat ids, ids of each row."""
         run: list[str] = []
         size = 0
